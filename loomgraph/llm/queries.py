@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, quality, simhash, suffix_dedup, token_counts, toxicity
+from loomgraph.llm import common, language_model, quality, simhash, suffix_dedup, token_counts, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(common.table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(common.crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)))
+    model = language_model.train(documents.where(~F.col("held_out")))
+    return language_model.score(documents, model, keep=("doc_id", "held_out"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
     model = quality.train(spark, documents, common.table(spark, sf_dir, "labels"), modulus=4, held=2)
@@ -53,6 +59,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
 }
 
