@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, language_model, quality, simhash, suffix_dedup, token_counts, toxicity
+from loomgraph.llm import audio, common, language_model, quality, simhash, suffix_dedup, token_counts, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio.stored(common.table(spark, sf_dir, "documents"))
+    found = audio.analysed(media, keep=("doc_id", "n_bytes"))
+    number = lambda x: F.format_string("%.3f", x)
+    spans = F.transform("segments", lambda x: F.concat(number(x["start_s"]), F.lit("-"), number(x["end_s"])))
+    feature = F.concat(F.lit("mel="), F.array_join(F.transform("mel_mean", lambda x: number(x.cast("double"))), ","), F.lit(";loud="), F.array_join(spans, ","), F.lit(";tensors="), F.sha2("features", 256))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
 QUERIES = {
+    "op8_audio": op8_audio,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op6_token_counts": op6_token_counts,
