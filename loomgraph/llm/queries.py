@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import audio, common, language_model, pieces, quality, simhash, suffix_dedup, token_counts, toxicity
+from loomgraph.llm import audio, common, language_model, pieces, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.spans(common.table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda x: x["rule"] == kind)).cast("long")
+    base = F.filter("spans", lambda x: x["rule"] < secrets.BASE)
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(secrets.label(base), 256).alias("base_sha256"), secrets.label(F.col("spans")).alias("spans")
+    )
+
+
 QUERIES = {
+    "op4_secrets": op4_secrets,
     "op3_sentencepiece": op3_sentencepiece,
     "op8_audio": op8_audio,
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -88,4 +98,6 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_secrets": secrets.oracle(),
+}
