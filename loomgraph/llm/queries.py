@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import audio, common, language_model, pieces, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
+from loomgraph.llm import audio, common, decontamination, language_model, pieces, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,13 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "common", "answer", "start", "end")
+
+
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
     "op4_secrets": op4_secrets,
     "op3_sentencepiece": op3_sentencepiece,
     "op8_audio": op8_audio,
