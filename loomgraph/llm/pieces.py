@@ -50,6 +50,10 @@ def _byte_values() -> np.ndarray:
 _VALUES = _byte_values()
 
 
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return common.mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
+
+
 def _hash(raw: bytes) -> int:
     h = 0
     for b in raw:
@@ -57,25 +61,56 @@ def _hash(raw: bytes) -> int:
     return h
 
 
+class Sorted:
+    """Ascending 64-bit hashes with values; their first bits lead to where a hash would stand."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        bits = max(8, int(np.ceil(np.log2(len(keys) + 1))) + 3)
+        self.shift = np.uint64(64 - bits)
+        self.lead = np.searchsorted((self.keys >> self.shift).astype(np.int64), np.arange((1 << bits) + 1)).astype(np.int32)
+        self.deepest = int(np.diff(self.lead).max()) if len(keys) else 0
+
+    def look(self, hashes: np.ndarray, missing: int) -> np.ndarray:
+        out = np.full(len(hashes), missing, self.values.dtype)
+        if not len(self.keys):
+            return out
+        head = (hashes >> self.shift).astype(np.int64)
+        at, end = self.lead[head], self.lead[head + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        for _ in range(self.deepest):
+            hit = self.keys[at] == hashes[left]
+            out[left[hit]] = self.values[at[hit]]
+            at = at + 1
+            more = ~hit & (at < end)
+            left, at, end = left[more], at[more], end[more]
+            if not len(left):
+                break
+        return out
+
+
 @dataclass
 class Vocabulary:
     merges: bool
     texts: list[bytes]  # what an id decodes to, a space for the mark
     scores: np.ndarray
-    keys: np.ndarray = field(default=None)  # sorted hashes of pieces
-    ids: np.ndarray = field(default=None)
+    keys: Sorted = field(default=None)  # hashes of pieces, with their ids
     lengths: np.ndarray = field(default=None)  # piece lengths in use
     byte_ids: np.ndarray = field(default=None)
     unknown: int = 0
     rank: np.ndarray = field(default=None)  # of the merge that makes a piece, -1 for single characters
     left: np.ndarray = field(default=None)
     right: np.ndarray = field(default=None)
-    pairs: np.ndarray = field(default=None)  # sorted (left id, right id) that merge
-    pair_rank: np.ndarray = field(default=None)
+    pairs: Sorted = field(default=None)  # hashes of (left id, right id) that merge, with the merge's rank
     flat: np.ndarray = field(default=None)
     begin: np.ndarray = field(default=None)
     table: dict | None = field(default=None)
-    memory: dict = field(default_factory=dict)  # ids of words met before, by hash
+    memory: dict = field(default_factory=dict)  # places of words met before, by hash
+    store: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # their ids
+    begins: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging in order leaves a before b: undo the merges of both from the last on, and look for an earlier one across."""
@@ -83,9 +118,7 @@ class Vocabulary:
         at, limit = np.arange(len(a)), np.full(len(a), _NEVER)
         a, b = a.astype(np.int64), b.astype(np.int64)
         while len(at):
-            key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
-            where = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-            across = np.where(self.pairs[where] == key, self.pair_rank[where], _NEVER) if len(self.pairs) else np.full(len(a), _NEVER)
+            across = self.pairs.look(_pair_hash(a, b), _NEVER)
             bad = across < limit
             out[at[bad]] = False
             ra, rb = self.rank[a], self.rank[b]
@@ -96,33 +129,31 @@ class Vocabulary:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return out
 
-    def look(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
-
     # ------------------------------------------------------------ words
 
-    def search(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
-        out: list[np.ndarray] = [None] * len(words)
-        size = np.array([len(w) for w in words], np.int64)
+    def search(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, word after word in some order, and where each word's begin and how many they are."""
+        size = ends - starts
+        begins, sizes, store, total = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), [np.zeros(0, np.int32)], 0
         for low, high in ((0, 12), (12, 24), (24, 64), (64, LONG)):
             own = np.flatnonzero((size > low) & (size <= high))
             if len(own):
                 own = own[np.argsort(-size[own], kind="stable")]
-                for k, ids in zip(own.tolist(), self._together([words[i] for i in own.tolist()], size[own]), strict=True):
-                    out[k] = ids
+                ids, edges = self._together(data, starts[own], size[own])
+                store.append(ids)
+                begins[own], sizes[own] = edges[:-1] + total, np.diff(edges)
+                total += len(ids)
         for k in np.flatnonzero(size > LONG).tolist():
-            out[k] = self._alone(words[k])
-        for k in np.flatnonzero(size == 0).tolist():
-            out[k] = np.zeros(0, np.int32)
-        return out
-
-    def _together(self, words: list[bytes], size: np.ndarray) -> list[np.ndarray]:
-        count, most = len(words), int(size[0])
-        matrix = np.zeros((most, count), np.uint8)  # a row a position
-        for i, w in enumerate(words):
-            matrix[: len(w), i] = np.frombuffer(w, np.uint8)
+            ids = self._alone(data[starts[k] : ends[k]].tobytes())
+            store.append(ids)
+            begins[k], sizes[k] = total, len(ids)
+            total += len(ids)
+        return np.concatenate(store), begins, sizes
+
+    def _together(self, data: np.ndarray, begins: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count, most = len(size), int(size[0])
+        place = np.arange(most)[:, None]
+        matrix = np.where(place < size, data[np.minimum(begins + place, len(data) - 1)], 0).astype(np.uint8)  # a row a position
         start = np.ones((most + 1, count), bool)
         start[:most] = (matrix & 0xC0) != 0x80
         prefix = np.zeros((most + 1, count), np.uint64)
@@ -146,7 +177,7 @@ class Vocabulary:
                 who = open_[start[i - k, open_]]
                 if not len(who):
                     continue
-                found = self.look(prefix[i, who] - prefix[i - k, who] * power[k])
+                found = self.keys.look(prefix[i, who] - prefix[i - k, who] * power[k], -1)
                 hit = found >= 0
                 who, found = who[hit], found[hit]
                 if not len(who):
@@ -179,7 +210,7 @@ class Vocabulary:
                     k += more
                 if not self.merges:
                     total = best[i - k, lone] + lowest
-                    single = self.look(prefix[i, lone] - prefix[i - k, lone] * power[k]) < 0
+                    single = self.keys.look(prefix[i, lone] - prefix[i - k, lone] * power[k], -1) < 0
                     better = (total > score[lone]) & single
                     lone, k = lone[better], k[better]
                     score[lone] = total[better]
@@ -206,14 +237,12 @@ class Vocabulary:
                 word, p = word[rep], np.where(unknown, self.byte_ids[raw], p[rep])
             else:
                 p = np.where(p == _UNKNOWN, self.unknown, p)
-        edges = np.searchsorted(word, np.arange(count + 1))
-        p = p.astype(np.int32)
-        return [p[edges[i] : edges[i + 1]] for i in range(count)]
+        return p.astype(np.int32), np.searchsorted(word, np.arange(count + 1))
 
     def _alone(self, word: bytes) -> np.ndarray:
         """The same search for one word, position by position; pairs of pieces are checked once."""
         if self.table is None:
-            self.table = {self.texts[i]: int(i) for i in self.ids.tolist()}
+            self.table = {self.texts[i]: int(i) for i in self.keys.values.tolist()}
         table = self.table
         checked: dict[tuple[int, int], bool] = {}
         most = len(word)
@@ -273,18 +302,24 @@ class Vocabulary:
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(data))
         hashes, lead, which = np.unique(common.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
         keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in memory]
-        raw = data.tobytes()
-        for i, ids in zip(new, self.search([raw[starts[lead[i]] : ends[lead[i]]] for i in new]), strict=True):
-            memory[keys[i]] = ids.copy()
-        parts = [memory[h] for h in keys]
-        size = np.array([len(x) for x in parts], np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        store = np.concatenate(parts)
+        slots = np.fromiter((self.memory.get(h, -1) for h in keys), np.int64, len(keys))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            found, at, many = self.search(data, starts[lead[new]], ends[lead[new]])
+            if len(self.memory) + len(new) > REMEMBERED:  # keep only what this chunk has
+                old = np.flatnonzero(slots >= 0)
+                kept, take = slots[old], self.sizes[slots[old]]
+                edge = np.concatenate([[0], np.cumsum(take)])
+                self.store = self.store[np.arange(edge[-1]) - np.repeat(edge[:-1] - self.begins[kept], take)]
+                self.begins, self.sizes = edge[:-1], take
+                slots[old] = np.arange(len(old))
+                self.memory = {keys[i]: k for k, i in enumerate(old.tolist())}
+            slots[new] = len(self.begins) + np.arange(len(new))
+            self.begins, self.sizes = np.concatenate([self.begins, at + len(self.store)]), np.concatenate([self.sizes, many])
+            self.store = np.concatenate([self.store, found])
+            self.memory.update(zip(hashes[new].tolist(), slots[new].tolist(), strict=True))
+        begin, size, store = self.begins[slots], self.sizes[slots], self.store
         length = size[which]
         edge = np.concatenate([[0], np.cumsum(length)])
         take = np.arange(edge[-1]) - np.repeat(edge[:-1] - begin[which], length)
@@ -387,13 +422,11 @@ def load(name: str = MODEL, path: str | None = None, unigram: bool | None = None
                 reached.append(i)
                 if len(text) > 1:
                     out.rank[i], out.left[i], out.right[i] = order[scores[i]], *last
-        packed = sorted(((a << 32) | b, r) for (a, b), (r, _) in join.items())
-        out.pairs, out.pair_rank = np.array([k for k, _ in packed], np.uint64), np.array([r for _, r in packed], np.int64)
+        a, b, r = (np.array(x, np.int64) for x in zip(*((a, b, r) for (a, b), (r, _) in join.items()), strict=True))
+        out.pairs = Sorted(_pair_hash(a, b), r)
     else:
-        out.pairs, out.pair_rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes = np.array([_hash(texts[i]) for i in reached], np.uint64)
-    order_ = np.argsort(hashes)
-    out.keys, out.ids = hashes[order_], np.array(reached, np.int32)[order_]
+        out.pairs = Sorted(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    out.keys = Sorted(np.array([_hash(texts[i]) for i in reached], np.uint64), np.array(reached, np.int32))
     out.lengths = np.unique([len(texts[i]) for i in reached])
     out.scores = scores
     out.flat = np.frombuffer(b"".join(texts), np.uint8)
