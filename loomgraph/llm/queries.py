@@ -31,7 +31,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(common.table(spark, sf_dir, "documents"))
+    return simhash.groups(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
