@@ -1 +1 @@
-
+"""Column functions: text, strict casts, identifiers, policy."""

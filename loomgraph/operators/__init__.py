@@ -1 +1 @@
-
+"""Dataflow operators of ingestion, curation reads and evaluation."""
