@@ -43,13 +43,18 @@ def check_fields(fields: Sequence[Field]) -> dict[str, str]:
     return claimed
 
 
+def _entries(key: str) -> Column:
+    """The entries of a data map whose name has this form."""
+    return F.map_filter("data", lambda k, _: F.lower(text.strip(k)) == key)
+
+
 def _raw(frame: DataFrame, field: Field) -> tuple[Column, Column, str]:
     """(present, raw value, its Spark type) of a field. The first key that is present wins, even if its value is NULL."""
     kind = frame.schema["data"].dataType
     if isinstance(kind, MapType):
         present, raw = F.lit(False), None
         for key in field.keys:
-            own = F.map_filter("data", lambda k, _, want=text.key_form(key): F.lower(text.strip(k)) == want)
+            own = _entries(text.key_form(key))
             found = F.coalesce(F.size(own) > 0, F.lit(False))
             value = F.element_at(F.map_values(own), -1)
             raw = F.when(found, value) if raw is None else raw.when(found, value)
@@ -85,8 +90,8 @@ def _shown(raw: Column, kind: str) -> Column:
     return text.float_text(raw) if kind == "double" else raw.cast("string")
 
 
-def normalize(frame: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """rec_idx, coord, values (a struct with a column a field), extras (map of columns that no field claims, as text), issues. Never fails on data."""
+def normalize(frame: DataFrame, fields: Sequence[Field], keep: Sequence[str] = ()) -> DataFrame:
+    """rec_idx, coord, values (a struct with a column a field), extras (map of columns that no field claims, as text), issues, and the columns to keep. Never fails on data."""
     claimed = check_fields(fields)
     values, found = [], []
     for field in fields:
@@ -103,7 +108,7 @@ def normalize(frame: DataFrame, fields: Sequence[Field]) -> DataFrame:
             assumed = ~absent & reason.isNull() & F.coalesce(text.zone_assumed(raw, kind), F.lit(False))
             found.append(F.when(assumed, issue("assumed_utc", F.concat(F.substring(text.iso(value), 1, 19), F.lit(" has no timezone; assuming UTC")), "warning", field.name)))
     issues = F.concat("issues", F.array_compact(F.array(*found)).cast(ISSUES)) if found else F.col("issues")
-    return frame.select("rec_idx", "coord", F.struct(*values).alias("values") if values else F.struct(F.lit(None).alias("none")).alias("values"), _extras(frame, claimed).alias("extras"), issues.alias("issues"))
+    return frame.select("rec_idx", "coord", F.struct(*values).alias("values") if values else F.struct(F.lit(None).alias("none")).alias("values"), _extras(frame, claimed).alias("extras"), issues.alias("issues"), *keep)
 
 
 def _extras(frame: DataFrame, claimed: dict[str, str]) -> Column:
