@@ -163,7 +163,7 @@ def stored(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             media = [store(raw[a:b] + bytes(max(UNIT, b - a + -(b - a) % UNIT) - (b - a))) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=[*rows.schema.names[:-1], "n_bytes", "media"])
 
-    return frame.mapInArrow(run, frame.drop("__text").schema.add("n_bytes", "long", False).add("media", "binary", False))
+    return frame.mapInArrow(common.released(run), frame.drop("__text").schema.add("n_bytes", "long", False).add("media", "binary", False))
 
 
 def analysed(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -191,4 +191,4 @@ def analysed(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("
             found = [features(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([f[n] for f in found], kind) for n, kind in columns.items())], names=[*rows.schema.names, *columns])
 
-    return frame.mapInArrow(run, StructType(frame.schema.fields + StructType.fromDDL(extra).fields))
+    return frame.mapInArrow(common.released(run), StructType(frame.schema.fields + StructType.fromDDL(extra).fields))

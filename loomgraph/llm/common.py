@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -107,8 +109,23 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
 
 
-def large_binary(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def released(run):
+    """A batch function that gives free memory back to the system when its partition ends: workers wait for their next task, and others need it."""
+
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        _release()
+
+    return wrapped
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 # ---------------------------------------------------------------- words

@@ -241,7 +241,7 @@ def train(documents: DataFrame, text: str = "text") -> Model:
         stats = [int((kinds == k).sum()) for k in (1, 2, 3, 4)] + [int((kinds >= 3).sum())] + (own["stats"] if own else [0] * 7)
         return pa.Table.from_pylist([{"stats": stats}], pa.schema([("stats", pa.list_(pa.int64()))]))
 
-    counted = documents.select(F.col(text).alias("text")).mapInArrow(count, "bucket int, words binary, numbers binary, lefts binary, fans binary, rights binary, times binary")
+    counted = documents.select(F.col(text).alias("text")).mapInArrow(common.released(count), "bucket int, words binary, numbers binary, lefts binary, fans binary, rights binary, times binary")
     added = counted.groupBy("bucket").applyInArrow(add_up, "bucket int, kind int, keys binary, values binary, stats array<long>")
     stats = added.groupBy("bucket").applyInArrow(finish, "stats array<long>")
     k1, k2, k3, k4, k3up, number, distinct, pairs, n1, n2, n3, n4 = (int(x or 0) for x in stats.agg(*(F.sum(F.col("stats")[i]) for i in range(12))).first())
@@ -263,4 +263,4 @@ def score(documents: DataFrame, model: Model, text: str = "text", keep: tuple[st
             arrays = [pa.array(number), pa.array(known), pa.array(np.full(len(number), model.train_tokens)), pa.array(base), pa.array(logs), pa.array(perplexity)]
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *arrays], names=[*rows.schema.names[:-1], "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return frame.mapInArrow(run, out_schema)
+    return frame.mapInArrow(common.released(run), out_schema)

@@ -452,7 +452,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", kee
             lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids), pa.list_(pa.field("element", pa.int32(), False)))
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], names=[*rows.schema.names[:-1], "ids"])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(common.released(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -474,4 +474,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids", keep
                 rows = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, "decoded"])
 
-    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField("decoded", StringType(), False)]))
+    return frame.mapInArrow(common.released(run), StructType([*frame.schema.fields, StructField("decoded", StringType(), False)]))

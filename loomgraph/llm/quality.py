@@ -145,4 +145,4 @@ def score(documents: DataFrame, model: Model, text: str = "text", keep: tuple[st
             n = np.maximum(sizes[:, 0], 1)
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(own.score(sizes)), pa.array(sizes[:, 1] / n), pa.array(sizes[:, 2] / n)], names=[*rows.schema.names[:-1], "score", "good_ratio", "bad_ratio"])
 
-    return frame.mapInArrow(run, out_schema)
+    return frame.mapInArrow(common.released(run), out_schema)

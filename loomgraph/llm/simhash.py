@@ -91,7 +91,7 @@ def fingerprint(documents: DataFrame, text: str = "text", keep: tuple[str, ...]
         for rows, data, offsets in common.texts(batches, "__text"):
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(fingerprints(data, offsets, shingle).astype(np.int64))], names=[*rows.schema.names[:-1], "fp"])
 
-    return frame.mapInArrow(run, out_schema)
+    return frame.mapInArrow(common.released(run), out_schema)
 
 
 # ---------------------------------------------------------------- plan
@@ -249,7 +249,7 @@ def links(distinct: DataFrame, reach: int = REACH) -> DataFrame:
             x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return met.select("fps").mapInArrow(run, "a long, b long").where("a < b").distinct()
+    return met.select("fps").mapInArrow(common.released(run), "a long, b long").where("a < b").distinct()
 
 
 def _signed(value: int) -> int:

@@ -307,9 +307,9 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
     def by_document(frame: DataFrame) -> DataFrame:
         return frame.groupBy("id").agg(F.collect_list(F.struct("copy", "at", "windows", "key")).alias("found"))
 
-    anchors = base.mapInArrow(send_runs, _SEND).groupBy("bucket").applyInArrow(_shared_anchors, _BACK)
+    anchors = base.mapInArrow(common.released(send_runs), _SEND).groupBy("bucket").applyInArrow(_shared_anchors, _BACK)
     candidates = base.join(by_document(anchors), "id")
-    repeats = candidates.mapInArrow(send_bodies, _SEND).groupBy("bucket").applyInArrow(lambda t: _repeats(t, span), _BACK)
+    repeats = candidates.mapInArrow(common.released(send_bodies), _SEND).groupBy("bucket").applyInArrow(lambda t: _repeats(t, span), _BACK)
     marked = base.join(by_document(repeats), "id", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,5 +338,5 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
             ]
             yield pa.RecordBatch.from_arrays(fields, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    out = marked.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    out = marked.mapInArrow(common.released(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
     return out if keep_text else out.drop("kept")

@@ -94,4 +94,4 @@ def count(documents: DataFrame, model: str = MODEL, path: str | None = None, tex
             tokens = counter.count([x or "" for x in rows.column(rows.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(np.diff(offsets)), pa.array(tokens)], names=[*rows.schema.names[:-1], "n_bytes", "n_tokens"])
 
-    return frame.mapInArrow(run, out_schema)
+    return frame.mapInArrow(common.released(run), out_schema)

@@ -233,4 +233,4 @@ def score(documents: DataFrame, model: Model, text: str = "text", keep: tuple[st
             x = own.features(data, offsets)
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(own.score(x)), pa.array(x[:, 0]), pa.array(x[:, 1])], names=[*rows.schema.names[:-1], "score", "mean_difference", "top_difference"])
 
-    return frame.mapInArrow(run, out_schema)
+    return frame.mapInArrow(common.released(run), out_schema)
