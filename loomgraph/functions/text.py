@@ -85,7 +85,7 @@ def variant_kind(column: Column) -> Column:
             F.when(schema.isNull() | (schema == "VOID"), "null")
             .when(schema == "STRING", "string")
             .when(schema == "BOOLEAN", "bool")
-            .when((schema == "BIGINT") | schema.rlike(r"^DECIMAL\([0-9]+,0\)$"), "int")
+            .when((schema == "BIGINT") | schema.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$"), "int")  # a shorter one was written 1.0
             .when(schema.rlike(r"^DECIMAL|^DOUBLE|^FLOAT"), "float")
             .when(schema.startswith("ARRAY"), "array")
             .otherwise("object")

@@ -14,18 +14,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from loomgraph.errors import ConfigurationError
 from loomgraph.functions import identity, text
 
 REF = "struct<entity_type:string,namespace:string,key:string>"
 #: What builders fill in; the run adds the rest.
-BODY = StructType.fromDDL(
-    f"kind string, semantic_key string, hashed string, entity_type string, aliases array<{REF}>, display_name string, properties string, "
-    "relation_type string, subject string, object string, attribute string, value string, valid_from timestamp, valid_to timestamp, "
-    "artifact_type string, artifact_hash string, source_uri string, media_type string"
-)
+BODY = {
+    "kind": "string", "semantic_key": "string", "hashed": "string", "entity_type": "string", "aliases": f"array<{REF}>", "display_name": "string", "properties": "string", "relation_type": "string",
+    "subject": "string", "object": "string", "attribute": "string", "value": "string", "valid_from": "timestamp", "valid_to": "timestamp", "artifact_type": "string", "artifact_hash": "string", "source_uri": "string", "media_type": "string",
+}
 SCORES = "struct<extraction_confidence:double,source_reliability:double,identity_confidence:double,assertion_confidence:double,corroboration_score:double,policy_risk:double>"
 
 
@@ -52,7 +50,7 @@ class Scoring:
 
 def body(**columns: Column) -> Column:
     """The wide struct with the given columns, the rest NULL."""
-    return F.struct(*(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in BODY.fields))
+    return F.struct(*(columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in BODY.items()))
 
 
 class Values:

@@ -38,11 +38,13 @@ TERMINAL = tuple(s for s, to in LEGAL.items() if not to)
 
 REFS = "array<struct<evidence_id:string,relationship:string>>"
 #: A candidate as it is planned and submitted.
-CANDIDATE = (
-    f"candidate_id string, graph_id string, kind string, semantic_key string, content_hash string, producer string, producer_run_id string, ontology_version string, trace_id string, created_at timestamp, rec_idx long, pos int, "
-    f"coord {COORD}, scores {SCORES}, evidence_refs {REFS}, model_id string, model_version string, extractor_version string, prompt_version string, passage string, "
-    + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BODY.fields if f.name not in ("kind", "semantic_key", "hashed"))
-)
+COLUMNS = {
+    **dict.fromkeys(("candidate_id", "graph_id", "kind", "semantic_key", "content_hash", "producer", "producer_run_id", "ontology_version", "trace_id"), "string"),
+    "created_at": "timestamp", "rec_idx": "long", "pos": "int", "coord": COORD, "scores": SCORES, "evidence_refs": REFS,
+    **dict.fromkeys(("model_id", "model_version", "extractor_version", "prompt_version", "passage"), "string"),
+    **{name: kind for name, kind in BODY.items() if name not in ("kind", "semantic_key", "hashed")},
+}
+CANDIDATE = ", ".join(f"{name} {kind}" for name, kind in COLUMNS.items())
 
 SCHEMAS = {
     "entries": "candidate_id string, graph_id string, semantic_key string, kind string, payload_hash string, valid_from timestamp, valid_to timestamp, received_at timestamp, recorded_at timestamp, trace_id string",

@@ -15,13 +15,12 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from loomgraph.errors import ConfigurationError
 from loomgraph.functions import identity
 from loomgraph.operators import admission, candidates, completions, evidence, validate
 from loomgraph.operators.candidates import Scoring
-from loomgraph.operators.ledger import CANDIDATE, Ledger
+from loomgraph.operators.ledger import COLUMNS, Ledger
 from loomgraph.operators.normalize import Field, normalize
 from loomgraph.operators.validate import Ontology
 from loomgraph.plans.ingest import Report
@@ -210,7 +209,7 @@ class DocumentPipeline:
         built, failures = self.built(parsed)
         judged = self.admitted(built).persist()
         stamped = self.stamped(judged, run_id, at)
-        planned = stamped.select(*(F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(CANDIDATE).fields))
+        planned = stamped.select(*(F.col(name).cast(kind) for name, kind in COLUMNS.items()))
         report.records_read = parsed.select("doc_id", "fragment").distinct().count()
         report.failures = [r["message"] for r in failures.orderBy("doc_id", "fragment", "extractor").limit(1000).collect()]
         report.incomplete = bool(report.failures)

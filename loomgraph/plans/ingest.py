@@ -18,7 +18,7 @@ from loomgraph.errors import SourceError
 from loomgraph.functions import identity
 from loomgraph.operators import admission, candidates, validate
 from loomgraph.operators.candidates import Scoring
-from loomgraph.operators.ledger import CANDIDATE, Ledger, duplicates
+from loomgraph.operators.ledger import CANDIDATE, COLUMNS, Ledger, duplicates
 from loomgraph.operators.normalize import Field, normalize, passthrough
 from loomgraph.operators.validate import Ontology
 from loomgraph.sources.records import Records
@@ -127,9 +127,7 @@ class Pipeline:
                 **{n: F.lit(None).cast("string") for n in ("model_id", "model_version", "extractor_version", "prompt_version", "passage")},
             }
         )
-        from pyspark.sql.types import StructType
-
-        return wide.select(*(F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(CANDIDATE).fields))
+        return wide.select(*(F.col(name).cast(kind) for name, kind in COLUMNS.items()))
 
     def plan(self, ledger: Ledger | None = None) -> tuple[DataFrame, Report]:
         """The candidates that run() would submit, and the report. Nothing is written."""
