@@ -11,6 +11,9 @@ that can't have a partner are left out first:
    windows share a run on average, so few numbers move and no text.
 2. Runs whose anchor stands elsewhere too send their bytes to the anchor's
    bucket; equal ones from one batch are folded into their first before that.
+   Where one anchor fills a tenth of its bucket or more, its runs go as single
+   windows instead, each to the bucket of its own hash: equal windows are
+   folded, and those that differ part.
 3. A bucket sorts the runs by the deep-shallow method (suffix_sort), then the
    windows of those that differ, as suffixes to a depth of SPAN. In each class
    of equal strings all but the first in document order are repeats.
@@ -21,8 +24,8 @@ session's shuffle partitions, so a bucket's size stays as the input grows.
 
 Defined results: null is an empty text; texts under SPAN bytes keep all bytes;
 null ids count as smallest; rows that share an id are ordered by their texts'
-hashes, and of wholly equal rows one in any order is first; extra columns are
-ignored; an empty table gives an empty result.
+hashes, and of wholly equal rows one comes first and the rest repeat it; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,8 +49,12 @@ FLUSH_BYTES = 8 << 20
 _NO_ID = -(2**63)
 #: Added to a run's windows: some of them may equal one another.
 _AGAIN = 1 << 31
+#: An anchor is hot if it has so many runs, and so large a share of its bucket's.
+HOT_RUNS, HOT_SHARE = 1000, 0.1
+#: Flags of a run on its way to its anchor's bucket: may repeat itself, isn't alone in its task, and is known to be shared.
+_REPEATS, _SHARED, _PASSIVE = 1, 2, 4
 _SEND = "bucket int, run binary, key binary, id binary, copy binary, at binary, windows binary, body binary"
-_BACK = "id long, copy int, at binary, windows binary, key binary"
+_BACK = "id long, copy long, at binary, windows binary, key binary"
 
 
 def _pack(values: np.ndarray, level: int = 1) -> bytes:
@@ -124,7 +131,7 @@ def _send(bucket: np.ndarray, buckets: int, columns: dict[str, np.ndarray], bodi
 
 
 def _gathered(table: pa.Table) -> dict[str, np.ndarray]:
-    kinds = {"run": "u1", "key": "<u8", "id": "<i8", "copy": "<i4", "at": "<i8", "windows": "<i8"}
+    kinds = {"run": "u1", "key": "<u8", "id": "<i8", "copy": "<i8", "at": "<i8", "windows": "<i8"}
     out = {}
     for name, kind in kinds.items():
         parts = [_unpack(x, kind) for x in table[name].to_pylist() if x is not None]
@@ -143,7 +150,7 @@ def _per_document(ids, copies, at, windows, keys) -> pa.Table:
     a, w, k = at.astype("<u4"), windows.astype("<u4"), keys.astype("<u8")
     return pa.table({
         "id": pa.array(ids[edges[:-1]], pa.int64()),
-        "copy": pa.array(copies[edges[:-1]], pa.int32()),
+        "copy": pa.array(copies[edges[:-1]], pa.int64()),
         "at": pa.array([a[i:j].tobytes() for i, j in cuts], pa.binary()),
         "windows": pa.array([w[i:j].tobytes() for i, j in cuts], pa.binary()),
         "key": pa.array([k[i:j].tobytes() for i, j in cuts], pa.binary()),
@@ -151,17 +158,26 @@ def _per_document(ids, copies, at, windows, keys) -> pa.Table:
 
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
-    """Of a bucket's runs, those whose anchor occurs more than once, or that may repeat themselves."""
+    """Of a bucket's runs, those whose anchor occurs more than once, or that may repeat themselves; and without an id the anchors that are hot, ten at most."""
     got = _gathered(table)
-    order = np.argsort(got["key"], kind="stable")
+    counts = np.concatenate([_unpack(x, "<u4") for x in table["body"].to_pylist() if x] or [np.zeros(0, "<u4")]).astype(np.int64)
+    active = np.flatnonzero(got["run"] & _PASSIVE == 0)
+    order = active[np.argsort(got["key"][active], kind="stable")]
     key = got["key"][order]
-    twice = got["run"][order].astype(bool)
+    twice = got["run"][order] & (_REPEATS | _SHARED) > 0
     same = key[1:] == key[:-1]
     twice[1:] |= same
     twice[:-1] |= same
-    own = order[twice]
-    windows = got["windows"][own] + got["run"][own].astype(np.int64) * _AGAIN
-    return _per_document(got["id"][own], got["copy"][own], got["at"][own], windows, got["key"][own])
+    own = np.concatenate([order[twice], np.flatnonzero(got["run"] & _PASSIVE)])
+    windows = got["windows"][own] + (got["run"][own] & _REPEATS).astype(np.int64) * _AGAIN
+    out = _per_document(got["id"][own], got["copy"][own], got["at"][own], windows, got["key"][own])
+    if len(key):
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        many = np.add.reduceat(counts[order], first)
+        hot = key[first][(many >= HOT_RUNS) & (many >= HOT_SHARE * counts.sum())]
+        if len(hot):
+            out = pa.concat_tables([out, pa.table({"id": pa.nulls(1, pa.int64()), "copy": pa.nulls(1, pa.int64()), "at": pa.nulls(1, pa.binary()), "windows": pa.nulls(1, pa.binary()), "key": pa.array([hot.astype("<u8").tobytes()], pa.binary())})])
+    return out
 
 
 def _fold(body: np.ndarray, start: np.ndarray, key, ids, copies, at, windows, span: int):
@@ -179,6 +195,17 @@ def _fold(body: np.ndarray, start: np.ndarray, key, ids, copies, at, windows, sp
     return is_first
 
 
+def _single_windows(key, ids, copies, at, windows, start, body: np.ndarray, span: int):
+    """Runs as entries of one window each, by their own hashes; of equal ones only the first is sent with its bytes."""
+    run = np.repeat(np.arange(len(key)), windows)
+    inner = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+    begin, place = start[run] + inner, at[run] + inner
+    own = common.span_hashes(body, begin, begin + span)
+    ones = np.ones(len(run), np.int64)
+    first = _fold(body, begin, own, ids[run], copies[run], place, ones, span)
+    return own, ids[run], copies[run], place, ones, np.full(len(run), span), begin, first, np.zeros(len(run), bool)
+
+
 def _copy_spans(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of spans one after another, and where each begins."""
     begin = np.concatenate([[0], np.cumsum(length)])
@@ -247,11 +274,16 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
     common.prepare(spark)
     buckets = common.bucket_count(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = (
-        documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .repartition(parts, "id")
-        .withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"))).cast("int"))
-    )
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    # only rows that share an id need telling apart
+    repeated_ids = not documents.select(own_id.alias("id")).groupBy("id").count().where("count > 1").isEmpty()
+    source = documents.select(own_id.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = source.withColumn("copy", F.xxhash64("text") if repeated_ids else F.lit(0).cast("long"))
+    base = source.repartition(parts, "id")
+    if repeated_ids:
+        base = base.withColumn("nth", F.row_number().over(Window.partitionBy("id", "copy").orderBy("copy")))
+    else:
+        base = base.withColumn("nth", F.lit(1))
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -259,7 +291,16 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
 
         def flush():
             key, ids, copies, at, windows, again = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _send((key % np.uint64(buckets)).astype(np.int64), buckets, {"run": again.astype("u1"), "key": key, "id": ids, "copy": copies, "at": at, "windows": windows})
+            # one run of an anchor asks for the rest of its task, which can go anywhere
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            lead, count = np.zeros(len(key), bool), np.ones(len(key), np.int64)
+            lead[order[first]] = True
+            count[order[first]] = np.diff(np.append(first, len(key)))
+            flags = again * _REPEATS + (count > 1) * _SHARED + ~lead * _PASSIVE
+            salted = common.mix(ids.astype(np.uint64) * np.uint64(3) + key) % np.uint64(buckets)
+            columns = {"run": flags.astype("u1"), "key": key, "id": ids, "copy": copies, "at": at, "windows": windows}
+            yield from _send(np.where(lead, key % np.uint64(buckets), salted).astype(np.int64), buckets, columns, lambda own: count[own].astype("<u4"))
 
         for rows, data, offsets in common.texts(batches):
             row, at, windows, key, again = runs(data, offsets, span)
@@ -286,6 +327,11 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
             first = _fold(body, start, key, ids, copies, at, windows, span)
             order = np.lexsort((at, copies, ids, key))
             key, ids, copies, at, windows, width, start, first, again = (x[order] for x in (key, ids, copies, at, windows, width, start, first, again))
+            wide = first & np.isin(key, hot)
+            if wide.any():
+                one = _single_windows(*(x[wide] for x in (key, ids, copies, at, windows, start)), body, span)
+                rest = (key, ids, copies, at, windows, np.where(first, width, 0), start, first, again)
+                key, ids, copies, at, windows, width, start, first, again = (np.concatenate([x[~wide], y]) for x, y in zip(rest, one, strict=True))
             home = key % np.uint64(buckets)
             salted = common.mix(ids.astype(np.uint64) + key) % np.uint64(buckets)  # a known repeat needs no bucket of its own
             bodies = lambda own: _copy_spans(body, start[own[first[own]]], width[own[first[own]]])[0]
@@ -295,8 +341,11 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
             row, at, windows, key = _spread(rows, ["at", "windows", "key"])
             if not len(row):
                 continue
+            if repeated_ids:  # equal rows have sent their runs twice
+                _, once = np.unique(np.stack([row, at]), axis=1, return_index=True)
+                row, at, windows, key = row[once], at[once], windows[once], key[once]
             body, _ = _copy_spans(data, offsets[row] + at, windows % _AGAIN + span - 1)
-            held.append((key, rows.column(0).to_numpy()[row], rows.column(2).to_numpy()[row].astype("<i4"), at, windows, body))
+            held.append((key, rows.column(0).to_numpy()[row], rows.column(2).to_numpy()[row].astype("<i8"), at, windows, body))
             size += len(body)
             if size >= FLUSH_BYTES:
                 yield from flush()
@@ -305,10 +354,12 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
             yield from flush()
 
     def by_document(frame: DataFrame) -> DataFrame:
-        return frame.groupBy("id").agg(F.collect_list(F.struct("copy", "at", "windows", "key")).alias("found"))
+        return frame.where("id is not null").groupBy("id").agg(F.collect_list(F.struct("copy", "at", "windows", "key")).alias("found"))
 
-    anchors = base.mapInArrow(common.released(send_runs), _SEND).groupBy("bucket").applyInArrow(_shared_anchors, _BACK)
-    candidates = base.join(by_document(anchors), "id")
+    anchors = common.cut(spark, source.mapInArrow(common.released(send_runs), _SEND).groupBy("bucket").applyInArrow(_shared_anchors, _BACK), "anchors")
+    found = anchors.where("id is null").select("key").toArrow()["key"].to_pylist()  # ten anchors a bucket at most
+    hot = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in found])) if found else np.zeros(0, np.uint64)
+    candidates = base.where("nth = 1").join(by_document(anchors), "id")
     repeats = candidates.mapInArrow(common.released(send_bodies), _SEND).groupBy("bucket").applyInArrow(lambda t: _repeats(t, span), _BACK)
     marked = base.join(by_document(repeats), "id", "left")
 
@@ -319,6 +370,9 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
             np.add.at(edge, offsets[row] + at, 1)
             np.subtract.at(edge, offsets[row] + at + windows + span - 1, 1)
             gone = np.cumsum(edge[:-1]) > 0
+            for k in np.flatnonzero(rows.column(3).to_numpy() > 1):  # an equal row comes before
+                if offsets[k + 1] - offsets[k] >= span:
+                    gone[offsets[k] : offsets[k + 1]] = True
             raw, removed, count, digests, kept, spans = data, [], [], [], [], []
             for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 mask = gone[low:high]
