@@ -273,23 +273,37 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def groups(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, reach: int = REACH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and keep, fingerprint (16 hexadecimal digits), component_id (smallest id of the component), root (a number of the component)."""
-    spark = documents.sparkSession
-    prints = common.cut(spark, fingerprint(documents, text, ("doc_id", *keep), shingle), "fingerprints")
-    distinct = common.cut(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def _named(spark: SparkSession, distinct: DataFrame, reach: int) -> DataFrame:
+    """(fp, root, component) of distinct fingerprints with their least ids."""
     found = components(spark, links(distinct.select("fp"), reach)).withColumnRenamed("node", "fp")
     rooted = distinct.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # only nodes with links need their component's smallest id
     linked = distinct.join(found, "fp").groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(linked, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "root")
-    return prints.join(named, "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    return rooted.join(linked, "root", "left").select("fp", "root", F.coalesce("component", "least").alias("component"))
+
+
+def groups(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, reach: int = REACH) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest id of the component)."""
+    spark = documents.sparkSession
+    prints = common.cut(spark, fingerprint(documents, text, shingle=shingle), "fingerprints")
+    distinct = common.cut(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    named = _named(spark, distinct, reach)
+    # rows of two numbers; where one fingerprint has very many, Spark splits this join
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def representatives(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each component, all columns kept: that of smallest id, a null id last, and of wholly equal rows one."""
+def representatives(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, reach: int = REACH) -> DataFrame:
+    """One row of each component, all columns kept: that of smallest id, a null id last, and of wholly equal rows one.
+
+    Each fingerprint's first row is found before anything is joined, so a large
+    group of copies moves as a row a task.
+    """
+    spark = documents.sparkSession
     names = ("__one", "__two")  # together 128 bits of a row's columns
     marked = documents.withColumns({n: F.xxhash64(F.lit(n), *documents.columns) for n in names})
-    found = groups(marked, text, keep=names)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *names)).alias("row")).select(*(F.col(f"row.{n}").alias(n) for n in names))
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *names)
+    prints = fingerprint(marked, text, ("doc_id", *names), shingle)
+    distinct = common.cut(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(row).alias("row")), "distinct")
+    named = _named(spark, distinct.select("fp", "least"), reach).select("fp", "root")
+    first = distinct.join(named, "fp").groupBy("root").agg(F.min("row").alias("row")).select(*(F.col(f"row.{n}").alias(n) for n in names))
     return marked.join(first, list(names), "left_semi").dropDuplicates(list(names)).select(*documents.columns)
