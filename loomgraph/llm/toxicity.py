@@ -2,8 +2,8 @@
 
 Two models, one of toxic and one of ordinary documents, predict each byte of a
 word (A-Z in lower case) from up to HISTORY bytes before it, the space in front
-of the word included. Each has its own discounted counts for the full history
-and backs off to one Kneser-Ney chain of continuation counts that both share,
+of the word included. Each has its own counts for the full history, discounted
+by DISCOUNT, and backs off to one Kneser-Ney chain of continuation counts that both share,
 so that an expression rare in both classes scores alike under either. The
 difference of the two log-likelihoods, divided by the length, is what is
 compared: over the whole document, and over its most telling words. A logistic
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import common
 
-#: Bytes of history of the full order.
-HISTORY = 5
+#: Bytes of history of the full order; seven and the byte itself make a number.
+HISTORY = 7
+#: What the class counts of the full order are discounted by. What one class has seen once says nothing.
+DISCOUNT = 1.0
 #: Labelled rows of either class that are used at most.
 SAMPLE_ROWS = 3000
 #: Longer documents aren't drawn into the sample, which bounds its bytes.
@@ -48,18 +50,28 @@ def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return eight, inside, word
 
 
-def _gram(eight: np.ndarray, inside: np.ndarray, history: int) -> np.ndarray:
-    """The last bytes as one number: at most history + 1 of them, no further back than the space before the word."""
-    n = np.minimum(inside + 2, history + 1).astype(np.uint64)
-    keep = (np.uint64(1) << (n * np.uint64(8))) - np.uint64(1)
-    fill = np.where(inside + 2 <= history + 1, 32, 0).astype(np.uint64) << ((n - np.uint64(1)) * np.uint64(8))
-    space = np.where(inside + 2 <= history + 1, np.uint64(255) << ((n - np.uint64(1)) * np.uint64(8)), np.uint64(0))
-    return ((eight & keep) & ~space) | fill | (n << np.uint64(56))
+def _shortened(eight: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The last n (1 to 8) of eight bytes."""
+    return eight & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - n.astype(np.uint64)) * np.uint64(8)))
 
 
-def _context(gram: np.ndarray) -> np.ndarray:
-    n = gram >> np.uint64(56)
-    return ((gram & np.uint64((1 << 56) - 1)) >> np.uint64(8)) | (n << np.uint64(56))
+def _gram(eight: np.ndarray, inside: np.ndarray, history: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last bytes and how many: at most history + 1, no further back than the space before the word."""
+    n = np.minimum(inside + 2, history + 1)
+    # where the space belongs, what stands before the word in the buffer is another byte of white space
+    shift = (n - 1).astype(np.uint64) * np.uint64(8)
+    first = inside + 2 <= history + 1
+    own = _shortened(eight, n)
+    return np.where(first, (own & ~(np.uint64(255) << shift)) | (np.uint64(32) << shift), own), n
+
+
+def _key(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return common.mix(gram ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _context_key(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The key of what stands before the last byte."""
+    return _key(gram >> np.uint64(8), n + 16)
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -82,12 +94,13 @@ class Model:
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-likelihood difference of each word, its end included."""
         eight, inside, word = _keys(data, starts, ends)
-        gram = _gram(eight, inside, HISTORY)
-        value = _look(self.contexts, self.context_difference, _context(gram))
-        at = np.searchsorted(self.grams, gram)
-        at[at == len(self.grams)] = 0
-        seen = self.grams[at] == gram if len(self.grams) else np.zeros(len(gram), bool)
-        value = np.where(seen, self.gram_difference[at] if len(self.grams) else 0.0, value)
+        gram, n = _gram(eight, inside, HISTORY)
+        value = _look(self.contexts, self.context_difference, _context_key(gram, n))
+        known = np.flatnonzero(value) if len(self.grams) else np.zeros(0, np.int64)  # other histories tell nothing
+        key = _key(gram[known], n[known])
+        at = np.minimum(np.searchsorted(self.grams, key), max(len(self.grams) - 1, 0))
+        hit = self.grams[at] == key if len(self.grams) else np.zeros(0, bool)
+        value[known[hit]] = self.gram_difference[at[hit]]
         return np.bincount(word, weights=value, minlength=len(starts))
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -123,55 +136,57 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[at], 0.0)
 
 
-def _shared_chain(gram: np.ndarray, pooled: np.ndarray) -> np.ndarray:
-    """The Kneser-Ney probability of each full gram's last byte from the shared lower orders."""
+def _shared_chain(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The Kneser-Ney probability of each distinct full gram's last byte from the shared lower orders."""
     levels = []
-    upper = gram[pooled > 0]
+    upper, long = gram, n
     for history in range(HISTORY - 1, -1, -1):
-        n = np.minimum(upper >> np.uint64(56), np.uint64(history + 1))
-        lower = (upper & ((np.uint64(1) << (n * np.uint64(8))) - np.uint64(1))) | (n << np.uint64(56))
-        keys, counts = np.unique(lower, return_counts=True)  # kinds of what stands before: continuation counts
-        levels.append((history, keys, counts.astype(float)))
-        upper = keys
+        short = np.minimum(long, history + 1)
+        lower = _shortened(upper, short)
+        keys, first, counts = np.unique(_key(lower, short), return_index=True, return_counts=True)  # kinds of what stands before: continuation counts
+        upper, long = lower[first], short[first]
+        levels.append((history, keys, counts.astype(float), _context_key(upper, long)))
     probability = np.full(len(gram), 1 / 256)
-    for history, keys, counts in reversed(levels):
+    for history, keys, counts, before in reversed(levels):
         discount = _discount(counts)
-        contexts, which = np.unique(_context(keys), return_inverse=True)
+        contexts, which = np.unique(before, return_inverse=True)
         total, kinds = np.bincount(which, weights=counts), np.bincount(which)
-        n = np.minimum(gram >> np.uint64(56), np.uint64(history + 1))
-        own = (gram & ((np.uint64(1) << (n * np.uint64(8))) - np.uint64(1))) | (n << np.uint64(56))
-        c, t = _look(keys, counts, own), _look(contexts, total, _context(own))
-        spare = _look(contexts, discount * kinds, _context(own))
+        short = np.minimum(n, history + 1)
+        own = _shortened(gram, short)
+        c, t = _look(keys, counts, _key(own, short)), _look(contexts, total, _context_key(own, short))
+        spare = _look(contexts, discount * kinds, _context_key(own, short))
         known = t > 0
         probability = np.where(known, (np.maximum(c - discount, 0) + spare * probability) / np.where(known, t, 1), probability)
     return probability
 
 
-def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Full grams and how many documents times words hold them: a word counts once a document."""
+def _counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """Distinct full grams, their lengths, and how many words of documents hold them: a word counts once a document."""
     lower = common.LOWER[data]
     starts, ends, rows = common.word_spans(lower, offsets)
     hashes = common.span_hashes(lower, starts, ends)
     once = np.unique(np.stack([hashes, rows.astype(np.uint64)]), axis=1, return_index=True)[1] if len(hashes) else np.zeros(0, int)
     eight, inside, _ = _keys(lower, starts[once], ends[once])
-    return np.unique(_gram(eight, inside, HISTORY), return_counts=True)
+    gram, n = _gram(eight, inside, HISTORY)
+    key, first, count = np.unique(_key(gram, n), return_index=True, return_counts=True)
+    return {"key": key, "gram": gram[first], "n": n[first], "count": count.astype(float)}
 
 
 def _models(toxic: pa.Array, ordinary: pa.Array) -> Model:
     counted = [_counts(*common.text_buffers(x)) for x in (toxic, ordinary)]
-    grams = np.union1d(counted[0][0], counted[1][0])
-    counts = [_look(k, c.astype(float), grams) for k, c in counted]
-    shared = _shared_chain(grams, counts[0] + counts[1])
-    contexts, which = np.unique(_context(grams), return_inverse=True)
+    keys, first = np.unique(np.concatenate([c["key"] for c in counted]), return_index=True)
+    gram, n = (np.concatenate([c[name] for c in counted])[first] for name in ("gram", "n"))
+    counts = [_look(c["key"], c["count"], keys) for c in counted]
+    shared = _shared_chain(gram, n)
+    contexts, which = np.unique(_context_key(gram, n), return_inverse=True)
     logs, spares = [], []
     for c in counts:
-        discount = _discount(c)
-        total, kinds = np.bincount(which, weights=c), np.bincount(which, weights=c > 0)
-        spare = np.where(total > 0, discount * kinds / np.where(total > 0, total, 1), 1.0)
-        own = np.where(total[which] > 0, np.maximum(c - discount, 0) / np.where(total[which] > 0, total[which], 1), 0.0)
+        total, kinds = np.bincount(which, weights=c), np.bincount(which, weights=np.minimum(c, DISCOUNT))
+        spare = np.where(total > 0, kinds / np.where(total > 0, total, 1), 1.0)
+        own = np.where(total[which] > 0, np.maximum(c - DISCOUNT, 0) / np.where(total[which] > 0, total[which], 1), 0.0)
         logs.append(np.log(own + spare[which] * shared + 1e-300))
         spares.append(np.log(np.maximum(spare, 1e-12)))
-    return Model(grams, logs[0] - logs[1], contexts, spares[0] - spares[1], np.zeros(5), np.zeros(4), np.ones(4))
+    return Model(keys, logs[0] - logs[1], contexts, spares[0] - spares[1], np.zeros(5), np.zeros(4), np.ones(4))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
