@@ -89,13 +89,14 @@ def parse(column: Column) -> Column:
     return F.struct(F.when(problem.isNull(), ref).alias("ref"), problem.alias("error"))
 
 
+def misnamed(ref: Column) -> Column:
+    """What a reference's type or namespace violates, or NULL."""
+    return F.when(~ref["entity_type"].rlike(ENTITY_TYPE), F.concat(F.lit("entity_type is malformed: "), ref["entity_type"])).when(~ref["namespace"].rlike(NAMESPACE), F.concat(F.lit("namespace is malformed: "), ref["namespace"]))
+
+
 def invalid(ref: Column) -> Column:
     """What a reference violates, or NULL."""
-    return (
-        F.when(~ref["entity_type"].rlike(ENTITY_TYPE), F.concat(F.lit("entity_type is malformed: "), ref["entity_type"]))
-        .when(~ref["namespace"].rlike(NAMESPACE), F.concat(F.lit("namespace is malformed: "), ref["namespace"]))
-        .when(text.nonempty(ref["key"]).isNull(), "key is blank")
-    )
+    return F.coalesce(misnamed(ref), F.when(text.nonempty(ref["key"]).isNull(), "key is blank"))
 
 
 def entity_key(ref: Column) -> Column:

@@ -79,7 +79,7 @@ class Values:
             return text.float_text(raw)
         if kind == "boolean":
             return F.when(raw, "True").when(~raw, "False")
-        return text.nonempty(raw.cast("string"))
+        return raw.cast("string")
 
     def json(self, name: str) -> Column:
         return text.json_value(self.raw(name), self.kinds.get(name, "string"))
@@ -123,7 +123,7 @@ class Entity:
         kind = F.lit(self.entity_type) if self.entity_type else values.text(self.entity_type_field)
         ref = identity.reference(kind, F.lit(self.namespace), values.text(self.key))
         reason = F.when(values.text(self.key).isNull(), f"entity key field {self.key!r} is empty").when(kind.isNull(), f"entity type field {self.entity_type_field!r} is empty")
-        return ref, F.coalesce(reason, identity.invalid(ref))
+        return ref, F.coalesce(reason, identity.misnamed(ref))
 
     def parts(self, values: Values) -> list[Part]:
         ref, reason = self.reference(values)
