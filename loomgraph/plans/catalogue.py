@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import identity, policy, text
+from loomgraph.functions import identity, policy, shapes, text
 from loomgraph.operators import admission, candidates, chunking, completions, evaluation, evidence, graph, ledger, registry, validate
 from loomgraph.operators.candidates import Attributes, Compose, Entity, Relation
 from loomgraph.operators.normalize import Field, normalize
@@ -550,3 +550,76 @@ def reference_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""select doc_id, trim(regexp_replace(regexp_replace(text[1:200], '^\s+', ''), '\s+$', '')) as bare from documents""")
 def strip_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.strip(F.substring("text", 1, 200)).alias("bare"))
+
+
+@query("""select case when o_orderpriority = '5-LOW' then 'without a winner a conflict is unresolved' when o_custkey % 2 = 0 and o_orderstatus <> 'F' then 'the winner is one of the assertions' end as violation, count(*) as n from orders group by 1""")
+def conflict_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as conflicts between two assertions, some with a winner from elsewhere, some resolved without one."""
+    o = table(spark, sf_dir, "orders")
+    low, stray = F.col("o_orderpriority") == "5-LOW", (F.col("o_custkey") % 2 == 0) & (F.col("o_orderstatus") != "F")
+    ids = F.array(F.lit("as_a"), F.lit("as_b"))
+    rows = o.select(ids.alias("assertion_ids"), F.when(~low, F.when(stray, "as_c").otherwise("as_a")).alias("preferred_assertion_id"), F.lit("RESOLVED").alias("status"))
+    return rows.groupBy(shapes.conflict_record().alias("violation")).agg(F.count("*").alias("n"))
+
+
+@query("""with s as (select 'ev_' || o_custkey as id, max(o_orderkey) as k, bool_or(o_orderstatus = 'F') as red, max(o_orderkey) filter (o_orderstatus = 'F') as kred from orders where o_orderdate < timestamp '1998-01-01' group by 1),
+  n as (select 'ev_' || o_custkey as id, max(o_orderkey) as k from orders where o_orderdate >= timestamp '1998-01-01' group by 1)
+  select coalesce(s.id, n.id) as evidence_id, case when s.red then 'old' when n.id is not null then 'new' else 'old' end as version, coalesce(s.red, false) as redacted from s full join n on s.id = n.id""")
+def evidence_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newer evidence replaces older of the same id, unless that was redacted."""
+    o = table(spark, sf_dir, "orders").withColumn("id", F.concat(F.lit("ev_"), F.col("o_custkey")))
+    early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    marked = F.when(F.max(F.col("o_orderstatus") == "F"), F.lit("2026-01-01").cast("timestamp"))
+    old = o.where(early).groupBy("id").agg(marked.alias("at"))
+    new = o.where(~early).select("id").distinct().withColumn("at", F.lit(None).cast("timestamp"))
+    rows = lambda frame, version: frame.select(*evidence.row("PRESENT", evidence_id=F.col("id"), payload_hash=F.lit(version), redacted_at=F.col("at")))
+    out = evidence.upsert(rows(old, "old"), rows(new, "new"))
+    return out.select("evidence_id", F.col("payload_hash").alias("version"), F.col("redacted_at").isNotNull().alias("redacted"))
+
+
+@query("""select distinct 'source/' || source as subject_id, 'ev_' || doc_id as evidence_id from documents where n_chars <= 2000""")
+def evidence_new_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations that aren't stored yet, each once: long documents are cited already, and everything is asked for twice."""
+    docs = table(spark, sf_dir, "documents")
+    every = docs.select(F.concat(F.lit("source/"), F.col("source")).alias("subject_id"), F.concat(F.lit("ev_"), F.col("doc_id")).alias("evidence_id"), F.lit("SUPPORTS").alias("relationship"), "n_chars")
+    asked = every.drop("n_chars")
+    return evidence.add_refs(every.where("n_chars > 2000").drop("n_chars"), asked.unionByName(asked)).select("subject_id", "evidence_id")
+
+
+@query("""select 'word/x/' || w as semantic_key, min(item_id) as first_item, 0.5::double as confidence from (select item_id, string_split(trim(text), ' ')[1] as w from benchmark) where w <> '' group by 1""")
+def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item of the benchmark read by a fixed model that names its first word: the first document of a word is its source."""
+    from loomgraph.plans.extraction import DocumentPipeline, Extractor
+
+    docs = chunking.documents(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text").orderBy("item_id").coalesce(1))
+    extractor = Extractor("words", "First word of {text}", [Field("name")], Entity("x", "name", "Word"), candidates.Scoring(0.9))
+
+    def answer(asked: DataFrame) -> DataFrame:
+        word = F.get(F.split(F.trim("text"), " "), F.lit(0))
+        return asked.withColumns({"response": F.to_json(F.array(F.struct(word.alias("name"), word.alias("quote"), F.lit(0.5).alias("confidence")))), "error": F.lit(None).cast("string")})
+
+    pipeline = DocumentPipeline("g", docs, chunking.whole, [extractor], answer, deterministic=True, run_id="r")
+    rows = pipeline.admitted(pipeline.built(pipeline.parsed())[0]).where("disposition = 'admitted'")
+    return rows.select("semantic_key", F.col("chunk.doc_id").cast("long").alias("first_item"), F.col("chunk.item.confidence").alias("confidence"))
+
+
+@query()
+def ablation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is naming all English documents better than naming long ones? Drawn with a seed over labelled rows."""
+    made, gold, arms = _arms(spark, sf_dir)
+    hits = evaluation.gold_hits(evaluation.matched(made, gold), gold, arms)
+    diffs = evaluation.paired(hits, "long", "english")
+    config = evaluation.Bootstrap(seed=11, resamples=50)
+    bounds = evaluation.bootstrap_exact(diffs, config, ["category"], "gold_idx", "diff")
+    verdict = evaluation.verdict("entity.recall", F.lit(0.0), F.lit(0.0), F.col("lower"), F.col("upper"), F.col("n_items"), config, F.array().cast("array<string>"))
+    return bounds.withColumn("verdict", verdict)
+
+
+@query(f"""with {_ARMS_SQL}, n as (select arm, count(*) filter (cat = 'entity') as n, count(distinct case when cat = 'entity' and k in (select k from g where cat = 'entity') then k end) as tp from c group by 1)
+  select arm as arm_id, 'entity.precision' as metric, round(tp / n::double, 9) as value from n union all select arm, 'entity.recall', round(tp / (select count(*) from g where cat = 'entity')::double, 9) from n""")
+def flat_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of both arms in long form, by provider."""
+    made, gold, arms = _arms(spark, sf_dir)
+    parts = evaluation.prf(evaluation.matched(made, gold), gold, arms).where("category = 'entity'")
+    pairs = F.array(*(F.struct(F.concat(F.lit("entity."), F.lit(m)).alias("metric"), F.round(m, 9).alias("value")) for m in ("precision", "recall")))
+    return parts.select("arm_id", F.explode(pairs).alias("x")).select("arm_id", "x.metric", "x.value")

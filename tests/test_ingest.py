@@ -19,14 +19,14 @@ from loomgraph.sources.store import Store
 ROWS = [{"id": "p1", "name": "Ann", "team": "t1", "height_cm": "170"}, {"id": "p2", "name": "Bob", "team": "t1", "height_cm": "175"}, {"id": "p3", "name": "Cy", "team": "t2", "height_cm": "180"}]
 SCHEMA = "id string, name string, team string, height_cm string"
 FIELDS = [Field("id", required=True), Field("name"), Field("team"), Field("height_cm", "int")]
-PLAYER, TEAM = Entity("usssa", "id", "Player", display_name="name"), Entity("usssa", "team", "Team")
+PLAYER, TEAM = Entity("league", "id", "Player", display_name="name"), Entity("league", "team", "Team")
 BUILDER = Compose(PLAYER, Attributes(PLAYER, ("height_cm",)), Relation("PLAYS_FOR", PLAYER, TEAM))
 ONTOLOGY = Ontology("1", frozenset({"Player", "Team"}), frozenset({"PLAYS_FOR"}), frozenset({"height_cm"}))
 AT = datetime(2026, 7, 14, tzinfo=UTC)
 
 
 def pipeline(spark, rows=ROWS, **options):
-    return Pipeline("baseball", R.from_rows(spark, rows, SCHEMA), BUILDER, Scoring(0.8), **({"fields": FIELDS, "ontology": ONTOLOGY, "run_id": "run-fixed", "clock": lambda: AT} | options))
+    return Pipeline("sports", R.from_rows(spark, rows, SCHEMA), BUILDER, Scoring(0.8), **({"fields": FIELDS, "ontology": ONTOLOGY, "run_id": "run-fixed", "clock": lambda: AT} | options))
 
 
 def test_plan_run_and_replay(spark, tmp_path):
@@ -45,7 +45,7 @@ def test_plan_run_and_replay(spark, tmp_path):
     assert (again.received, again.duplicates) == (0, 9)
     assert ledger.entries().count() == 9 and {r["state"] for r in ledger.entries().collect()} == {"RECEIVED"}
     heights = {r["semantic_key"]: r["value"] for r in planned.where("kind = 'attribute_assertion'").collect()}
-    assert heights == {"player/usssa/p1/height_cm": "170", "player/usssa/p2/height_cm": "175", "player/usssa/p3/height_cm": "180"}
+    assert heights == {"player/league/p1/height_cm": "170", "player/league/p2/height_cm": "175", "player/league/p3/height_cm": "180"}
 
 
 def test_bad_rows_give_nothing(spark):
@@ -110,7 +110,7 @@ def test_configuration_errors():
 
 def test_table_sync(spark):
     table = spark.createDataFrame([tuple(r.values()) for r in ROWS], SCHEMA)
-    planned, report = TableSync("baseball", table, ["id"], "db.players", BUILDER, Scoring(0.8), FIELDS, ONTOLOGY, version="v7").pipeline().plan()
+    planned, report = TableSync("sports", table, ["id"], "db.players", BUILDER, Scoring(0.8), FIELDS, ONTOLOGY, version="v7").pipeline().plan()
     assert report.locator == "db.players@snapshot=v7" and {r["coord"]["fragment"] for r in planned.collect()} == {"id=p1", "id=p2", "id=p3"}
 
 

@@ -6,7 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.errors import Conflict, SourceError
+from loomgraph.errors import ConfigurationError, Conflict, SourceError
 from loomgraph.sources import records as R
 from loomgraph.sources.store import Store
 
@@ -102,4 +102,12 @@ def test_store_commits_whole_and_once(spark, tmp_path):
     with pytest.raises(Conflict):
         store.commit({"a": one}, base=1)
     store.commit(None, {"a": one})
+    other = Store(spark, str(tmp_path / "s"), {"a": "x long"})
+    last = tmp_path / "s" / "_commits" / "0000000003.json"
+    kept = last.read_text()
+    (tmp_path / "s" / "_commits" / ".0000000003.json.crc").unlink(missing_ok=True)
+    last.write_text(kept.replace('"format": 1', '"format": 9'))
+    with pytest.raises(ConfigurationError):
+        other.read("a")
+    last.write_text(kept)
     assert [r[0] for r in store.read("a").collect()] == [1] and store.vacuum() == 3 and store.read("b").count() == 1

@@ -88,7 +88,7 @@ def test_strip_is_pythons(spark):
 
 
 def test_stable_suffix(spark):
-    parts = ["baseball", "entity", "player/usssa/p1"]
+    parts = ["sports", "entity", "player/league/p1"]
     number = int.from_bytes(hashlib.blake2b("\0".join(parts).encode(), digest_size=16).digest(), "big")
     want = "".join(identity.CROCKFORD[(number >> (5 * i)) & 31] for i in reversed(range(26)))
     assert identity.suffix_of(*parts) == want
@@ -97,7 +97,7 @@ def test_stable_suffix(spark):
 
 
 def test_references(spark):
-    got = spark.createDataFrame([("Player:usssa:a:b",), ("Player:x",), ("player:usssa:a",), ("Player:Usssa:a",), ("Player:usssa: ",), (None,)], "s string").select(identity.parse(F.col("s")).alias("p")).collect()
+    got = spark.createDataFrame([("Player:league:a:b",), ("Player:x",), ("player:league:a",), ("Player:League:a",), ("Player:league: ",), (None,)], "s string").select(identity.parse(F.col("s")).alias("p")).collect()
     assert got[0]["p"]["ref"]["key"] == "a:b" and got[0]["p"]["error"] is None
     assert all(r["p"]["ref"] is None and r["p"]["error"] for r in got[1:])
 
