@@ -225,7 +225,8 @@ def iso(column: Column) -> Column:
 def json_value(column: Column, kind: str) -> Column:
     """Canonical JSON of a scalar: sorted keys, no white space, whole floats with .0."""
     if kind == "string":
-        return F.when(column.isNotNull(), F.regexp_replace(F.to_json(F.struct(column.alias("v"))), r"^\{\"v\":|\}$", ""))
+        listed = F.to_json(F.array(column))  # ["..."]
+        return F.when(column.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
     if kind == "variant":
         return F.when(column.isNotNull(), F.to_json(column))
     if kind == "double":

@@ -21,7 +21,7 @@ from loomgraph.functions import identity, text
 REF = "struct<entity_type:string,namespace:string,key:string>"
 #: What builders fill in; the run adds the rest.
 BODY = {
-    "kind": "string", "semantic_key": "string", "hashed": "string", "entity_type": "string", "aliases": f"array<{REF}>", "display_name": "string", "properties": "string", "relation_type": "string",
+    "kind": "string", "semantic_key": "string", "entity_type": "string", "aliases": f"array<{REF}>", "display_name": "string", "properties": "string", "relation_type": "string",
     "subject": "string", "object": "string", "attribute": "string", "value": "string", "valid_from": "timestamp", "valid_to": "timestamp", "artifact_type": "string", "artifact_hash": "string", "source_uri": "string", "media_type": "string",
 }
 SCORES = "struct<extraction_confidence:double,source_reliability:double,identity_confidence:double,assertion_confidence:double,corroboration_score:double,policy_risk:double>"
@@ -128,8 +128,7 @@ class Entity:
     def parts(self, values: Values) -> list[Part]:
         ref, reason = self.reference(values)
         properties = values.properties(self.properties)
-        hashed = F.concat(F.lit('{"alias":'), text.json_value(identity.render(ref), "string"), F.lit(',"properties":'), properties, F.lit("}"))
-        made = body(kind=F.lit("entity"), semantic_key=identity.entity_key(ref), hashed=hashed, entity_type=ref["entity_type"], aliases=F.array(ref), display_name=values.text(self.display_name) if self.display_name else F.lit(None), properties=properties)
+        made = body(kind=F.lit("entity"), semantic_key=identity.entity_key(ref), entity_type=ref["entity_type"], aliases=F.array(ref), display_name=values.text(self.display_name) if self.display_name else F.lit(None), properties=properties)
         return [(reason, made)]
 
 
@@ -157,8 +156,7 @@ class Attributes:
         for name in self.names:
             value = values.json(name)
             key = F.concat(identity.entity_key(ref), F.lit(f"/{name}"), identity.period_suffix(start))
-            hashed = F.concat(F.lit(f'{{"attribute":"{name}","value":'), value, F.lit("}"))
-            made = body(kind=F.lit("attribute_assertion"), semantic_key=key, hashed=hashed, subject=identity.render(ref), attribute=F.lit(name), value=value, valid_from=start, valid_to=end)
+            made = body(kind=F.lit("attribute_assertion"), semantic_key=key, subject=identity.render(ref), attribute=F.lit(name), value=value, valid_from=start, valid_to=end)
             out.append((F.coalesce(reason, inverted), F.when(values.raw(name).isNotNull(), made)))
         return out
 
@@ -185,10 +183,7 @@ class Relation:
         shape = F.when(~kind.rlike(identity.RELATION_TYPE), F.concat(F.lit("relation_type must be UPPER_SNAKE: "), kind))
         properties = values.properties(self.properties)
         key = F.concat(F.concat_ws("/", identity.entity_key(a), kind, identity.entity_key(b)), identity.period_suffix(start))
-        hashed = F.concat(
-            F.lit('{"object":'), text.json_value(identity.render(b), "string"), F.lit(',"properties":'), properties, F.lit(f',"relation":"{self.relation_type}","subject":'), text.json_value(identity.render(a), "string"), F.lit("}")
-        )
-        made = body(kind=F.lit("relation"), semantic_key=key, hashed=hashed, relation_type=kind, subject=identity.render(a), object=identity.render(b), properties=properties, valid_from=start, valid_to=end)
+        made = body(kind=F.lit("relation"), semantic_key=key, relation_type=kind, subject=identity.render(a), object=identity.render(b), properties=properties, valid_from=start, valid_to=end)
         return [(F.coalesce(bad_a, bad_b, inverted, shape), made)]
 
 
@@ -220,7 +215,21 @@ def construction(frame: DataFrame, builder, reason: str = "construction", made:
     return frame.withColumns(values.prepared).withColumns(columns).drop(*values.prepared)
 
 
+def content_hash() -> Column:
+    """A digest of what a candidate says, from the body's columns: worked out for those that are admitted."""
+    word = lambda c: text.json_value(c, "string")
+    entity = F.concat(F.lit('{"alias":'), word(identity.render(F.get("aliases", F.lit(0)))), F.lit(',"properties":'), F.col("properties"), F.lit("}"))
+    fact = F.concat(F.lit('{"attribute":'), word(F.col("attribute")), F.lit(',"value":'), F.col("value"), F.lit("}"))
+    edge = F.concat(F.lit('{"object":'), word(F.col("object")), F.lit(',"properties":'), F.col("properties"), F.lit(',"relation":'), word(F.col("relation_type")), F.lit(',"subject":'), word(F.col("subject")), F.lit("}"))
+    said = F.when(F.col("kind") == "entity", entity).when(F.col("kind") == "attribute_assertion", fact).when(F.col("kind") == "relation", edge)
+    return F.when(F.col("kind") == "artifact", F.col("artifact_hash")).otherwise(identity.content_hash(said))
+
+
 def explode(frame: DataFrame, made: str = "made") -> DataFrame:
-    """A row a candidate: rec_idx, coord, pos (place within the record), and the body's columns."""
-    pos = F.posexplode(made).alias("pos", "c")
+    """A row a candidate: rec_idx, coord, pos (place within the record), and the body's columns.
+
+    The outer form, since Spark would put a filter on the array's size under the
+    other one and so build every candidate twice.
+    """
+    pos = F.posexplode_outer(made).alias("pos", "c")
     return frame.select("rec_idx", "coord", pos).where("c is not null").select("rec_idx", "coord", "pos", "c.*")

@@ -42,7 +42,7 @@ COLUMNS = {
     **dict.fromkeys(("candidate_id", "graph_id", "kind", "semantic_key", "content_hash", "producer", "producer_run_id", "ontology_version", "trace_id"), "string"),
     "created_at": "timestamp", "rec_idx": "long", "pos": "int", "coord": COORD, "scores": SCORES, "evidence_refs": REFS,
     **dict.fromkeys(("model_id", "model_version", "extractor_version", "prompt_version", "passage"), "string"),
-    **{name: kind for name, kind in BODY.items() if name not in ("kind", "semantic_key", "hashed")},
+    **{name: kind for name, kind in BODY.items() if name not in ("kind", "semantic_key")},
 }
 CANDIDATE = ", ".join(f"{name} {kind}" for name, kind in COLUMNS.items())
 

@@ -101,7 +101,7 @@ def composite_disposition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = records(line, place, "l_partkey", "l_suppkey", "l_discount")
     values = normalize(frame, [Field("l_partkey", "int"), Field("l_suppkey", "int"), Field("l_discount", "float")])
     made = candidates.construction(values, Compose(PART, SUPPLIER, Relation("SUPPLIED_BY", PART, SUPPLIER)))
-    rows = made.select("rec_idx", F.col("values.l_discount").alias("discount"), F.posexplode("made").alias("pos", "c")).select("rec_idx", "pos", "discount", "c.kind", "c.semantic_key")
+    rows = made.select("rec_idx", F.col("values.l_discount").alias("discount"), F.posexplode_outer("made").alias("pos", "c")).where("c is not null").select("rec_idx", "pos", "discount", "c.kind", "c.semantic_key")
     judged = admission.disposition(rows, F.col("discount") <= 0.05)
     return judged.groupBy("kind", "disposition").agg(F.count("*").alias("n"))
 

@@ -110,7 +110,7 @@ class DocumentPipeline:
             judged = judged.withColumn("why", why)
             bad = judged.where("why is not null").groupBy(F.col("chunk.doc_id").alias("doc_id"), F.col("chunk.fragment").alias("fragment"), F.col("chunk.ext_ord").alias("ext_ord")).agg(F.min_by("why", F.col("chunk.item_ord")).alias("why"))
             ok = judged.withColumns({"doc_id": F.col("chunk.doc_id"), "fragment": F.col("chunk.fragment")}).join(bad.select("doc_id", "fragment"), ["doc_id", "fragment"], "left_anti")
-            made = ok.select("chunk", "coord", F.posexplode("made").alias("pos", "c")).where("c is not null").select("chunk", "coord", "pos", "c.*", F.lit(place).alias("ext_ord"))
+            made = ok.select("chunk", "coord", F.posexplode_outer("made").alias("pos", "c")).where("c is not null").select("chunk", "coord", "pos", "c.*", F.lit(place).alias("ext_ord"))
             lost = own.where("error is not null").select("doc_id", "fragment", "extractor", F.col("error").alias("why")).unionByName(bad.select("doc_id", "fragment", F.lit(e.extractor_id).alias("extractor"), "why"))
             rows, failures = (made, lost) if rows is None else (rows.unionByName(made), failures.unionByName(lost))
         message = F.concat(F.lit("extractor="), F.col("extractor"), F.lit(" doc="), F.col("doc_id"), F.lit(" chunk="), F.col("fragment"), F.lit(": "), F.col("why"))
@@ -130,7 +130,7 @@ class DocumentPipeline:
         docs = self.docs().join(self.chunks().select("doc_id").distinct(), "doc_id", "left_semi")
         digest = identity.content_hash(F.col("text"))
         made = candidates.body(
-            kind=F.lit("artifact"), semantic_key=F.concat(F.lit("artifact/source_document/"), F.col("doc_id")), hashed=F.col("text"), artifact_type=F.lit("source_document"), artifact_hash=digest, source_uri=F.col("locator"), media_type=F.lit("text/plain")
+            kind=F.lit("artifact"), semantic_key=F.concat(F.lit("artifact/source_document/"), F.col("doc_id")), artifact_type=F.lit("source_document"), artifact_hash=digest, source_uri=F.col("locator"), media_type=F.lit("text/plain")
         )
         coord = F.struct(F.col("source_type"), F.col("locator"), F.lit("document").alias("fragment"), F.lit(None).cast("string").alias("source_version"))
         zero = lambda n: F.lit(0).alias(n)
@@ -166,7 +166,7 @@ class DocumentPipeline:
         base = F.when(fact, self._per_extractor("producer")).otherwise(F.lit(self.producer))
         return rows.withColumns(
             {
-                "candidate_id": identity.candidate_id(graph, F.col("kind"), key), "graph_id": graph, "content_hash": identity.content_hash(F.col("hashed")), "producer": base, "producer_run_id": run,
+                "candidate_id": identity.candidate_id(graph, F.col("kind"), key), "graph_id": graph, "content_hash": candidates.content_hash(), "producer": base, "producer_run_id": run,
                 "ontology_version": F.lit(self.ontology.version if self.ontology else "unversioned"), "trace_id": identity.trace_id(run, graph, F.col("kind"), key), "created_at": F.lit(at).cast("timestamp"), "scores": scores,
                 "evidence_refs": refs, "passage": F.when(fact, F.left(chunk("text"), F.lit(PASSAGE))), "rec_idx": F.col("doc_ord"), "pos": F.col("pos"),
             }

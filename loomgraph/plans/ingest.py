@@ -122,7 +122,7 @@ class Pipeline:
         version = self.ontology.version if self.ontology else "unversioned"
         wide = built.where("disposition = 'admitted'").withColumns(
             {
-                "candidate_id": own, "graph_id": graph, "content_hash": identity.content_hash(F.col("hashed")), "producer": F.lit(self.producer), "producer_run_id": run, "ontology_version": F.lit(version),
+                "candidate_id": own, "graph_id": graph, "content_hash": candidates.content_hash(), "producer": F.lit(self.producer), "producer_run_id": run, "ontology_version": F.lit(version),
                 "trace_id": identity.trace_id(run, graph, F.col("kind"), key), "created_at": F.lit(at).cast("timestamp"), "scores": self.scoring.column(), "evidence_refs": F.array().cast("array<struct<evidence_id:string,relationship:string>>"),
                 **{n: F.lit(None).cast("string") for n in ("model_id", "model_version", "extractor_version", "prompt_version", "passage")},
             }
