@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,6 +22,8 @@ CHUNK_BYTES = 2 << 20
 ARROW_ROWS = 512
 
 _SHIPPED: set[str] = set()
+#: Folders made in this process, for clear().
+_MADE: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -49,7 +50,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         os.makedirs(base, exist_ok=True)
         spark.sparkContext.setCheckpointDir(base)
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables and models of this process, once results are written; how many there were."""
+    hadoop, gone = spark._jvm.org.apache.hadoop.fs, len(_MADE)
+    while _MADE:
+        path = hadoop.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def cut(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFrame:
@@ -196,7 +207,3 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     for i in np.flatnonzero(very_long):
         out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=7)
     return out
-
-
-def clean(folder: str) -> None:
-    shutil.rmtree(folder, ignore_errors=True)

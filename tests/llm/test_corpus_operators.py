@@ -72,6 +72,16 @@ def test_slices_are_bounded():
     assert list(common.slices(offsets, 10)) == [(0, 2), (2, 3), (3, 5)]
 
 
+def test_clearing_what_was_cut(spark, documents):
+    kept = common._MADE[:]
+    common._MADE.clear()
+    frame = common.cut(spark, documents.select("doc_id"), "test")
+    assert frame.count() == documents.count() and common.clear(spark) == 1
+    with pytest.raises(Exception, match="(?i)exist|not found|FileNotFound"):
+        common.table(spark, "/nowhere", "x").count()
+    common._MADE.extend(kept)
+
+
 # ---------------------------------------------------------------- 1
 
 
