@@ -105,5 +105,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op4_secrets": secrets.oracle(),
 }

@@ -394,3 +394,14 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
 
     out = marked.mapInArrow(common.released(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
     return out if keep_text else out.drop("kept")
+
+
+#: DuckDB SQL for the same rows where ids are unique: every window beside its earlier equals, byte by byte.
+ORACLE = """with d as (select coalesce(doc_id, -9223372036854775808) as id, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+  b as (select id, n, unnest(range(0, n)) as p, h from d where n > 0),
+  w as (select id, n, p, substr(h, 2 * p + 1, 2) as byte, case when p + 100 <= n then substr(h, 2 * p + 1, 200) end as s from b),
+  f as (select *, s is not null and row_number() over (partition by s order by id, p) > 1 as again from w),
+  r as (select *, coalesce(max(case when again then p end) over (partition by id order by p rows between 99 preceding and current row), -1) >= 0 as gone from f),
+  e as (select *, gone and not coalesce(lag(gone) over (partition by id order by p), false) as starts from r),
+  a as (select id, count(*) filter (gone) as n_removed, count(*) filter (starts) as n_spans, coalesce(string_agg(byte, '' order by p) filter (not gone), '') as kept from e group by 1)
+  select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join a using (id)"""

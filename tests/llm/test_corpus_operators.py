@@ -141,6 +141,12 @@ def test_repeated_bytes_of_the_table(spark, documents):
     assert suffix_dedup.repeated(empty(documents)).count() == 0
 
 
+def test_repeated_bytes_match_sql(spark):
+    from tests.helpers import duck, same
+
+    assert same(queries.op1_suffix_dedup(spark, SMALL), duck(SMALL), queries.ORACLES["op1_suffix_dedup"])
+
+
 # ---------------------------------------------------------------- 2 and 10
 
 
