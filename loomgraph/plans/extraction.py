@@ -1,6 +1,8 @@
 """Extraction end to end: documents, chunks, completions, items, candidates with evidence.
 
-Each extractor's chunks are asked for, parsed and built in one pass. What fails
+Each extractor's chunks are asked for, parsed and built in one pass. Answers are
+written to a folder before anything is read from them: a model asked twice may
+answer otherwise, so a lost executor must not ask again. What fails
 for one (chunk, extractor) is a row of failures; its siblings go on. Order is
 (document, chunk, extractor, item, part), so the first of a key is the same in
 every run. Evidence belongs to admitted candidates and is written by run() only.
@@ -69,6 +71,8 @@ class DocumentPipeline:
     artifacts: bool = False
     run_id: str | None = None
     clock: Callable[[], datetime] = lambda: datetime.now(UTC)
+    #: Where answers are kept: by default in spark.checkpoint.dir; without either they are only persisted.
+    folder: str | None = None
     _docs: DataFrame | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
@@ -90,11 +94,21 @@ class DocumentPipeline:
         chunks = self.chunks()
         for place, e in enumerate(self.extractors):
             asked = completions.requests(chunks, e.template, e.system).withColumns({"extractor": F.lit(e.extractor_id), "ext_ord": F.lit(place)})
-            got = self.answer(asked)
+            got = self._settled(self.answer(asked))
             rows = completions.parse(got).drop("prompt", "system")
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    def _settled(self, answered: DataFrame) -> DataFrame:
+        """Answers that stay as they are, whoever is lost."""
+        spark = answered.sparkSession
+        base = self.folder or spark.conf.get("spark.checkpoint.dir", None)
+        if self.deterministic or not base:
+            return answered.persist()
+        target = f"{base.rstrip('/')}/answers-{identity.random_suffix()}"
+        answered.write.parquet(target)
+        return spark.read.schema(answered.schema).parquet(target)
+
     def built(self, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(candidates of all extractors with their chunk, failures): an item that can't be built fails its (chunk, extractor)."""
         rows = failures = None

@@ -163,6 +163,9 @@ class Pipeline:
                     report.ledger_duplicates = duplicates(planned, ledger.store.read("entries"), ledger.live().where(F.col("graph_id") == self.graph_id)).count()
             self._count(report, judged, built)
         finally:
+            judged.unpersist()
+            if sink:  # outcomes are read from what the ledger staged
+                built.unpersist()
             report.elapsed = time.monotonic() - began
         return outcome, report
 
