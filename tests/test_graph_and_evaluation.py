@@ -359,3 +359,13 @@ def test_routes_cover_all_pairs():
 
     assert all(INVERSE.get(b) in (a, "RESTORE_IDENTITY") for a, b in INVERSE.items()) and "PROMOTE" not in INVERSE
     assert list(itertools.islice(INVERSE, 1)) == ["CREATE_IDENTITY"]
+
+
+def test_windowed_counts(spark, tmp_path):
+    from loomgraph.streaming import ingest as streaming
+
+    rows = [(AT + timedelta(minutes=m), k) for m, k in ((0, "a"), (1, "a"), (4, "b"), (6, "a"), (7, "b"))]
+    spark.createDataFrame(rows, "ts timestamp, kind string").write.parquet(str(tmp_path / "e"))
+    counts = streaming.windowed_counts(streaming.read_files(spark, str(tmp_path / "e"), "ts timestamp, kind string"), "ts", "kind", "5 minutes", "1 minute")
+    counts.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["start"].minute, r["kind"], r["n"]) for r in spark.table("windows").collect()) == [(0, "a", 2), (0, "b", 1), (5, "a", 1), (5, "b", 1)]
