@@ -160,20 +160,30 @@ def _shared_chain(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     return probability
 
 
-def _counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Distinct full grams, their lengths, and how many words of documents hold them: a word counts once a document."""
-    lower = common.LOWER[data]
-    starts, ends, rows = common.word_spans(lower, offsets)
-    hashes = common.span_hashes(lower, starts, ends)
-    once = np.unique(np.stack([hashes, rows.astype(np.uint64)]), axis=1, return_index=True)[1] if len(hashes) else np.zeros(0, int)
-    eight, inside, _ = _keys(lower, starts[once], ends[once])
-    gram, n = _gram(eight, inside, HISTORY)
-    key, first, count = np.unique(_key(gram, n), return_index=True, return_counts=True)
-    return {"key": key, "gram": gram[first], "n": n[first], "count": count.astype(float)}
+def _counts(column: pa.Array) -> dict[str, np.ndarray]:
+    """Distinct full grams, their lengths, and how many words of documents hold them: a word counts once a document. Texts are taken a chunk at a time."""
+    data, offsets = common.text_buffers(column)
+    held = {"key": np.zeros(0, np.uint64), "gram": np.zeros(0, np.uint64), "n": np.zeros(0, np.int64), "count": np.zeros(0)}
+    for low, high in common.slices(offsets):
+        lower = common.LOWER[data[offsets[low] : offsets[high]]]
+        starts, ends, rows = common.word_spans(lower, offsets[low : high + 1] - offsets[low])
+        if not len(starts):
+            continue
+        hashes = common.span_hashes(lower, starts, ends)
+        once = np.unique(common.mix(hashes + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+        eight, inside, _ = _keys(lower, starts[once], ends[once])
+        gram, n = _gram(eight, inside, HISTORY)
+        key, first, count = np.unique(_key(gram, n), return_index=True, return_counts=True)
+        merged, at, where = np.unique(np.concatenate([held["key"], key]), return_index=True, return_inverse=True)
+        held = {
+            "key": merged, "gram": np.concatenate([held["gram"], gram[first]])[at], "n": np.concatenate([held["n"], n[first]])[at],
+            "count": np.bincount(where, weights=np.concatenate([held["count"], count]), minlength=len(merged)),
+        }
+    return held
 
 
 def _models(toxic: pa.Array, ordinary: pa.Array) -> Model:
-    counted = [_counts(*common.text_buffers(x)) for x in (toxic, ordinary)]
+    counted = [_counts(x) for x in (toxic, ordinary)]
     keys, first = np.unique(np.concatenate([c["key"] for c in counted]), return_index=True)
     gram, n = (np.concatenate([c[name] for c in counted])[first] for name in ("gram", "n"))
     counts = [_look(c["key"], c["count"], keys) for c in counted]
@@ -214,7 +224,8 @@ def fit(texts: list[str], labels: list[int], folds: list[int]) -> Model:
         held = np.zeros(len(y), bool)
     model = _models(pick(~held & (y == 1)), pick(~held & (y == 0)))
     use = held if held.any() else ~held
-    x = model.features(*common.text_buffers(pick(use)))
+    data, offsets = common.text_buffers(pick(use))
+    x = np.concatenate([model.features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in common.slices(offsets)])
     model.centre, model.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     model.weights = _logistic((x - model.centre) / model.scale, y[use])
     return model
