@@ -54,6 +54,6 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     kept = F.filter(grown, lambda x: text.strip(x["piece"]) != "")
     rows = parts.select("doc_id", "source_type", "locator", F.posexplode(kept).alias("index", "p"))
     bare = text.strip(F.col("p.piece"))
-    lead = F.length("p.piece") - F.length(F.regexp_replace("p.piece", r"^(?U)[\s\x1c-\x1f]+", ""))
+    lead = F.length("p.piece") - F.length(F.ltrim(F.col("p.piece"), F.lit(text.SPACES)))
     start = F.col("p.base") + lead
     return _finish(rows.withColumns({"start": start, "end": start + F.length(bare), "chunk": bare}))

@@ -130,7 +130,7 @@ def coercion_issues_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("flag", F.get_json_object("props", "$.k"))
     frame = records(events, F.col("event_id"), F.col("value").alias("rank"), "flag", F.col("ts").alias("seen"), F.col("event_type").alias("kind"))
     values = normalize(frame, [Field("rank", "int"), Field("flag", "bool", required=True), Field("seen", "datetime"), Field("kind", "float")])
-    return values.select(F.explode("issues").alias("i")).groupBy(F.col("i.field").alias("field"), F.col("i.code").alias("code")).agg(F.count("*").alias("n"))
+    return values.select(F.explode_outer("issues").alias("i")).where("i is not null").groupBy(F.col("i.field").alias("field"), F.col("i.code").alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("""select valid, failure_kind, reason, count(*) as n from (select c_custkey is not null as valid, case when c_custkey is null then 'BAD_DATA' end as failure_kind,
