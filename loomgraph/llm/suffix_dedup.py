@@ -84,11 +84,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GR
     value ^= value >> np.uint64(29)
     width = span - gram + 1
     grams, value = value, _sliding(value, width, np.minimum)
-    # two anchors of one hash that a window can hold: the run repeats itself
+    # two anchors of one hash that a window or its neighbour can hold: the run repeats itself
     highest = _sliding(np.concatenate([np.full(width - 1, value[0]), value, np.full(width - 1, value[-1])]), width, np.maximum)
     anchors = np.flatnonzero(grams == highest)
     own = grams[anchors]
-    periodic = np.unique(own[1:][(own[1:] == own[:-1]) & (np.diff(anchors) < width)])
+    periodic = np.unique(own[1:][(own[1:] == own[:-1]) & (np.diff(anchors) <= width)])
     room = np.diff(offsets) - span + 1
     rows = np.flatnonzero(room > 0)
     edge = np.zeros(windows + 1, np.int8)

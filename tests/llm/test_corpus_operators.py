@@ -136,6 +136,13 @@ def test_equal_null_ids_keep_one(spark, awkward):
     assert got == [0, len(rows[0][1])]
 
 
+def test_repeated_lines_of_every_period(spark):
+    draw = random.Random(12)
+    line = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n - 1)) + "\n"
+    rows = [(n, line(n) * (500 // n + 2)) for n in range(1, 111)]
+    assert _sorted(tuple(r)[:5] for r in suffix_dedup.repeated(rows_of(spark, rows)).collect()) == _sorted(removed(rows))
+
+
 def test_repeated_bytes_of_the_table(spark, documents):
     assert _sorted(tuple(r)[:5] for r in suffix_dedup.repeated(documents).collect()) == _sorted(removed(texts()))
     assert suffix_dedup.repeated(empty(documents)).count() == 0
