@@ -378,6 +378,16 @@ def test_benchmark_passages(spark):
     assert {900, 901, 902} <= kept and None not in kept and kept.isdisjoint({d for d, _ in truth & got})
 
 
+def test_short_item_in_a_third_of_rows_amid_rare_words(spark):
+    """The item's words weigh little there, so the cosine alone passes it over."""
+    draw = random.Random(15)
+    rare = lambda n: ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n)]
+    items = [(1, " ".join(rare(16))), (2, " ".join(rare(2)))]
+    docs = [(d, " ".join([*rare(draw.randint(20, 60)), *([items[0][1]] if d % 3 == 0 else []), *([items[1][1]] if d % 3 == 1 else []), *rare(40)])) for d in range(300)]
+    found = decontamination.matches(rows_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, d % 3 + 1) for d in range(300) if d % 3 < 2} and all(r["common"] == 1.0 for r in found)
+
+
 def test_retrieval_recalls_what_brute_force_finds(spark, monkeypatch):
     """Candidates by the latent space against cosines of the whole vectors, at the same least cosine."""
     monkeypatch.setattr(decontamination, "RANK", 24)
