@@ -664,6 +664,60 @@ def test_language_model_query(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def _similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_of_the_pipeline(spark, awkward):
+    """Planted copies at 0.8 to 0.95 go, and what is less alike stays."""
+    import corpus_pipeline
+
+    draw = random.Random(16)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows, gone, wanted = [], set(), [0.6, 0.7, 0.78, 0.8, 0.82, 0.85, 0.9, 0.95]
+    for n in range(40):
+        own = [word() for _ in range(draw.randint(120, 400))]
+        copy, least = list(own), wanted[n % len(wanted)]
+        while True:
+            more = list(copy)
+            more[draw.randrange(len(more))] = word()
+            if _similarity(own, more) < least:
+                break
+            copy = more
+        if least < 0.8 and _similarity(own, copy) >= 0.8:
+            copy = more
+        rows += [(1000 + 2 * n, " ".join(own)), (1001 + 2 * n, " ".join(copy).upper())]
+        gone |= {1001 + 2 * n} if _similarity(own, copy) >= 0.8 else set()
+    assert len(gone) == 25
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows_of(spark, rows), SMALL).collect()]
+    assert sorted(kept) == sorted({i for i, _ in rows} - gone)
+
+
+def test_near_copies_are_components(spark, awkward):
+    """Against all pairs, with a chain whose ends are less alike than its neighbours."""
+    import corpus_pipeline
+
+    draw = random.Random(17)
+    chain = [f"w{draw.random()}" for _ in range(150)]
+    rows = [*awkward]
+    for n in range(12):
+        rows.append((2000 + n, " ".join(chain)))
+        chain[draw.randrange(len(chain))] = f"x{n}"
+        chain[draw.randrange(len(chain))] = f"y{n}"
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOWER)) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if split[i] == split[j] or split[i] and split[j] and _similarity(split[i], split[j]) >= 0.8:
+                old, new = sorted((label[i], label[j]), reverse=True)
+                label = [new if x == old else x for x in label]
+    least = [min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if label[i] == g) for g in set(label)]
+    kept = corpus_pipeline.drop_near_copies(spark, rows_of(spark, rows), SMALL).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(least)
+    assert corpus_pipeline.drop_near_copies(spark, rows_of(spark, rows).where("false"), SMALL).count() == 0
+
+
 def test_pipeline_is_its_stages(spark, tmp_path):
     """Each stage's decision against the operators' own brute force, on the table as it comes to that stage."""
     import corpus_pipeline
