@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Rows in an Arrow batch, so that batches of long texts stay small.
 ARROW_ROWS = 512
+#: Stored input that one bucket answers for at most. What a bucket holds in memory is a small multiple of it.
+BUCKET_BYTES = 16 << 20
 
 _SHIPPED: set[str] = set()
 #: Folders made in this process, for clear().
@@ -43,9 +46,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder that the driver and all executors see: in spark.checkpoint.dir, or a local one where that is unset."""
+    """A new folder that the driver and all executors see: in spark.checkpoint.dir. Where that is unset, only a local master has one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "loomgraph-shared")
         os.makedirs(base, exist_ok=True)
         spark.sparkContext.setCheckpointDir(base)
@@ -56,33 +61,109 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 def clear(spark: SparkSession) -> int:
     """Delete the intermediate tables and models of this process, once results are written; how many there were."""
-    hadoop, gone = spark._jvm.org.apache.hadoop.fs, len(_MADE)
+    gone = len(_MADE)
     while _MADE:
-        path = hadoop.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _MADE.pop())
     return gone
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Spark deletes the shuffle files of an execution at its end; by default they stay until the driver collects its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, and survives lost executors."""
+    """Write a frame to the shared folder and read it back: cuts lineage, and survives lost executors. What was shuffled for it is gone afterwards."""
     target = shared_folder(spark, purpose)
-    frame.write.mode("overwrite").parquet(target)
-    return spark.read.schema(frame.schema).parquet(target)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        frame.write.mode("overwrite").parquet(target)
+    finally:
+        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+    out = spark.read.schema(frame.schema).parquet(target)
+    out.folder = target
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that cut wrote and that nothing reads any more."""
+    for frame in frames:
+        _MADE.remove(frame.folder)
+        _delete(frame.sparkSession, frame.folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bucket_count(spark: SparkSession, per_partition: int = 2) -> int:
-    """Buckets follow the session's shuffle partitions, which a cluster sets by the size of its input."""
-    return max(8, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def free_names(frame: DataFrame, *wanted: str) -> tuple[str, ...]:
+    """Names that no column of a frame has, in any case."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in wanted:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return tuple(out)
+
+
+def input_bytes(frame: DataFrame) -> int | None:
+    """Bytes that a frame's sources hold as they are stored, None where Spark can't tell."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total if total < 1 << 60 else None
+
+
+def bucket_count(frame: DataFrame, per_partition: int = 2) -> int:
+    """Buckets that keep the stored input of one at BUCKET_BYTES at most, and no fewer than the session's shuffle partitions ask for."""
+    asked = per_partition * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, asked, -(-(input_bytes(frame) or 0) // BUCKET_BYTES))
 
 
 def crc_mod(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+# ---------------------------------------------------------------- labelled samples
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, free: Column, sample_rows: int, sample_bytes: int, folds: int) -> DataFrame:
+    """(doc_id, text, label, fold): at most sample_rows labelled rows of either class, drawn by a hash of the id.
+
+    An id that is labelled both ways isn't drawn. Texts that are too long, or
+    missing, are left out before the draw as far as twice the rows go. Of rows
+    that share an id one is taken, whichever text is smallest.
+    """
+    usable = labels.select("doc_id", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & free)
+    usable = usable.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
+    pick = lambda frame, rows: [frame.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    asked = pick(usable, 2 * sample_rows)
+    chosen = F.broadcast(asked[0].unionByName(asked[1]))  # at most 4 * sample_rows ids
+    fits = documents.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(chosen, "doc_id")
+    drawn = pick(fits.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")), sample_rows)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(folds)).cast("int").alias("fold")
+    return drawn[0].unionByName(drawn[1]).select("doc_id", "text", "label", fold)
+
+
+def fitted(sample: DataFrame, fit, folder: str) -> None:
+    """Run fit(texts, labels, folds) on a bounded sample in one executor task, which writes its arrays to the shared folder."""
+
+    from loomgraph.llm import shards
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("doc_id", "ascending")])
+        shards.write(folder, "model", fit(rows["text"].to_pylist(), rows["label"].to_pylist(), rows["fold"].to_pylist()).arrays())
+        return pa.table({"n": pa.array([rows.num_rows], pa.int64())})
+
+    if not sample.groupBy().applyInArrow(run, "n long").collect():
+        shards.write(folder, "model", fit([], [], []).arrays())
+
+
 # ---------------------------------------------------------------- Arrow access
 
 

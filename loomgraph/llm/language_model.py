@@ -153,7 +153,7 @@ def train(documents: DataFrame, text: str = "text") -> Model:
     """Count all texts of the frame. The model's files stay in the shared folder."""
     spark = documents.sparkSession
     common.prepare(spark)
-    buckets = common.bucket_count(spark, 1)
+    buckets = common.bucket_count(documents, 1)
     folder = common.shared_folder(spark, "language-model")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

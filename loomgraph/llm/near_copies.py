@@ -1,22 +1,29 @@
-"""Near copies by shingles of five words, exactly.
+"""Near copies by their sets of shingles, candidates by SimHash and by prefixes.
 
 Words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a text is the set of its
-runs of SHINGLE words, fewer words are one run. Texts link at a Jaccard
-similarity of LEAST or more, and a component is what links connect. At this
-similarity 64-bit fingerprints differ in ten bits and more, which no probing
-reaches, so candidates come from prefix filtering, which misses none:
-
-1. Equal sets are one node, a 64-bit digest.
-2. All sets are sorted alike, what a sample holds often last. Two sets of
-   similarity LEAST share one of their first n - ceil(LEAST * n) + 1 shingles;
-   these go to buckets, packed, and shingles of several nodes make groups.
-3. Every group's first node is compared with the others. Then those that aren't
-   connected yet are compared, so n copies need about n comparisons. Bitmaps of
-   SIGNATURE bits bound from above what two sets share and spare most pairs
-   exactly; the others are compared set by set.
+runs of so many words, fewer words are one run. Two texts link if the Jaccard
+similarity of their sets is LEAST or more and the SimHash fingerprints of their
+sets differ in FAR bits at most; a component is what links connect. Sets of that
+similarity differ in ten bits of 64 on average (a standard deviation is three),
+so the second condition costs none of them in practice and spares most others.
+The probes of the generalised pigeonhole reach close copies only; what is left
+is found exactly:
+
+1. Equal sets are one node: a 64-bit digest with its fingerprint.
+2. Fingerprints within reach, by the generalised pigeonhole, are candidates.
+3. All sets are sorted alike, what many documents of a sample hold last (a fixed
+   share of all documents; their counts are sorted arrays in the shared folder
+   that workers map). Two sets of similarity LEAST share one of their first
+   n - ceil(LEAST * n) + 1 shingles; these go to buckets, packed, and shingles
+   of several nodes make groups. A shingle that the sample says is in more than
+   GROUP nodes is dealt to several groups, every two nodes together in one.
+4. Candidates of 2 and every group's first node with the others are compared,
+   by fingerprint and then set by set. Of the groups whose nodes aren't all
+   connected by that, the pairs of different components are compared as well.
 
 Defined results: null, empty or wordless texts are one group; repeated rows are
-one; extra columns are kept; an empty table gives an empty result.
+one; extra columns are kept, whatever their names; a null id counts as largest;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,17 +40,18 @@ from loomgraph.llm import common, shards, simhash
 SHINGLE = 5
 #: Least Jaccard similarity, as a fraction.
 LEAST = (4, 5)
-#: Documents in which often used shingles are looked for, and in how many of them one counts as such. They order the sets; no result depends on them.
-SAMPLE, OFTEN = 4000, 4
-#: Often used shingles that are held at most.
-MOST_OFTEN = 200_000
-#: Bits in a set's bitmap.
-SIGNATURE = 1024
+#: Bits in which fingerprints of linked sets may differ.
+FAR = 24
+#: One document in so many counts shingles. The counts order the sets; no result depends on them.
+SHARE = 8
+#: Nodes that a group is expected to hold at most.
+GROUP = 4096
 #: Entries that a task gathers before it sends them to their buckets.
 FLUSH = 400_000
+_OFTEN = ("<u8", "<u4")
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each row's distinct shingles, ascending."""
     lower = common.LOWER[data]
     starts, ends, rows = common.word_spans(lower, offsets)
@@ -52,12 +60,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     word = common.span_hashes(lower, starts, ends)
     words = np.bincount(rows, minlength=len(offsets) - 1)
     first = np.cumsum(words) - words
-    size = np.minimum(words, SHINGLE)
+    size = np.minimum(words, shingle)
     count = words - size + (words > 0)
     own = np.repeat(np.arange(len(words)), count)
     lead = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
     value = size[own].astype(np.uint64)
-    for k in range(SHINGLE):
+    for k in range(shingle):
         has = size[own] > k
         value[has] = common.mix(value[has] * np.uint64(0x9E3779B97F4A7C15) + word[lead[has] + k])
     order = np.lexsort((value, own))
@@ -77,51 +85,75 @@ def _nodes(own: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return np.where(size > 0, common.mix(total + size.astype(np.uint64)), np.uint64(0)).view(np.int64), size
 
 
-def _signatures(own: np.ndarray, value: np.ndarray, rows: int) -> list[bytes]:
-    """A bitmap of each row's set: a bit that only one of two has stands for a shingle that only this one has."""
-    bits = np.zeros((rows, SIGNATURE), bool)
-    bits[own, (value % np.uint64(SIGNATURE)).astype(np.int64)] = True
-    return [x.tobytes() for x in np.packbits(bits, axis=1)]
-
-
-def _prefixes(own: np.ndarray, value: np.ndarray, size: np.ndarray, often: tuple[np.ndarray, np.ndarray]):
-    """Row, shingle and position of the first shingles of each set, of which similar sets share one."""
-    keys, counts = often
-    weight = np.zeros(len(value), np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
-        weight = np.where(keys[at] == value, counts[at], 0)
+def _weights(value: np.ndarray, folder: str, buckets: int) -> np.ndarray:
+    """How many of the sample's documents hold each shingle, 0 for those that fewer than two do."""
+    wanted, which = np.unique(value, return_inverse=True)
+    out = np.zeros(len(wanted), np.int64)
+    home = wanted % np.uint64(buckets)
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        own = order[edges[b] : edges[b + 1]]
+        keys, counts = shards.read(folder, f"often-{b}", _OFTEN)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, wanted[own]), len(keys) - 1)
+            hit = keys[at] == wanted[own]
+            out[own[hit]] = counts[at[hit]]
+    return out[which]
+
+
+def _prefixes(own: np.ndarray, value: np.ndarray, size: np.ndarray, weight: np.ndarray, least: tuple[int, int]):
+    """Row, shingle, weight and place of the first shingles of each set, of which similar sets share one."""
     order = np.lexsort((value, weight, own))
     place = np.arange(len(own)) - (np.cumsum(size) - size)[own]
-    a, b = LEAST
+    a, b = least
     keep = place < (size - -(-a * size // b) + 1)[own]
-    return own[keep], value[order][keep], place[keep]
+    return own[keep], value[order][keep], weight[order][keep], place[keep]
 
 
-def alike(shared, n, m):
-    """Whether sets of n and m with so much in common reach LEAST."""
-    a, b = LEAST
+def alike(shared, n, m, least: tuple[int, int] = LEAST):
+    """Whether sets of n and m with so much in common reach the similarity."""
+    a, b = least
     return (a + b) * shared >= a * (n + m)
 
 
-def _groups(table: pa.Table) -> pa.Table:
-    """A bucket's shingles that several nodes have: a row for each list of nodes."""
-    key, node, size, place = (np.concatenate([shards.unpack(x, k) for x in table[c].to_pylist()]) for c, k in (("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("place", "<i4")))
+def _dealt(key: np.ndarray, node: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, key): entries of a shingle that many nodes have, once for each group; every two nodes of a key share a group."""
+    parts = 1 + weight * SHARE // GROUP
+    entry = np.repeat(np.arange(len(key)), parts)
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = (common.mix(node[entry].view(np.uint64)) % parts[entry].astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+    salted = common.mix(key[entry] + low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xD6E8FEB86659FD93))
+    return entry, np.where(parts[entry] > 1, salted, key[entry])
+
+
+def _groups(table: pa.Table, least: tuple[int, int]) -> pa.Table:
+    """Of a bucket's shingles that several nodes have, a row for each list of nodes; and one row of pairs, first nodes with the others."""
+    key = np.concatenate([shards.unpack_sorted(x) for x in table["key"].to_pylist()])
+    node, size, place = (np.concatenate([shards.unpack(x, k) for x in table[c].to_pylist()]).astype(np.int64) for c, k in (("node", "<i8"), ("size", "<i4"), ("place", "<i4")))
     order = np.lexsort((node, key))
     key, node, size, place = (x[order] for x in (key, node, size, place))
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
     key, node, size, place = (x[new] for x in (key, node, size, place))
-    edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-    many = np.flatnonzero(np.diff(edges) > 1)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(first, len(key)))
+    head = np.repeat(first, count)
+    # if a shared shingle is the first that both have, no more can be shared than follows; if not, another group has the pair
+    rest = np.minimum(size - place, size[head] - place[head])
+    fits = (head != np.arange(len(key))) & alike(rest, size, size[head], least)
+    pairs = np.unique(np.stack([node[head[fits]], node[fits]]), axis=1)
+    two = count == 2
+    two[two] = fits[first[two] + 1]
     found = {}
-    for low, high in zip(edges[many].tolist(), edges[many + 1].tolist(), strict=True):
-        if high - low == 2:  # if this is the first shingle that both have, no more can be shared than follows
-            rest = min(int(size[low]) - int(place[low]), int(size[low + 1]) - int(place[low + 1]))
-            if not alike(rest, int(size[low]), int(size[low + 1])):
-                continue
-        found[node[low:high].tobytes()] = size[low:high].astype("<i4").tobytes()
-    return pa.table({"nodes": pa.array(list(found), pa.binary()), "sizes": pa.array(list(found.values()), pa.binary())})
+    for low, high in zip(first[two | (count > 2)].tolist(), (first + count)[two | (count > 2)].tolist(), strict=True):
+        if high - low > 2:  # two are a pair already
+            found[node[low:high].tobytes()] = size[low:high].astype("<i4").tobytes()
+    return pa.table({
+        "nodes": pa.array([*found, None], pa.binary()), "sizes": pa.array([*found.values(), None], pa.binary()),
+        "a": pa.array([None] * len(found) + [pairs[0].astype("<i8").tobytes()], pa.binary()), "b": pa.array([None] * len(found) + [pairs[1].astype("<i8").tobytes()], pa.binary()),
+    })
 
 
 def _joined(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -130,20 +162,13 @@ def _joined(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", *(f"{c}_{n}" for n in ("b", "a") for c in columns))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Of pairs (a, b), those whose sets are alike: bitmaps first, and the sets of those that these leave."""
+def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, names: tuple[str, ...], shingle: int, least: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b), those that link: fingerprints first, and the sets of those that these leave."""
     spark = pairs.sparkSession
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, SIGNATURE // 64) for i in (3, 5))
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            yield batch.select([0, 1]).filter(pa.array(alike(most, n, m)))
-
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.texts(batches):
-            own, value = shingles(data, offsets)
+            own, value = shingles(data, offsets, shingle)
             edges = np.searchsorted(own, np.arange(rows.num_rows + 1))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([value[a:b].astype("<u8").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["node", "body"])
 
@@ -153,70 +178,112 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, names: tupl
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = np.sort(np.concatenate([x, y]), kind="stable")
-                keep.append(bool(alike(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
+                keep.append(bool(alike(int((both[1:] == both[:-1]).sum()), len(x), len(y), least)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = common.cut(spark, _joined(pairs, nodes, ["size", "bits"]).mapInArrow(common.released(possible), "a long, b long"), "pairs")
+    a, b = least
+    low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    close = (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR) & (b * low >= a * high)
+    left = common.cut(spark, _joined(pairs, nodes, ["size", "fp"]).where(close).select("a", "b"), "pairs")
     ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = common.cut(spark, ends.join(nodes, "node").select("node", *(F.col(f"row.{n}").alias(n) for n in names)), "wanted")
     texts = source.join(wanted, list(names)).dropDuplicates(["node"]).select("node", "text")
     sets = common.cut(spark, texts.mapInArrow(common.released(bodies), "node long, body binary"), "sets")
-    return common.cut(spark, _joined(left, sets, ["body"]).mapInArrow(common.released(compare), "a long, b long"), "links")
+    links = common.cut(spark, _joined(left, sets, ["body"]).mapInArrow(common.released(compare), "a long, b long"), "links")
+    common.discard(left, wanted, sets)
+    return links
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group whose sizes allow LEAST: its first with all others, or the rest, of different roots."""
+def _other_pairs(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group that are of different components and whose fingerprints and sizes allow a link."""
+    a, b = least
     for batch in batches:
-        columns = batch.to_pydict()
-        out = []
-        for i in range(batch.num_rows):
-            if rest:
-                row = columns["own"][i]
-                node, size, root = (np.array([x[n] for x in row], np.int64) for n in ("node", "size", "root"))
-            else:
-                node, size = np.frombuffer(columns["nodes"][i], "<i8"), np.frombuffer(columns["sizes"][i], "<i4").astype(np.int64)
-            for low in range(0, len(node) if rest else 1):
-                b = np.arange(low + 1, len(node))
-                fits = alike(np.minimum(size[low], size[b]), size[low], size[b])
-                if rest:
-                    fits &= root[low] != root[b]
-                if fits.any():
-                    out.append(np.stack([np.minimum(node[low], node[b[fits]]), np.maximum(node[low], node[b[fits]])]))
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _often(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents of a bounded sample hold, ascending, and in how many."""
-    share = min(1.0, SAMPLE / max(documents.count(), 1))
-    drawn = documents.where(F.pmod(F.xxhash64(F.lit("often"), "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in common.texts(batches):
-            keys, counts = np.unique(shingles(data, offsets)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["key", "n"])
-
-    found = drawn.mapInArrow(common.released(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(MOST_OFTEN).toArrow()
-    keys, counts = found["key"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def representatives(documents: DataFrame, text: str = "text") -> DataFrame:
+        lists = batch.column(0)
+        fields, edges = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        node, size, fp, root = (fields.field(n).to_numpy().astype(np.int64) for n in ("node", "size", "fp", "root"))
+        fp = fp.view(np.uint64)
+        out = [np.zeros((2, 0), np.int64)]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for at in range(low, high, 512):
+                rows = slice(at, min(at + 512, high))
+                fits = (root[rows, None] != root[None, low:high]) & (np.bitwise_count(fp[rows, None] ^ fp[None, low:high]) <= FAR)
+                fits &= b * np.minimum(size[rows, None], size[None, low:high]) >= a * np.maximum(size[rows, None], size[None, low:high])
+                i, j = np.nonzero(fits & (node[rows, None] < node[None, low:high]))
+                out.append(np.stack([node[rows][i], node[low:high][j]]))
+        x, y = np.unique(np.concatenate(out, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+
+def _sampled(source: DataFrame, shingle: int, buckets: int) -> str:
+    """A folder with the sample's shingles that two documents or more hold, and in how many, as sorted arrays a bucket."""
+    spark = source.sparkSession
+    folder = common.shared_folder(spark, "often")
+    drawn = source.where(F.pmod(F.xxhash64(F.lit("often"), "text"), F.lit(SHARE)) == 0).select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def flush():
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            home = keys % np.uint64(buckets)
+            order = np.argsort(home, kind="stable")
+            edges = np.searchsorted(home[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[b] : edges[b + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([shards.pack_sorted(keys[own])], pa.binary()), pa.array([shards.pack(counts[own].astype("<u4"))], pa.binary())], names=["bucket", "key", "n"])
+
+        for rows, data, offsets in common.texts(batches):
+            own, value = shingles(data, offsets, shingle)
+            node, _ = _nodes(own, value, rows.num_rows)
+            once = np.zeros(rows.num_rows, bool)
+            once[np.unique(node, return_index=True)[1]] = True
+            held.append(value[once[own]])
+            total += len(held[-1])
+            if total >= 10 * FLUSH:
+                yield from flush()
+                held, total = [], 0
+        if total:
+            yield from flush()
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([shards.unpack_sorted(x) for x in table["key"].to_pylist()])
+        counts = np.concatenate([shards.unpack(x, "<u4") for x in table["n"].to_pylist()]).astype(np.int64)
+        keys, which = np.unique(keys, return_inverse=True)
+        total = np.bincount(which, weights=counts).astype("<u4")
+        shards.write(folder, f"often-{table['bucket'][0].as_py()}", [keys[total > 1], total[total > 1]])
+        return pa.table({"n": pa.array([int((total > 1).sum())], pa.int64())})
+
+    drawn.mapInArrow(common.released(count), "bucket int, key binary, n binary").groupBy("bucket").applyInArrow(add, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def _probed(nodes: DataFrame, reach: int) -> DataFrame:
+    """Pairs of nodes by fingerprint: those of one with its least, and those that the generalised pigeonhole links."""
+    spark = nodes.sparkSession
+    least = common.cut(spark, nodes.groupBy("fp").agg(F.min("node").alias("low")), "prints")
+    equal = nodes.select("fp", F.col("node").alias("b")).join(least, "fp").select(F.col("low").alias("a"), "b").where("a < b")
+    links = simhash.links(least.select("fp"), reach)
+    side = lambda name, to: least.select(F.col("fp").alias(name), F.col("low").alias(to))
+    near = links.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return equal.unionByName(near)
+
+
+def representatives(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, reach: int = simhash.REACH, least: tuple[int, int] = LEAST) -> DataFrame:
     """One row of each component, all columns kept: that of smallest id, a null id last, and of wholly equal rows one."""
     spark = documents.sparkSession
     common.prepare(spark)
-    names = ("__one", "__two")  # together 128 bits of a row's columns
-    marked = documents.withColumns({n: F.xxhash64(F.lit(n), *documents.columns) for n in names})
-    source = marked.select("doc_id", *names, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    often = spark.sparkContext.broadcast(_often(source))  # MOST_OFTEN numbers
-    buckets = common.bucket_count(spark)
+    one, two = common.free_names(documents, "one", "two")  # together 128 bits of a row's columns
+    marked = documents.withColumns({n: F.xxhash64(F.lit(str(i)), *documents.columns) for i, n in enumerate((one, two))})
+    source = marked.select("doc_id", F.col(one).alias("one"), F.col(two).alias("two"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    names = ("one", "two")
+    buckets = common.bucket_count(documents)
+    folder = _sampled(source, shingle, buckets)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.texts(batches):
-            own, value = shingles(data, offsets)
+            own, value = shingles(data, offsets, shingle)
             node, size = _nodes(own, value, rows.num_rows)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(node), pa.array(size, pa.int32()), pa.array(_signatures(own, value, rows.num_rows), pa.binary())], names=["doc_id", *names, "node", "size", "bits"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(node), pa.array(size, pa.int32()), pa.array(simhash.majority(value, size).view(np.int64))], names=["doc_id", *names, "node", "size", "fp"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -232,13 +299,15 @@ def representatives(documents: DataFrame, text: str = "text") -> DataFrame:
             used = np.flatnonzero(np.diff(edges))
             for a in range(0, len(used), 64):
                 own = [order[edges[b] : edges[b + 1]] for b in used[a : a + 64]]
-                packed = [pa.array([shards.pack(x[i].astype(k)) for i in own], pa.binary()) for x, k in ((key, "<u8"), (node, "<i8"), (size, "<i4"), (place, "<i4"))]
-                yield pa.RecordBatch.from_arrays([pa.array(used[a : a + 64], pa.int32()), *packed], names=["bucket", "key", "node", "size", "place"])
+                packed = [pa.array([shards.pack(x[i].astype(k)) for i in own], pa.binary()) for x, k in ((node, "<i8"), (size, "<i4"), (place, "<i4"))]
+                yield pa.RecordBatch.from_arrays([pa.array(used[a : a + 64], pa.int32()), pa.array([shards.pack_sorted(key[i]) for i in own], pa.binary()), *packed], names=["bucket", "key", "node", "size", "place"])
 
         for rows, data, offsets in common.texts(batches):
-            own, value = shingles(data, offsets)
+            own, value = shingles(data, offsets, shingle)
             node, size = _nodes(own, value, rows.num_rows)
-            row, key, place = _prefixes(own, value, size, often.value)
+            row, key, weight, place = _prefixes(own, value, size, _weights(value, folder, buckets), least)
+            entry, key = _dealt(key, node[row], weight)
+            row, place = row[entry], place[entry]
             if len(row):
                 held.append((key, node[row], size[row], place))
                 count += len(row)
@@ -249,26 +318,34 @@ def representatives(documents: DataFrame, text: str = "text") -> DataFrame:
             yield from flush()
 
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *names)
-    schema = source.drop("text").schema.add("node", "long", False).add("size", "integer", False).add("bits", "binary", False)
-    nodes = common.cut(spark, source.mapInArrow(common.released(digest), schema).groupBy("node").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.first("bits").alias("bits")), "nodes")
+    schema = source.drop("text").schema.add("node", "long", False).add("size", "integer", False).add("fp", "long", False)
+    nodes = common.cut(spark, source.mapInArrow(common.released(digest), schema).groupBy("node").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp")), "nodes")
     sent = source.select("text").mapInArrow(common.released(send), "bucket int, key binary, node binary, size binary, place binary")
-    groups = common.cut(spark, sent.groupBy("bucket").applyInArrow(_groups, "nodes binary, sizes binary").distinct(), "groups")
+    groups = common.cut(spark, sent.groupBy("bucket").applyInArrow(lambda table: _groups(table, least), "nodes binary, sizes binary, a binary, b binary"), "groups")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x, "<i8") for x in c.to_pylist()] or [np.zeros(0, "<i8")]), pa.int64()) for c in batch.columns], names=["a", "b"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, size = (np.concatenate([np.frombuffer(x, k) for x in batch.column(c).to_pylist()] or [np.zeros(0, k)]) for c, k in ((0, "<i8"), (1, "<i4")))
-            count = [len(x) // 8 for x in batch.column(0).to_pylist()]
-            group = np.repeat(batch.column(2).to_numpy(), count)
-            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(node), pa.array(size)], names=["group", "node", "size"])
-
-    listed = groups.select("nodes", "sizes", F.xxhash64("nodes").alias("group")).mapInArrow(members, "group long, node long, size int")
-    star = groups.mapInArrow(lambda x: _pairs(x, False), "a long, b long").distinct()
-    edges = _verified(star, nodes, source, names)
-    near = simhash.components(spark, edges)
-    rooted = listed.join(near, "node", "left").select("group", F.struct("node", "size", F.coalesce("root", "node").alias("root")).alias("own"))
-    apart = rooted.groupBy("group").agg(F.collect_list("own").alias("own"), F.min("own.root").alias("low"), F.max("own.root").alias("high")).where("low < high").select("own")
-    others = apart.mapInArrow(lambda x: _pairs(x, True), "a long, b long").distinct()
-    found = simhash.components(spark, edges.unionByName(_verified(others, nodes, source, names)))
+            group = np.repeat(batch.column(2).to_numpy(), [len(x) // 8 for x in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32())], names=["list", "node", "size"])
+
+    first = groups.where("a is not null").select("a", "b").mapInArrow(common.released(paired), "a long, b long")
+    edges = _verified(first.unionByName(_probed(nodes, reach)).distinct(), nodes, source, names, shingle, least)
+    near = common.cut(spark, simhash.components(spark, edges), "near")
+    lists = groups.where("nodes is not null").withColumn("list", F.xxhash64("nodes")).dropDuplicates(["list"])
+    listed = lists.select("nodes", "sizes", "list").mapInArrow(common.released(members), "list long, node long, size int")
+    known = nodes.select("node", "fp").join(near, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+    rooted = listed.join(known, "node").select("list", F.struct("node", "size", "fp", "root").alias("own"))
+    # a list holds about twice GROUP nodes at most
+    apart = rooted.groupBy("list").agg(F.collect_list("own").alias("own"), F.min("own.root").alias("low"), F.max("own.root").alias("high")).where("low < high").select("own")
+    others = apart.mapInArrow(common.released(lambda x: _other_pairs(x, least)), "a long, b long").distinct()
+    more = _verified(others, nodes, source, names, shingle, least)
+    found = simhash.components(spark, edges.unionByName(more)) if not more.isEmpty() else near
     named = nodes.select("node", "row").join(found, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
-    first = named.groupBy("root").agg(F.min("row").alias("row")).select(*(F.col(f"row.{n}").alias(n) for n in names))
-    return marked.join(first, list(names), "left_semi").dropDuplicates(list(names)).select(*documents.columns)
+    chosen = common.cut(spark, named.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.one").alias(one), F.col("row.two").alias(two)), "chosen")
+    # wholly equal rows are one; the join has dealt and sorted them already
+    return marked.join(chosen, [one, two], "left_semi").dropDuplicates([one, two]).select(*documents.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common
+from loomgraph.llm import common, shards
 
 BLOCK = 1024
 DICTIONARY_BYTES = 64 << 10
@@ -39,6 +39,14 @@ class Model:
     weights: np.ndarray
     share: float
 
+    def arrays(self) -> list[np.ndarray]:
+        return [np.frombuffer(self.good, np.uint8), np.frombuffer(self.bad, np.uint8), self.weights, np.array([self.share])]
+
+    @staticmethod
+    def read(folder: str) -> Model:
+        good, bad, weights, share = shards.read(folder, "model", ("u1", "u1", "<f8", "<f8"))
+        return Model(good.tobytes(), bad.tobytes(), weights, float(share[0]))
+
     def compressors(self):
         import zstandard
 
@@ -117,28 +125,22 @@ def fit(texts: list[str], labels: list[int], folds: list[int]) -> Model:
     return model
 
 
-def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most sample_rows labelled rows of either class, drawn by a hash of the id, none of them held out."""
+def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> str:
+    """Fit on at most sample_rows labelled rows of either class, none of them held out; the folder of the model."""
     common.prepare(spark)
-    usable = labels.select("doc_id", F.col("quality").alias("label")).where("doc_id is not null and quality in (0, 1)").where(common.crc_mod(F.col("doc_id"), modulus) != held)
-    drawn = [usable.where(F.col("label") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
-    rows = (
-        documents.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")  # at most 2 * sample_rows ids
-        .where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-        .select("doc_id", "text", "label", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(2)).cast("int").alias("fold"))
-        .toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    )
-    return fit(rows["text"].to_pylist(), rows["label"].to_pylist(), rows["fold"].to_pylist())
-
-
-def score(documents: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, then score double and the normalised sizes under the good and the bad dictionary."""
+    folder = common.shared_folder(spark, "quality")
+    free = common.crc_mod(F.col("doc_id"), modulus) != held
+    common.fitted(common.labelled(documents, labels, "quality", free, sample_rows, SAMPLE_TEXT_BYTES, 2), fit, folder)
+    return folder
+
+
+def score(documents: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, then score double and the normalised sizes under the good and the bad dictionary. Workers map the model."""
     frame = documents.select(*keep, F.col(text).alias("__text"))
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 64 KiB
     out_schema = frame.drop("__text").schema.add("score", "double", False).add("good_ratio", "double", False).add("bad_ratio", "double", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Model.read(model)
         compressors = own.compressors() if own.good else None
         for rows, data, offsets in common.texts(batches, "__text"):
             sizes = own.sizes(data, offsets, compressors) if compressors else np.zeros((rows.num_rows, 3))

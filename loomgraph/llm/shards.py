@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 
+#: What a worker keeps of files that it can't map.
+HELD_BYTES = 256 << 20
+
 
 def _local(folder: str) -> str | None:
     """The path of a folder that is mounted here, or None for a store that only file systems libraries reach."""
@@ -44,24 +47,13 @@ def write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
 
 
 @lru_cache(65536)
-def read(folder: str, name: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
-    """The arrays of a file, mapped into memory; empty ones if there is no such file."""
-    path = _local(folder)
-    if path is not None:
-        if not os.path.exists(f"{path}/{name}"):
-            return tuple(np.zeros(0, k) for k in kinds)
-        raw = np.memmap(f"{path}/{name}", np.uint8, "r")
-    else:
-        from pyarrow import fs
+def _mapped(path: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    if not os.path.exists(path):
+        return tuple(np.zeros(0, k) for k in kinds)
+    return _arrays(np.memmap(path, np.uint8, "r"), kinds)
 
-        store, base = fs.FileSystem.from_uri(folder)
-        if store.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
-            return tuple(np.zeros(0, k) for k in kinds)
-        with tempfile.NamedTemporaryFile() as held, store.open_input_stream(f"{base}/{name}") as source:
-            while block := source.read(1 << 24):
-                held.write(block)
-            held.flush()
-            raw = np.memmap(held.name, np.uint8, "r")  # stays mapped after the file is gone
+
+def _arrays(raw: np.ndarray, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
     sizes = raw[8 : 8 + 8 * len(kinds)].view("<i8")
     at, out = 8 + 8 * len(kinds), []
     for size, kind in zip(sizes.tolist(), kinds, strict=True):
@@ -70,6 +62,36 @@ def read(folder: str, name: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ..
     return tuple(out)
 
 
+#: Files of a store that isn't mounted, as they were read last, and their bytes.
+_HELD: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
+
+
+def read(folder: str, name: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """The arrays of a file; empty ones if there is no such file.
+
+    Where the folder is mounted the file is mapped. From another store it is read
+    into memory, and HELD_BYTES of such files are kept; nothing is written here.
+    """
+    path = _local(folder)
+    if path is not None:
+        return _mapped(f"{path}/{name}", kinds)
+    key = (folder, name)
+    if key not in _HELD:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        if store.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
+            raw = np.array([len(kinds), *[0] * len(kinds)], "<i8").view(np.uint8)
+        else:
+            with store.open_input_stream(f"{base}/{name}") as source:
+                raw = np.frombuffer(source.read(), np.uint8)
+        _HELD[key] = raw
+        while len(_HELD) > 1 and sum(len(x) for x in _HELD.values()) > HELD_BYTES:
+            _HELD.popitem(last=False)
+    _HELD.move_to_end(key)
+    return _arrays(_HELD[key], kinds)
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Ascending 64-bit numbers: differences by byte planes, compressed."""
     import zstandard

@@ -42,6 +42,8 @@ REACH = 3
 SAMPLE = 2048
 #: Fingerprints under one key that are compared pair by pair; more are divided first.
 PAIRWISE = 1024
+#: Fingerprints under one key that are gathered in one task; more are dealt by further bits before that.
+GATHERED = 20_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -71,6 +73,12 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     last = np.minimum(lead + shingle, first[own] + words[own]) - 1
     raw = joined.tobytes()
     hashes = np.array([digest(raw[a:b], 42) for a, b in zip(begin[lead].tolist(), (begin[last + 1] - 1).tolist(), strict=True)], np.uint64)
+    return majority(hashes, count)
+
+
+def majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each row, count hashes of which follow one another: the bits that are set in over half of them."""
+    out = np.zeros(len(count), np.uint64)
     has = np.flatnonzero(count)
     edges = np.concatenate([[0], np.cumsum(count[has])])
     for low in range(0, len(has), 256):  # bits of a few rows at a time
@@ -229,7 +237,18 @@ def links(distinct: DataFrame, reach: int = REACH) -> DataFrame:
                 probes.append((part, _signed(mask), _signed(sum(1 << b for b in flipped))))
     table = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(m).cast("long").alias("mask"), F.lit(f).cast("long").alias("flip")) for p, m, f in probes))
     keyed = distinct.select("fp", F.inline(table)).select("part", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("value"), (F.col("flip") == 0).alias("home"), "fp")
-    met = keyed.groupBy("part", "value").agg(F.collect_list("fp").alias("fps"), F.count_if("home").alias("homes")).where("size(fps) > 1 and homes > 0")
+    crowded = common.cut(spark, keyed.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > GATHERED).select("part", "value"), "crowded")
+    if crowded.isEmpty():
+        met = keyed.groupBy("part", "value")
+    else:
+        # of reach + 1 groups of the bits outside the part, two fingerprints within reach agree on one
+        dealt_further = F.array(*(F.array(*(F.lit(_signed(sum(1 << b for b in rest[i :: reach + 1]))) for i in range(reach + 1))) for rest in ([b for b in range(64) if b not in own] for own in dealt)))
+        crowd = keyed.join(crowded, ["part", "value"]).select("*", F.posexplode(F.element_at(dealt_further, F.col("part") + 1)).alias("deal", "bits"))
+        apart = crowd.select("part", "value", "home", "fp", "deal", F.col("fp").bitwiseAND(F.col("bits")).alias("further"))
+        none = F.lit(0)
+        rest = keyed.join(crowded, ["part", "value"], "left_anti").select("part", "value", "home", "fp", none.alias("deal"), none.cast("long").alias("further"))
+        met = rest.unionByName(apart).groupBy("part", "value", "deal", "further")
+    met = met.agg(F.collect_list("fp").alias("fps"), F.count_if("home").alias("homes")).where("size(fps) > 1 and homes > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,14 +311,21 @@ def groups(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, rea
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def representatives(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, reach: int = REACH) -> DataFrame:
+def representatives(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, reach: int = REACH, similarity: tuple[int, int] | None = None) -> DataFrame:
     """One row of each component, all columns kept: that of smallest id, a null id last, and of wholly equal rows one.
 
-    Each fingerprint's first row is found before anything is joined, so a large
-    group of copies moves as a row a task.
+    With a similarity (a fraction), links are between texts whose sets of
+    shingles reach it, as near_copies finds them: what the probes reach is
+    verified, and what lies further apart is looked for exactly. Without one,
+    fingerprints within reach link. Each fingerprint's first row is found before
+    anything is joined, so a large group of copies moves as a row a task.
     """
+    if similarity is not None:
+        from loomgraph.llm import near_copies
+
+        return near_copies.representatives(documents, text, shingle, reach, similarity)
     spark = documents.sparkSession
-    names = ("__one", "__two")  # together 128 bits of a row's columns
+    names = common.free_names(documents, "one", "two")  # together 128 bits of a row's columns
     marked = documents.withColumns({n: F.xxhash64(F.lit(n), *documents.columns) for n in names})
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *names)
     prints = fingerprint(marked, text, ("doc_id", *names), shingle)

@@ -272,7 +272,7 @@ def repeated(documents: DataFrame, span: int = SPAN, keep_text: bool = False, te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<start, end>> of removed bytes; with keep_text also kept binary."""
     spark = documents.sparkSession
     common.prepare(spark)
-    buckets = common.bucket_count(spark)
+    buckets = common.bucket_count(documents)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     # only rows that share an id need telling apart

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common
+from loomgraph.llm import common, shards
 
 #: Bytes of history of the full order; seven and the byte itself make a number.
 HISTORY = 7
@@ -79,6 +79,9 @@ def _discount(counts: np.ndarray) -> float:
     return once / (once + 2 * twice) if once and twice else 0.75
 
 
+_ARRAYS = {"grams": "<u8", "gram_difference": "<f8", "contexts": "<u8", "context_difference": "<f8", "weights": "<f8", "centre": "<f8", "scale": "<f8"}
+
+
 @dataclass
 class Model:
     """Sorted keys with the log-likelihood difference of a byte after its history, seen or not, and the fit."""
@@ -91,6 +94,13 @@ class Model:
     centre: np.ndarray
     scale: np.ndarray
 
+    def arrays(self) -> list[np.ndarray]:
+        return [getattr(self, name) for name in _ARRAYS]
+
+    @staticmethod
+    def read(folder: str) -> Model:
+        return Model(*shards.read(folder, "model", tuple(_ARRAYS.values())))
+
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-likelihood difference of each word, its end included."""
         eight, inside, word = _keys(data, starts, ends)
@@ -231,30 +241,23 @@ def fit(texts: list[str], labels: list[int], folds: list[int]) -> Model:
     return model
 
 
-def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: int = 5, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most sample_rows labelled rows of either class, drawn by a hash of the id, none of them held out."""
+def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, modulus: int = 5, sample_rows: int = SAMPLE_ROWS) -> str:
+    """Fit on at most sample_rows labelled rows of either class, none of them held out; the folder of the model."""
     common.prepare(spark)
-    usable = labels.select("doc_id", F.col("toxic").alias("label")).where("doc_id is not null and toxic in (0, 1)").where(common.crc_mod(F.col("doc_id"), modulus) != 0)
-    drawn = [usable.where(F.col("label") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
-    chosen = drawn[0].unionByName(drawn[1])
-    rows = (
-        documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample_rows ids
-        .where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-        .select("doc_id", "text", "label", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(3)).cast("int").alias("fold"))
-        .toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    )
-    return fit(rows["text"].to_pylist(), rows["label"].to_pylist(), rows["fold"].to_pylist())
-
-
-def score(documents: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, then toxicity double, and the two length-normalised differences it rests on."""
+    folder = common.shared_folder(spark, "toxicity")
+    free = common.crc_mod(F.col("doc_id"), modulus) != 0
+    common.fitted(common.labelled(documents, labels, "toxic", free, sample_rows, SAMPLE_TEXT_BYTES, 3), fit, folder)
+    return folder
+
+
+def score(documents: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, then score double, and the two length-normalised differences it rests on. Workers map the model."""
     frame = documents.select(*keep, F.col(text).alias("__text"))
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     fields = frame.drop("__text").schema
     out_schema = fields.add("score", "double", False).add("mean_difference", "double", False).add("top_difference", "double", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Model.read(model)
         for rows, data, offsets in common.texts(batches, "__text"):
             x = own.features(data, offsets)
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(own.score(x)), pa.array(x[:, 0]), pa.array(x[:, 1])], names=[*rows.schema.names[:-1], "score", "mean_difference", "top_difference"])

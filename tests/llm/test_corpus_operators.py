@@ -733,7 +733,13 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     gone = set(tables[0]) - set(tables[1])
     assert sum(truth.get(i) == 0 for i in gone) <= 0.08 * sum(y == 0 for y in truth.values())  # ten toxic rows to learn from
     order = sorted(tables[1])
-    roots = components([fingerprint(tables[1][i]["text"]) for i in order])
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (tables[1][i]["text"] or "").encode().translate(LOWER)) for i in order]
+    roots = list(range(len(order)))
+    for i in range(len(order)):
+        for j in range(i):
+            if split[i] == split[j] or split[i] and split[j] and _similarity(split[i], split[j]) >= 0.8:
+                low, high = sorted((roots[i], roots[j]))
+                roots = [low if r == high else r for r in roots]
     assert set(tables[2]) == {order[r] for r in set(roots)}
     bench = [t for (t,) in duckdb.sql(f"select text from '{SMALL}/benchmark.parquet'").fetchall()]
     assert not any(b in r["text"] for b in bench for r in tables[3].values())
