@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, decontamination, near_copies, pieces, secrets, toxicity
+from loomgraph.llm import common, decontamination, pieces, secrets, simhash, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more: that of smallest id."""
-    return near_copies.representatives(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    return simhash.representatives(docs.select("doc_id", "text", "lang", "source", "n_chars"), shingle=5, similarity=(4, 5))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
+    ("simhash", drop_near_copies),
     ("decontamination", drop_benchmark),
     ("secrets", mask_secrets),
     ("sentencepiece", encode),
