@@ -18,8 +18,11 @@ is found exactly:
    of several nodes make groups. A shingle that the sample says is in more than
    GROUP nodes is dealt to several groups, every two nodes together in one.
 4. Candidates of 2 and every group's first node with the others are compared,
-   by fingerprint and then set by set. Of the groups whose nodes aren't all
-   connected by that, the pairs of different components are compared as well.
+   by fingerprint and then set by set. In groups whose nodes aren't all connected
+   by that, bitmaps of the sets bound from above what two of them share. Of the
+   pairs of different components that may still link, a few turns compare as many
+   as would connect them, and the last turn compares all that are left. So n
+   copies need about n comparisons, and no link between components is missed.
 
 Defined results: null, empty or wordless texts are one group; repeated rows are
 one; extra columns are kept, whatever their names; a null id counts as largest;
@@ -46,6 +49,10 @@ FAR = 24
 SHARE = 8
 #: Nodes that a group is expected to hold at most.
 GROUP = 4096
+#: Bits in a set's bitmap.
+SIGNATURE = 1024
+#: How often pairs that would connect a group are asked for before all that are left are.
+TURNS = 4
 #: Entries that a task gathers before it sends them to their buckets.
 FLUSH = 400_000
 _OFTEN = ("<u8", "<u4")
@@ -85,6 +92,13 @@ def _nodes(own: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return np.where(size > 0, common.mix(total + size.astype(np.uint64)), np.uint64(0)).view(np.int64), size
 
 
+def _signatures(own: np.ndarray, value: np.ndarray, rows: int) -> list[bytes]:
+    """A bitmap of each row's set: a bit that only one of two has stands for a shingle that only this one has."""
+    bits = np.zeros((rows, SIGNATURE), bool)
+    bits[own, (value % np.uint64(SIGNATURE)).astype(np.int64)] = True
+    return [x.tobytes() for x in np.packbits(bits, axis=1)]
+
+
 def _weights(value: np.ndarray, folder: str, buckets: int) -> np.ndarray:
     """How many of the sample's documents hold each shingle, 0 for those that fewer than two do."""
     wanted, which = np.unique(value, return_inverse=True)
@@ -194,22 +208,65 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, names: tupl
     return links
 
 
-def _other_pairs(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group that are of different components and whose fingerprints and sizes allow a link."""
+def _lists(batch: pa.RecordBatch, names: tuple[str, ...]):
+    """The fields of each row's list of structs, and the list's number."""
+    column = batch.column(1)
+    fields, edges = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    arrays = [fields.field(n) if n == "bits" else fields.field(n).to_numpy().astype(np.int64) for n in names]
+    for number, low, high in zip(batch.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield number, [np.frombuffer(b"".join(x[low:high].to_pylist()), "<u8").reshape(high - low, -1) if n == "bits" else x[low:high] for n, x in zip(names, arrays, strict=True)]
+
+
+def _open(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(list, node) of nodes that a node of another component could link to, by fingerprint and size."""
     a, b = least
     for batch in batches:
-        lists = batch.column(0)
-        fields, edges = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        node, size, fp, root = (fields.field(n).to_numpy().astype(np.int64) for n in ("node", "size", "fp", "root"))
-        fp = fp.view(np.uint64)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for number, (node, size, fp, root) in _lists(batch, ("node", "size", "fp", "root")):
+            fp, any_ = fp.view(np.uint64), np.zeros(len(node), bool)
+            for at in range(0, len(node), 512):
+                rows = slice(at, at + 512)
+                fits = (root[rows, None] != root) & (np.bitwise_count(fp[rows, None] ^ fp) <= FAR)
+                any_[rows] = (fits & (b * np.minimum(size[rows, None], size) >= a * np.maximum(size[rows, None], size))).any(1)
+            out.append((np.full(int(any_.sum()), number), node[any_]))
+        x, y = (np.concatenate(z) for z in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["list", "node"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], least: tuple[int, int], turn: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of a list that are of different components and can link, as bitmaps bound it: enough of them to connect all that could be, other ones each turn; without a turn all of them."""
+    for batch in batches:
         out = [np.zeros((2, 0), np.int64)]
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            for at in range(low, high, 512):
-                rows = slice(at, min(at + 512, high))
-                fits = (root[rows, None] != root[None, low:high]) & (np.bitwise_count(fp[rows, None] ^ fp[None, low:high]) <= FAR)
-                fits &= b * np.minimum(size[rows, None], size[None, low:high]) >= a * np.maximum(size[rows, None], size[None, low:high])
-                i, j = np.nonzero(fits & (node[rows, None] < node[None, low:high]))
-                out.append(np.stack([node[rows][i], node[low:high][j]]))
+        for number, (node, size, fp, root, bits) in _lists(batch, ("node", "size", "fp", "root", "bits")):
+            fp = fp.view(np.uint64)
+            _, root = np.unique(root, return_inverse=True)
+            order = np.argsort(common.mix(node.view(np.uint64) + np.uint64((turn or 0) * 0x9E3779B97F4A7C15 & (2**64 - 1)))) if turn is not None else np.arange(len(node))
+            seen, expanded = np.zeros(int(root.max()) + 1, bool), np.zeros(len(node), bool)
+            waiting: list[int] = []
+            at = 0
+            while turn is None or not seen.all():
+                if not waiting:  # what can't be reached from the nodes so far begins anew
+                    while at < len(order) and expanded[order[at]]:
+                        at += 1
+                    if at == len(order):
+                        break
+                    waiting.append(int(order[at]))
+                    seen[root[order[at]]] = True
+                p = waiting.pop()
+                if expanded[p]:
+                    continue
+                expanded[p] = True
+                other = np.flatnonzero((root != root[p]) & (node > node[p])) if turn is None else np.flatnonzero(~seen[root])
+                other = other[np.bitwise_count(fp[other] ^ fp[p]) <= FAR]
+                only, lost = np.bitwise_count(bits[p] & ~bits[other]).sum(1, dtype=np.int64), np.bitwise_count(bits[other] & ~bits[p]).sum(1, dtype=np.int64)
+                other = other[alike(np.minimum(size[p] - only, size[other] - lost), size[p], size[other], least)]
+                if turn is not None:
+                    other = other[np.unique(root[other], return_index=True)[1]]
+                    seen[root[other]] = True
+                    waiting += np.flatnonzero(np.isin(root, root[other]) & ~expanded).tolist()
+                    waiting += np.flatnonzero((root == root[p]) & ~expanded).tolist()
+                if len(other):
+                    out.append(np.stack([np.minimum(node[p], node[other]), np.maximum(node[p], node[other])]))
         x, y = np.unique(np.concatenate(out, axis=1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
@@ -283,7 +340,7 @@ def representatives(documents: DataFrame, text: str = "text", shingle: int = SHI
         for rows, data, offsets in common.texts(batches):
             own, value = shingles(data, offsets, shingle)
             node, size = _nodes(own, value, rows.num_rows)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(node), pa.array(size, pa.int32()), pa.array(simhash.majority(value, size).view(np.int64))], names=["doc_id", *names, "node", "size", "fp"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(node), pa.array(size, pa.int32()), pa.array(simhash.majority(value, size).view(np.int64)), pa.array(_signatures(own, value, rows.num_rows), pa.binary())], names=["doc_id", *names, "node", "size", "fp", "bits"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -318,8 +375,8 @@ def representatives(documents: DataFrame, text: str = "text", shingle: int = SHI
             yield from flush()
 
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *names)
-    schema = source.drop("text").schema.add("node", "long", False).add("size", "integer", False).add("fp", "long", False)
-    nodes = common.cut(spark, source.mapInArrow(common.released(digest), schema).groupBy("node").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp")), "nodes")
+    schema = source.drop("text").schema.add("node", "long", False).add("size", "integer", False).add("fp", "long", False).add("bits", "binary", False)
+    nodes = common.cut(spark, source.mapInArrow(common.released(digest), schema).groupBy("node").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "nodes")
     sent = source.select("text").mapInArrow(common.released(send), "bucket int, key binary, node binary, size binary, place binary")
     groups = common.cut(spark, sent.groupBy("bucket").applyInArrow(lambda table: _groups(table, least), "nodes binary, sizes binary, a binary, b binary"), "groups")
 
@@ -335,16 +392,27 @@ def representatives(documents: DataFrame, text: str = "text", shingle: int = SHI
 
     first = groups.where("a is not null").select("a", "b").mapInArrow(common.released(paired), "a long, b long")
     edges = _verified(first.unionByName(_probed(nodes, reach)).distinct(), nodes, source, names, shingle, least)
-    near = common.cut(spark, simhash.components(spark, edges), "near")
+    found = common.cut(spark, simhash.components(spark, edges), "near")
     lists = groups.where("nodes is not null").withColumn("list", F.xxhash64("nodes")).dropDuplicates(["list"])
     listed = lists.select("nodes", "sizes", "list").mapInArrow(common.released(members), "list long, node long, size int")
-    known = nodes.select("node", "fp").join(near, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
-    rooted = listed.join(known, "node").select("list", F.struct("node", "size", "fp", "root").alias("own"))
-    # a list holds about twice GROUP nodes at most
-    apart = rooted.groupBy("list").agg(F.collect_list("own").alias("own"), F.min("own.root").alias("low"), F.max("own.root").alias("high")).where("low < high").select("own")
-    others = apart.mapInArrow(common.released(lambda x: _other_pairs(x, least)), "a long, b long").distinct()
-    more = _verified(others, nodes, source, names, shingle, least)
-    found = simhash.components(spark, edges.unionByName(more)) if not more.isEmpty() else near
+
+    def gathered(rows: DataFrame, *columns: str) -> DataFrame:
+        """Lists of several components, with their nodes' columns. A list holds about twice GROUP nodes at most."""
+        rooted = rows.join(found, "node", "left").select("list", F.struct("node", *columns, F.coalesce("root", "node").alias("root")).alias("own"))
+        return rooted.groupBy("list").agg(F.collect_list("own").alias("own"), F.min("own.root").alias("low"), F.max("own.root").alias("high")).where("low < high").select("list", "own")
+
+    prints = listed.join(nodes.select("node", "fp"), "node")
+    opened = gathered(prints, "size", "fp").mapInArrow(common.released(lambda x: _open(x, least)), "list long, node long")
+    left = common.cut(spark, opened.join(nodes.select("node", "size", "fp", "bits"), "node"), "open")
+    for turn in [*range(TURNS), None]:
+        asked = gathered(left, "size", "fp", "bits").mapInArrow(common.released(lambda x, turn=turn: _asked(x, least, turn)), "a long, b long").distinct()
+        asked = common.cut(spark, asked, "asked")
+        if asked.isEmpty():
+            break
+        more = _verified(asked, nodes, source, names, shingle, least)
+        common.discard(asked)
+        edges = edges.unionByName(more)
+        found = common.cut(spark, simhash.components(spark, edges), "near")
     named = nodes.select("node", "row").join(found, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
     chosen = common.cut(spark, named.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.one").alias(one), F.col("row.two").alias(two)), "chosen")
     # wholly equal rows are one; the join has dealt and sorted them already
