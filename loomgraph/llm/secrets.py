@@ -26,6 +26,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm import common
+
 #: Alternatives that a Boolean query may have before it gives up on more.
 MOST_ALTERNATIVES = 32
 
@@ -52,6 +54,8 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 BASE = 3
+#: Entries of an array that are folded at once.
+PART = 256
 
 
 # ---------------------------------------------------------------- Boolean queries
@@ -150,27 +154,36 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted({g for r in rules for x in boolean_query(r.pattern) for g in x})
 
 
-def indexed(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def indexed(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", bits: str = "bits") -> DataFrame:
     """The documents with bits array<long>: bit i % 63 of number i / 63 is set where term i of the vocabulary occurs."""
     terms = vocabulary(rules)
-    lower = documents.withColumn("__lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    (name,) = common.free_names(documents, "lower")
+    lower = documents.withColumn(name, F.lower(F.coalesce(F.col(text), F.lit(""))))
     longs = []
     for low in range(0, max(len(terms), 1), 63):
-        bits = F.lit(0).cast("long")
+        own = F.lit(0).cast("long")
         for i, term in enumerate(terms[low : low + 63]):
-            bits = bits.bitwiseOR(F.when(F.contains("__lower", F.lit(term)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-        longs.append(bits)
-    return lower.withColumn("bits", F.array(*longs)).drop("__lower")
+            own = own.bitwiseOR(F.when(F.contains(name, F.lit(term)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        longs.append(own)
+    return lower.withColumn(bits, F.array(*longs)).drop(name)
 
 
-def postings(index: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def postings(index: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = RULES, bits: str = "bits") -> DataFrame:
     """(gram, key): the index as lists, a row an entry."""
     terms = vocabulary(rules)
-    present = [F.when(F.col("bits")[i // 63].bitwiseAND(F.lit(1 << (i % 63)).cast("long")) != 0, F.lit(t)) for i, t in enumerate(terms)]
+    present = [F.when(F.col(bits)[i // 63].bitwiseAND(F.lit(1 << (i % 63)).cast("long")) != 0, F.lit(t)) for i, t in enumerate(terms)]
     return index.select(key, F.explode(F.array_compact(F.array(*present))).alias("gram")).select("gram", key)
 
 
-def candidate(rule: Rule, rules: tuple[Rule, ...] = RULES) -> Column:
+def listed_candidates(lists: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(rule, key) by intersecting posting lists: documents that stand in all lists of an alternative. The same as `candidate` says of each document, at the price of a shuffle."""
+    asked = [(n, a, g, len(x)) for n, rule in enumerate(rules) for a, x in enumerate(boolean_query(rule.pattern)) for g in x]
+    wanted = lists.sparkSession.createDataFrame(asked, "rule int, alternative int, gram string, need int")
+    met = lists.join(F.broadcast(wanted), "gram")  # a row a trigram of an alternative
+    return met.groupBy("rule", "alternative", key).agg(F.count_distinct("gram").alias("have"), F.first("need").alias("need")).where("have = need").select("rule", key).distinct()
+
+
+def candidate(rule: Rule, rules: tuple[Rule, ...] = RULES, bits: str = "bits") -> Column:
     """Whether a document of the index satisfies a rule's Boolean query: lists intersected, alternatives united."""
     terms = vocabulary(rules)
     found = F.lit(False)
@@ -178,7 +191,7 @@ def candidate(rule: Rule, rules: tuple[Rule, ...] = RULES) -> Column:
         every = F.lit(True)
         for number in sorted({terms.index(g) // 63 for g in alternative}):
             mask = sum(1 << (terms.index(g) % 63) for g in alternative if terms.index(g) // 63 == number)
-            every = every & (F.col("bits")[number].bitwiseAND(F.lit(mask).cast("long")) == mask)
+            every = every & (F.col(bits)[number].bitwiseAND(F.lit(mask).cast("long")) == mask)
         found = found | every
     return found
 
@@ -188,33 +201,50 @@ def candidate(rule: Rule, rules: tuple[Rule, ...] = RULES) -> Column:
 _SPANS = "array<struct<start:int,rule:int,end:int>>"
 
 
-def _matches(rule: Rule, number: int) -> Column:
-    """Spans of a rule's matches in the column __text."""
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all("__text", pattern, F.lit(0))
-    between = F.split("__text", rule.pattern, -1)
-    paired = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, add) -> Column:
+    """An array of numbers folded up to each place by add, which is associative and leaves a number as it is with 0. A part at a time, so that a long array isn't copied once an entry."""
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0)), lambda out, x: F.array_append(out, add(F.element_at(out, -1), x)))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        long_enough = F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least if rule.least else F.lit(True)
-        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("rule"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(state["spans"], one)).otherwise(state["spans"]).alias("spans"))
+    def joined(own: Column) -> Column:
+        last = F.floor(F.greatest(F.size(own) - 1, F.lit(0)) / PART).cast("int")
+        within = F.transform(F.sequence(F.lit(0), last), lambda i: fold(F.slice(own, i * PART + 1, PART)))
+        return _let(within, lambda parts: F.flatten(F.zip_with(parts, F.slice(fold(F.transform(parts, lambda x: F.element_at(x, -1))), 1, F.size(parts)), lambda x, base: F.transform(F.slice(x, 2, PART), lambda y: add(y, base)))))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    return F.aggregate(paired, empty, step, lambda state: state["spans"])
+    return _let(values, joined)
 
 
-def spans(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, then spans array<struct<start, rule, end>> of all rules by start and rule; rule is the place in the list."""
-    index = indexed(documents.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")), rules, "__text")
+def _matches(rule: Rule, number: int, text: str) -> Column:
+    """Spans of a rule's matches in a column."""
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    between = F.split(text, rule.pattern, -1)
+
+    def spans_of(paired: Column) -> Column:
+        made = F.zip_with(paired, _running(F.transform(paired, lambda x: x["gap"] + F.length(x["m"])), lambda a, b: a + b), lambda x, end: F.struct(x["m"].alias("m"), F.struct((end - F.length(x["m"])).alias("start"), F.lit(number).alias("rule"), end.alias("end")).alias("span")))
+        if rule.least:
+            made = F.filter(made, lambda x: F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least)
+        return F.transform(made, lambda x: x["span"])
+
+    paired = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
+    return _let(paired, spans_of).cast(_SPANS)
+
+
+def spans(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "spans") -> DataFrame:
+    """keep, then out array<struct<start, rule, end>> of all rules by start and rule; rule is the place in the list."""
+    whole, bits = common.free_names(documents, "whole", "bits")
+    index = indexed(documents.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(whole)), rules, whole, bits)
     parts = []
     for number, rule in enumerate(rules):
         # of a text without a match only the index, or one search, is looked at
-        worth = candidate(rule, rules) & F.col("__text").rlike(rule.pattern)
-        parts.append(F.when(worth, _matches(rule, number)).otherwise(F.array().cast(_SPANS)))
-    return index.select(*keep, F.array_sort(F.concat(*parts)).alias("spans"))
+        worth = candidate(rule, rules, bits) & F.col(whole).rlike(rule.pattern)
+        parts.append(F.when(worth, _matches(rule, number, whole)).otherwise(F.array().cast(_SPANS)))
+    return index.select(*keep, F.array_sort(F.concat(*parts)).alias(out))
 
 
 def label(column: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -224,17 +254,17 @@ def label(column: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def masked(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """The documents with every span, overlapping ones as one, replaced by the mask; other columns as they are, nulls null."""
-    marked = spans(documents.withColumn("__whole", F.coalesce(F.col(text), F.lit(""))), rules, text, keep=(*documents.columns, "__whole"))
-
-    def step(state: Column, x: Column) -> Column:
-        apart = x["start"] >= state["at"]
-        gap = F.substring("__whole", state["at"] + 1, x["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(apart, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"))
-
-    folded = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    tail = F.substring("__whole", folded["at"] + 1, F.length("__whole"))
-    return marked.withColumn(text, F.when(F.size("spans") == 0, F.col(text)).otherwise(F.concat(folded["out"], tail))).select(*documents.columns)
+    """The documents with every span, overlapping ones as one, replaced by the mask; other columns as they are, whatever their names, nulls null."""
+    (found,) = common.free_names(documents, "found")
+    marked = spans(documents, rules, text, tuple(documents.columns), found)
+    covered = F.col(found)
+    # what ends before a span begins: the furthest end so far, so that a span within another leaves no gap
+    furthest = _running(F.transform(covered, lambda x: x["end"]), F.greatest)
+    before = F.slice(F.concat(F.array(F.lit(0)), furthest), 1, F.size(covered))
+    apart = F.filter(F.zip_with(covered, before, lambda x, at: F.struct(x["start"].alias("start"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+    pieces = F.transform(apart, lambda x: F.substring(F.col(text), x["at"] + 1, x["start"] - x["at"]))
+    tail = F.substring(F.col(text), F.array_max(furthest) + 1, F.length(text))
+    return marked.withColumn(text, F.when(F.size(covered) == 0, F.col(text)).otherwise(F.array_join(F.concat(pieces, F.array(tail)), mask))).select(*documents.columns)
 
 
 def oracle(rules: tuple[Rule, ...] = RULES, base: int = BASE) -> str:

@@ -1,7 +1,8 @@
 """Token counts: batches go through the tokenizer's own library, and only lengths come back.
 
-Rows are regrouped into batches of about equal bytes. A text above SPLIT_BYTES
-is cut where no token can reach across: at a single space between two
+Arrow batches are merged until they hold BATCH_BYTES of text, and cut there, so
+what the library gets at once is of about equal size whatever the rows' lengths;
+a longer text is alone. A text above SPLIT_BYTES is cut where no token can reach across: at a single space between two
 characters that aren't spaces, when no piece of the vocabulary holds a space
 after another character. The space itself becomes the mark that the library
 puts before each text, so the parts' counts add up to the whole's. The check of
@@ -82,6 +83,19 @@ def opened(name: str, path: str | None) -> Counter:
     return Counter(name, path)
 
 
+def balanced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at least BATCH_BYTES of text, the last one excepted: short texts share a batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += int(common.text_buffers(batch.column(batch.schema.get_field_index(column)))[1][-1])
+        if size >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def count(documents: DataFrame, model: str = MODEL, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, then n_bytes and n_tokens of the text."""
     common.prepare(documents.sparkSession)
@@ -90,7 +104,7 @@ def count(documents: DataFrame, model: str = MODEL, path: str | None = None, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = opened(model, path)
-        for rows, _, offsets in common.texts(batches, "__text", BATCH_BYTES):
+        for rows, _, offsets in common.texts(balanced(batches, "__text"), "__text", BATCH_BYTES):
             tokens = counter.count([x or "" for x in rows.column(rows.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(np.diff(offsets)), pa.array(tokens)], names=[*rows.schema.names[:-1], "n_bytes", "n_tokens"])
 

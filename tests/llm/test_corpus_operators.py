@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomgraph.llm import audio, common, decontamination, language_model, pieces, quality, queries, secrets, simhash, suffix_dedup, suffix_sort, token_counts, toxicity
-from tests.helpers import SMALL
+from tests.helpers import MEDIUM, SMALL
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, bits string, fp string, copy int"
@@ -303,7 +303,26 @@ def test_masking(spark):
     got = secrets.masked(rows_of(spark, SECRETS)).collect()
     for r in got:
         assert r["text"] is None or not spans(r["text"]), r["text"]
-    assert {r["doc_id"]: r["text"] for r in got}[3] == "nothing here" and got[0]["score"] == 9.0
+    assert {r["doc_id"]: r["text"] for r in got}[3] == "nothing here" and got[0]["score"] == 9.0 and all(r["bits"] == "b" for r in got)
+    clash = rows_of(spark, SECRETS).selectExpr("doc_id", "text", "'S' as spans", "'W' as whole", "'F' as found", "'L' as lower", "'B' as Bits")
+    again = secrets.masked(clash)
+    assert again.columns == clash.columns and all(tuple(r[2:]) == ("S", "W", "F", "L", "B") for r in again.collect())
+    assert sorted(str(r["text"]) for r in again.collect()) == sorted(str(r["text"]) for r in got)
+
+
+def test_very_many_secrets(spark):
+    draw = random.Random(21)
+    text = " ".join(draw.choice(["é token=abcdef12", "deadbeef" * 3, "plain", "password: x", "AKIA" + "Z" * 20 + "=secret=qwertyuiop"]) for _ in range(20000))
+    frame = rows_of(spark, [(1, text)])
+    found = secrets.spans(frame).select(secrets.label(F.col("spans"))).first()[0]
+    assert found == ",".join(x for _, _, x in spans(text))
+    out, at = [], 0
+    for start, _, name in spans(text):
+        end = int(name.split(":")[2])
+        if start >= at:
+            out.append(text[at:start] + "[secret]")
+        at = max(at, end)
+    assert secrets.masked(frame).first()["text"] == "".join(out) + text[at:]
 
 
 def test_secret_query_runs_no_python(spark):
@@ -319,6 +338,14 @@ def test_postings(spark):
     assert {3, 2} & lists["tok"] == set() and {4, 5, 10} <= lists["tok"] and 7 in lists["kia"]
 
 
+def test_intersected_lists_say_what_the_bits_say(spark):
+    index = secrets.indexed(spark.read.parquet(f"{MEDIUM}/documents.parquet").unionByName(rows_of(spark, SECRETS), allowMissingColumns=True).select("doc_id", "text"))
+    listed = {tuple(r) for r in secrets.listed_candidates(secrets.postings(index)).collect()}
+    mandatory = [n for n, rule in enumerate(secrets.RULES) if secrets.boolean_query(rule.pattern) != [[]]]
+    bits = {(n, r["doc_id"]) for n in mandatory for r in index.where(secrets.candidate(secrets.RULES[n])).select("doc_id").collect()}
+    assert listed == bits and bits
+
+
 def test_secret_query_matches_sql(spark):
     from tests.helpers import duck, same
 
@@ -420,6 +447,17 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert len(truth & got) / len(truth) >= 0.95 and not got - truth
 
 
+def test_items_without_ids_and_ids_that_are_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEM_CHARACTERS", 40)
+    monkeypatch.setattr(decontamination, "FAN_IN", 2)
+    said, other = "seven words that make up an item", "quite another thing is said over here"
+    docs = rows_of(spark, [(1, f"before {said} after"), (1, "nothing of the kind"), (2, other)]).repartition(7)
+    for kind, ids in (("string", ["a", None]), ("long", [None, 5])):
+        bench = spark.createDataFrame(list(zip(ids, (said, other), strict=True)), f"item_id {kind}, text string")
+        assert {(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs, bench).collect()} == {(1, ids[0]), (2, ids[1])}
+        assert [tuple(r)[:2] for r in decontamination.clean(docs, bench).collect()] == [(1, "nothing of the kind")]
+
+
 def test_benchmark_or_documents_empty(spark):
     bench = spark.createDataFrame([(1, "some words that make an item")], "item_id long, text string")
     docs = rows_of(spark, [(1, "some words")])
@@ -448,6 +486,13 @@ def test_token_counts(spark, awkward, monkeypatch):
     assert token_counts.count(rows_of(spark, awkward).where("false")).count() == 0
 
 
+def test_batches_of_about_equal_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 1000)
+    batches = [pa.RecordBatch.from_pydict({"t": ["x" * n] * 3}) for n in (10, 0, 200, 1, 5000, 2)]
+    got = list(token_counts.balanced(iter(batches), "t"))
+    assert [b.num_rows for b in got] == [15, 3] and pa.Table.from_batches(got).equals(pa.Table.from_batches(batches)) and not list(token_counts.balanced(iter([]), "t"))
+
+
 def test_splitting_changes_no_count(awkward, monkeypatch):
     monkeypatch.setattr(token_counts, "SPLIT_BYTES", 40)
     counter = token_counts.Counter(token_counts.MODEL)
