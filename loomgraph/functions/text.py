@@ -1,6 +1,6 @@
 """Text as columns: stripping, canonical JSON, number formats, and strict casts that report instead of raising.
 
-A cast takes a column and its Spark type (string, bigint, double, boolean,
+A cast takes a column and its Spark type (string, any number, boolean,
 timestamp or variant) and gives two columns: the value, NULL where it can't be
 read, and the reason, NULL where it can. Variant values are judged by what they
 hold, so that JSON's 1 and CSV's "1" become one key.
@@ -12,6 +12,7 @@ literals in the range of bigint, timestamps are dates with or without a time
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -78,6 +79,24 @@ def let(column: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(column), body), F.lit(0))
 
 
+#: Entries of an array that are folded at once.
+PART = 256
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """An array of numbers, 0 or more, folded up to each place by add (a sum, or the greater one). A part at a time, so that a long array isn't copied once an entry."""
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0)), lambda out, x: F.array_append(out, add(F.element_at(out, -1), x)))
+
+    def joined(own: Column) -> Column:
+        last = F.floor(F.greatest(F.size(own) - 1, F.lit(0)) / PART).cast("int")
+        within = F.transform(F.sequence(F.lit(0), last), lambda i: fold(F.slice(own, i * PART + 1, PART)))
+        return let(within, lambda parts: F.flatten(F.zip_with(parts, F.slice(fold(F.transform(parts, lambda x: F.element_at(x, -1))), 1, F.size(parts)), lambda x, base: F.transform(F.slice(x, 2, PART), lambda y: add(y, base)))))
+
+    return let(values, joined)
+
+
 def variant_kind(column: Column) -> Column:
     """string, int, float, bool, null, object or array: what a variant holds."""
 
@@ -119,20 +138,35 @@ def _of_variant(column: Column, casts: dict[str, Callable[[Column], tuple[Column
 
 
 
+#: Why a value can't be read, as callers compare it.
+NOT_A_NUMBER, NOT_INTEGER, FRACTION, NO_TEXT_OF_BOOLEAN, NOT_A_TIME = "not a number", "not an integer literal", "would lose the fractional part", "a boolean has no unambiguous string form", "not an ISO-8601 datetime"
+
+
 def _fine() -> Column:
     return F.lit(None).cast("string")
 
 
+def widened(column: Column, kind: str) -> tuple[Column, str]:
+    """Narrow integers as bigint, single floats as double; decimals without a fraction in their type as bigint if they fit."""
+    if kind in ("tinyint", "smallint", "int"):
+        return column.cast("bigint"), "bigint"
+    if kind == "float":
+        return column.cast("double"), "double"
+    found = re.fullmatch(r"decimal\((\d+),(\d+)\)", kind)
+    if found:
+        return (column.cast("bigint"), "bigint") if found[2] == "0" and int(found[1]) <= 18 else (column, "decimal")
+    return column, kind
+
+
 def to_text(column: Column, kind: str) -> tuple[Column, Column]:
     """Stripped text; numbers in their usual form; booleans have none."""
+    column, kind = widened(column, kind)
     if kind == "string":
         return strip(column), _fine()
-    if kind in ("bigint", "int"):
-        return column.cast("string"), _fine()
     if kind == "double":
         return float_text(column), _fine()
     if kind == "boolean":
-        return F.lit(None).cast("string"), F.when(column.isNotNull(), "a boolean has no unambiguous string form")
+        return F.lit(None).cast("string"), F.when(column.isNotNull(), NO_TEXT_OF_BOOLEAN)
     if kind == "variant":
         return _of_variant(column, {k: (lambda c, t=t: to_text(c, t)) for k, t in (("string", "string"), ("int", "bigint"), ("float", "double"), ("bool", "boolean"))}, "a scalar")
     return column.cast("string"), _fine()
@@ -140,17 +174,21 @@ def to_text(column: Column, kind: str) -> tuple[Column, Column]:
 
 def to_integer(column: Column, kind: str) -> tuple[Column, Column]:
     """Whole numbers only: nothing is rounded."""
-    if kind in ("bigint", "int"):
-        return column.cast("bigint"), _fine()
+    column, kind = widened(column, kind)
+    if kind == "bigint":
+        return column, _fine()
+    if kind == "decimal":
+        value = F.when(column == F.floor(column), column.try_cast("bigint"))
+        return value, F.when(column != F.floor(column), FRACTION).when(value.isNull(), "out of range")
     if kind == "double":
         whole = (column == F.floor(column)) & (F.abs(column) < 2.0**63)
-        return F.when(whole, column.try_cast("bigint")), F.when(~whole | F.isnan(column), "would lose the fractional part")
+        return F.when(whole, column.try_cast("bigint")), F.when(~whole | F.isnan(column), FRACTION)
     if kind == "string":
         text = strip(column)
         value = F.when(text.rlike(_INTEGER), F.regexp_replace(text, r"^\+", "").try_cast("bigint"))
-        return value, F.when(value.isNull(), "not an integer literal")
+        return value, F.when(value.isNull(), NOT_INTEGER)
     if kind == "boolean":
-        return F.lit(None).cast("bigint"), F.when(column.isNotNull(), "a boolean is not an integer")
+        return F.lit(None).cast("bigint"), F.when(column.isNotNull(), "a truth value counts nothing")
     if kind == "variant":
         return _of_variant(column, {k: (lambda c, t=t: to_integer(c, t)) for k, t in (("string", "string"), ("int", "bigint"), ("float", "double"), ("bool", "boolean"))}, "a number")
     return F.lit(None).cast("bigint"), F.when(column.isNotNull(), f"{kind} is not a number")
@@ -158,15 +196,16 @@ def to_integer(column: Column, kind: str) -> tuple[Column, Column]:
 
 def to_float(column: Column, kind: str) -> tuple[Column, Column]:
     """Numbers and numeric text, nan and inf included."""
-    if kind in ("bigint", "int", "double"):
+    column, kind = widened(column, kind)
+    if kind in ("bigint", "double", "decimal"):
         return column.cast("double"), _fine()
     if kind == "string":
         text = F.lower(strip(column))
         special = F.regexp_replace(F.regexp_replace(text, r"^([+-]?)inf$", "$1infinity"), r"^[+-]nan$", "nan")
         value = F.when(text.rlike(_FLOAT), text.try_cast("double")).when(text.rlike(_SPECIAL), special.try_cast("double"))
-        return value, F.when(value.isNull(), "not a number")
+        return value, F.when(value.isNull(), NOT_A_NUMBER)
     if kind == "boolean":
-        return F.lit(None).cast("double"), F.when(column.isNotNull(), "a boolean is not a number")
+        return F.lit(None).cast("double"), F.when(column.isNotNull(), "a truth value measures nothing")
     if kind == "variant":
         return _of_variant(column, {k: (lambda c, t=t: to_float(c, t)) for k, t in (("string", "string"), ("int", "bigint"), ("float", "double"), ("bool", "boolean"))}, "a number")
     return F.lit(None).cast("double"), F.when(column.isNotNull(), f"{kind} is not a number")
@@ -174,14 +213,15 @@ def to_float(column: Column, kind: str) -> tuple[Column, Column]:
 
 def to_boolean(column: Column, kind: str) -> tuple[Column, Column]:
     """Words for true and false, and the integers 0 and 1."""
+    column, kind = widened(column, kind)
     if kind == "boolean":
         return column, _fine()
-    if kind in ("bigint", "int"):
-        return F.when(column.isin(0, 1), column == 1), F.when(~column.isin(0, 1), "only 0 and 1 are boolean")
+    if kind == "bigint":
+        return F.when(column.isin(0, 1), column == 1), F.when(~column.isin(0, 1), "a number is a truth value only if it is 0 or 1")
     if kind == "string":
         text = F.lower(strip(column))
         value = F.when(text.isin(*TRUE_WORDS), True).when(text.isin(*FALSE_WORDS), False)
-        return value, F.when(value.isNull(), "expected one of " + str(sorted(TRUE_WORDS + FALSE_WORDS)))
+        return value, F.when(value.isNull(), "neither a word for true nor for false")
     if kind == "variant":
         return _of_variant(column, {k: (lambda c, t=t: to_boolean(c, t)) for k, t in (("string", "string"), ("int", "bigint"), ("bool", "boolean"))}, "a boolean")
     return F.lit(None).cast("boolean"), F.when(column.isNotNull(), f"{kind} is not a boolean")
@@ -194,7 +234,7 @@ def to_timestamp(column: Column, kind: str) -> tuple[Column, Column]:
     if kind == "string":
         text = strip(column)
         value = F.when(text.rlike(_DATE), F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp"))
-        return value, F.when(value.isNull(), "not an ISO-8601 datetime")
+        return value, F.when(value.isNull(), NOT_A_TIME)
     if kind == "variant":
         return _of_variant(column, {"string": lambda c: to_timestamp(c, "string")}, "a datetime")
     return F.lit(None).cast("timestamp"), F.when(column.isNotNull(), f"{kind} is not a datetime")
@@ -230,6 +270,7 @@ def json_value(column: Column, kind: str) -> Column:
         return F.when(column.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
     if kind == "variant":
         return F.when(column.isNotNull(), F.to_json(column))
+    column, kind = widened(column, kind)
     if kind == "double":
         return float_text(column)
     if kind == "timestamp":

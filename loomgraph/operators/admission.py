@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,23 @@ def disposition(candidates: DataFrame, ok: Column, order: tuple[str, ...] = ("re
     return joined.withColumn("disposition", verdict).drop("__key", "__first", "__ok")
 
 
-def disposition_by_window(candidates: DataFrame, ok: Column, order: tuple[str, ...] = ("rec_idx", "pos"), key: str = "semantic_key") -> DataFrame:
-    """The same verdicts from one window: a single shuffle, for keys known to be even."""
+def disposition_counts(candidates: DataFrame, ok: Column, order: tuple[str, ...] = ("rec_idx", "pos"), key: str = "semantic_key", by: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """(by, disposition, n): how many candidates meet which end. Only places and flags move: keys are folded by two aggregates, and nothing is joined.
+
+    A task sends a row for each key and of each place before the first that is
+    ok. What comes after the first ok one of a task is only counted, since it
+    can't be the first of all.
+    """
     place = F.struct(*(F.col(c) for c in order))
-    first = F.min(F.when(ok, place)).over(Window.partitionBy(key))
-    return candidates.withColumn("__first", first).withColumn("disposition", F.when(F.col("__first").isNull() | (place < F.col("__first")), "rejected").when(place == F.col("__first"), "admitted").otherwise("suppressed")).drop("__first")
+    rows = candidates.select(*by, F.col(key).alias("__key"), place.alias("__place"), ok.alias("__ok"))
+    first = rows.where("__ok").groupBy("__key").agg(F.min("__place").alias("__first"))
+    good = rows.where("__ok").groupBy(*by, "__key").agg(F.count("*").alias("n"))
+    # what is ok is admitted once a key and suppressed otherwise
+    admitted = candidates.where(ok).groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(place.alias("__place"), *by)).alias("__f")).select(*(F.col(f"__f.{b}").alias(b) for b in by))
+    admitted = admitted.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit("admitted").alias("disposition"), "n")
+    total = good.groupBy(*by).agg(F.sum("n").alias("n"))
+    more = total.join(admitted.select(*by, F.col("n").alias("__a")), list(by), "left").select(*by, F.lit("suppressed").alias("disposition"), (F.col("n") - F.coalesce("__a", F.lit(0))).alias("n"))
+    bad = rows.where("not __ok").join(first, "__key", "left")
+    early = F.col("__first").isNull() | (F.col("__place") < F.col("__first"))
+    rest = bad.groupBy(*by, F.when(early, "rejected").otherwise("suppressed").alias("disposition")).agg(F.count("*").alias("n"))
+    return admitted.unionByName(more).unionByName(rest).groupBy(*by, "disposition").agg(F.sum("n").alias("n")).where("n > 0")

@@ -72,7 +72,7 @@ class Values:
 
     def _text(self, name: str) -> Column:
         kind = self.kinds.get(name, "string")
-        raw = self.raw(name)
+        raw, kind = text.widened(self.raw(name), kind)
         if kind == "string":
             return text.nonempty(raw)
         if kind == "double":

@@ -104,7 +104,7 @@ def matched(candidates: DataFrame, gold: DataFrame) -> DataFrame:
 
 def gold_hits(match: DataFrame, gold: DataFrame, arms: DataFrame) -> DataFrame:
     """(arm_id, category, gold_idx, hit 0.0 or 1.0) for every arm and item."""
-    every = arms.select("arm_id").distinct().join(F.broadcast(gold.select("category", "gold_idx")))  # each arm answers for each item
+    every = arms.select("arm_id").distinct().join(gold.select("category", "gold_idx"))  # each arm answers for each item
     found = match.where("hit").select("arm_id", "category", "gold_idx", F.lit(1.0).alias("h"))
     return every.join(found, ["arm_id", "category", "gold_idx"], "left").select("arm_id", "category", "gold_idx", F.coalesce("h", F.lit(0.0)).alias("hit"))
 
@@ -337,13 +337,15 @@ def render_json(cards: DataFrame) -> str:
 
 
 def render_markdown(cards: DataFrame, title: str = "Evaluation") -> str:
-    """Scorecards as text; what wasn't measured says so."""
-    lines = [f"# {title}", ""]
-    for r in cards.orderBy("arm_id").collect():
-        lines += [f"## Arm {r['arm_id']}", "", "| category | precision | recall | F1 | TP | FP | FN |", "|-|-|-|-|-|-|-|"]
-        for c in CATEGORIES:
-            lines.append(f"| {c} | {_shown(r[f'{c}_precision'])} | {_shown(r[f'{c}_recall'])} | {_shown(r[f'{c}_f1'])} | {r[f'{c}_tp']} | {r[f'{c}_fp']} | {r[f'{c}_fn']} |")
-        violations = "insufficient (not measured)" if r["ontology_violations"] is None else r["ontology_violations"]
-        lines += ["", f"- resolvable citations: {_shown(r['resolvable_rate'])} ({r['resolvable_refs']} of {r['total_refs']})", f"- spans covered: {_shown(r['span_coverage_rate'])} ({r['covered']} of {r['checked']})", f"- outside the ontology: {violations}"]
-        lines += [f"- hallucinations: {r['hallucinations']}", f"- ungrounded: {r['ungrounded']}", f"- unverified: {r['unverified']}", f"- abstention rate: {_shown(r['abstention_rate'])}", f"- failure rate: {_shown(r['failure_rate'])}", ""]
-    return "\n".join(lines)
+    """One table a metric family, a line a metric and a column an arm; what wasn't measured says so. Counts follow the rates."""
+    rows = cards.orderBy("arm_id").collect()
+    arms = [str(r["arm_id"]) for r in rows]
+    rates = flat_metrics(cards).collect()
+    measured = {(str(r["arm_id"]), r["metric"]): r["value"] for r in rates}
+    counted = [c for c, kind in cards.dtypes if kind in ("bigint", "int") and c != "arm_id"]
+    lines = [title, "=" * len(title), "", " | ".join(["metric", *arms]), " | ".join(["-"] * (len(arms) + 1))]
+    for metric in dict.fromkeys(r["metric"] for r in rates):
+        lines.append(" | ".join([metric, *(_shown(measured[a, metric]) for a in arms)]))
+    for name in counted:
+        lines.append(" | ".join([name, *("insufficient (not measured)" if r[name] is None else str(r[name]) for r in rows)]))
+    return "\n".join([*lines, ""])

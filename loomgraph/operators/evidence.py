@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.errors import EvidenceMissing
@@ -59,11 +59,17 @@ def malformed(frame: DataFrame) -> Column:
     )
 
 
-def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows by id, the last written wins, except that a redacted row stays as it is."""
-    both = stored.withColumn("__n", F.lit(0)).unionByName(new.withColumn("__n", F.lit(1)))
-    best = Window.partitionBy("evidence_id").orderBy(F.col("redacted_at").isNotNull().desc(), F.col("__n").desc(), F.xxhash64("payload_hash", "observed_at"))
-    return both.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "__n")
+def upsert(stored: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows by id, the last written wins, except that a redacted row stays as it is. Of new rows that share an id the one with the greatest order is the last.
+
+    The winner is found by an aggregate that combines before the shuffle, so an
+    id that is written again and again sends a row a task.
+    """
+    names = stored.columns
+    place = F.col(order).cast("long") if order else F.lit(0).cast("long")
+    both = stored.select(*names, F.lit(0).alias("__new"), F.lit(0).cast("long").alias("__place")).unionByName(new.select(*names, F.lit(1).alias("__new"), place.alias("__place")))
+    rank = F.struct(F.col("redacted_at").isNotNull(), "__new", "__place", F.xxhash64("payload_hash", "observed_at"))
+    return both.groupBy("evidence_id").agg(F.max_by(F.struct(*names), rank).alias("r")).select("r.*")
 
 
 def add_refs(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -115,14 +121,18 @@ class EvidenceStore:
     def refs(self, version: int | None = None) -> DataFrame:
         return self.store.read("evidence_refs", version)
 
-    def put(self, rows: DataFrame, refs: DataFrame | None = None) -> None:
-        """Upsert rows, and add citations, in one commit."""
+    def put(self, rows: DataFrame, refs: DataFrame | None = None, order: str | None = None) -> None:
+        """Upsert rows, and add citations, in one commit. order names a column that says which of several rows of one id is the last; without it an id may come once."""
         base = self.store.version()
+        if order is None:
+            again = rows.groupBy("evidence_id").count().where("count > 1").first()
+            if again:
+                raise ValueError(f"{again[0]} comes more than once, and nothing says in which order")
         bad = rows.where(malformed(rows).isNotNull()).select("evidence_id", malformed(rows)).first()
         if bad:
             raise ValueError(f"{bad[0]}: {bad[1]}")
         append = {"evidence_refs": add_refs(self.refs(base), refs)} if refs is not None else {}
-        self.store.commit(append, {"evidence": upsert(self.rows(base), rows)}, base, "put")
+        self.store.commit(append, {"evidence": upsert(self.rows(base), rows, order)}, base, "put")
 
     def cite(self, refs: DataFrame) -> None:
         base = self.store.version()
@@ -175,16 +185,16 @@ def erase(ledger: Ledger, evidence: EvidenceStore, candidate_id: str, reason: st
     tables, cited, lost, changed = _cascade(evidence, candidate_id, other, reason, at)
     removed, gone = sorted(r[0] for r in cited.collect()), {r[0] for r in lost.collect()}  # one candidate's citations
     texts = {r["evidence_id"]: r["payload_hash"] for r in changed.collect()}
-    append, replace = ledger.erased(candidate_id, reason, actor, base)
+    append, parts = ledger.erased(candidate_id, reason, actor, base)
     if texts:
         audit = ledger.store.spark.createDataFrame([(candidate_id, h, e) for e, h in sorted(texts.items())], "candidate_id string, payload_hash string, evidence_id string")
         detail = F.to_json(F.struct("evidence_id", F.lit(reason).alias("reason"), F.lit(actor).alias("actor")))
         append["events"] = append["events"].unionByName(ledger._events(audit, base, "redact", F.lit(None), F.lit(None), F.lit(reason), F.lit(actor), detail=detail))
     if shared:
-        ledger.store.commit(append, replace | tables, base, "erase")
+        ledger.store.commit(append, tables, base, "erase", parts)
     else:
         evidence.store.commit(None, tables, other, "erase")
-        ledger.store.commit(append, replace, base, "erase")
+        ledger.store.commit(append, None, base, "erase", parts)
     return {"candidate_id": candidate_id, "removed": removed, "redacted": [e for e in removed if e in texts], "preserved": [e for e in removed if e not in gone], "already_erased": False}
 
 

@@ -1,24 +1,26 @@
 """The candidate ledger: idempotent admission, state changes, withdrawal and erasure.
 
 Rows, payloads and events are append-only tables of one Store; a row's state is
-its latest event. A row is live unless it was revoked or erased; tombstones free
-the semantic key but keep the candidate id. Erasing rewrites the payload bucket
-of the row, so that its files can be deleted afterwards.
+its latest event, by commit and step within it. A row is live unless it was
+revoked or erased; tombstones free the semantic key but keep the candidate id.
+Payloads lie in buckets; erasing rewrites the row's bucket alone, and the files
+that it replaces can be deleted afterwards (Store.vacuum).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.errors import IllegalTransition
 from loomgraph.operators.candidates import BODY, SCORES
 from loomgraph.sources.records import COORD
-from loomgraph.sources.store import Store
+from loomgraph.sources.store import Store, scratch
 
 #: The states that each state can go to.
 LEGAL: dict[str, tuple[str, ...]] = {
@@ -49,7 +51,7 @@ CANDIDATE = ", ".join(f"{name} {kind}" for name, kind in COLUMNS.items())
 SCHEMAS = {
     "entries": "candidate_id string, graph_id string, semantic_key string, kind string, payload_hash string, valid_from timestamp, valid_to timestamp, received_at timestamp, recorded_at timestamp, trace_id string",
     "payloads": "candidate_id string, bucket int, payload string",
-    "events": "seq long, candidate_id string, kind string, from_state string, to_state string, reason string, actor string, at timestamp, retry_delta int, quarantine_reason string, payload_hash string, detail string",
+    "events": "seq long, candidate_id string, kind string, from_state string, to_state string, reason string, actor string, at timestamp, retry_delta int, quarantine_reason string, payload_hash string, detail string, step int",
 }
 BUCKETS = 64
 
@@ -96,16 +98,35 @@ def admit(candidates: DataFrame, entries: DataFrame, live: DataFrame, ambiguous:
 def states(events: DataFrame) -> DataFrame:
     """candidate_id, state, retry_count, quarantine_reason, revoked, erased, last_at: what the events add up to."""
     changes = F.col("kind").isin("submit", "transition")
+    at = F.struct("seq", F.coalesce("step", F.lit(0)).alias("step")) if "step" in events.columns else F.struct("seq")
     return events.groupBy("candidate_id").agg(
-        F.max_by(F.when(changes, F.col("to_state")), F.when(changes, F.col("seq"))).alias("state"),
+        F.max_by(F.when(changes, F.col("to_state")), F.when(changes, at)).alias("state"),
         F.coalesce(F.sum("retry_delta"), F.lit(0)).alias("retry_count"),
-        F.max_by("quarantine_reason", F.when(F.col("quarantine_reason").isNotNull(), F.col("seq"))).alias("quarantine_reason"),
+        F.max_by("quarantine_reason", F.when(F.col("quarantine_reason").isNotNull(), at)).alias("quarantine_reason"),
         F.max(F.col("kind") == "revoke").alias("revoked"),
         F.max(F.col("kind") == "erase").alias("erased"),
         F.max("at").alias("last_at"),
     )
 
 
+def folded(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Changes asked for (candidate_id, ord, to_state, reason) with state (what each finds), why_not (NULL if it is legal) and step.
+
+    One id's requests are folded in their order: a refused one leaves the state as it is.
+    """
+    each = asked.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("ord", "to_state", "reason"))).alias("asked")).join(rows, "candidate_id", "left")
+    live = F.col("state").isNotNull() & ~F.col("revoked") & ~F.col("erased")
+
+    def step(found: Column, one: Column) -> Column:
+        why = F.when(~live, "no live ledger entry").when(~legal(found["state"], one["to_state"]), F.concat(found["state"], F.lit(" can't go to "), one["to_state"]))
+        judged = F.struct(one["ord"].alias("ord"), one["to_state"].alias("to_state"), one["reason"].alias("reason"), found["state"].alias("state"), why.alias("why_not"))
+        return F.struct(F.when(why.isNull(), one["to_state"]).otherwise(found["state"]).alias("state"), F.array_append(found["out"], judged).alias("out"))
+
+    kind = f"array<struct<ord:{dict(asked.dtypes)['ord']},to_state:string,reason:string,state:string,why_not:string>>"
+    out = F.aggregate("asked", F.struct(F.col("state").alias("state"), F.array().cast(kind).alias("out")), step, lambda found: found["out"])
+    return each.select("candidate_id", "payload_hash", F.posexplode(out).alias("step", "r")).select("candidate_id", "payload_hash", "step", "r.*")
+
+
 def duplicates(planned: DataFrame, entries: DataFrame, live: DataFrame) -> DataFrame:
     """Planned candidates that a submit would call DUPLICATE: a live row has the key, or any row the id. Two flags, so no join has an OR."""
     keys = live.select("graph_id", "semantic_key").distinct().withColumn("__k", F.lit(True))
@@ -127,6 +148,7 @@ class Ledger:
     def __init__(self, spark: SparkSession, folder: str | None = None, profile: Profile = Profile(), store: Store | None = None, clock=lambda: datetime.now(UTC)) -> None:
         self.store = store or Store(spark, folder, SCHEMAS)
         self.store.schemas |= SCHEMAS
+        self.store.parted |= {"payloads": "bucket"}
         self.profile, self.clock = profile, clock
 
     # reads
@@ -178,8 +200,8 @@ class Ledger:
         judged = admit(candidates, self.store.read("entries", base), self.live(base), ambiguous if self.profile.reject_ambiguous else None)
         packed = F.to_json(F.struct(*(F.col(c) for c in candidates.columns)))
         judged = judged.withColumns({"payload": packed, "payload_hash": F.sha2(packed, 256)})
-        staged = f"{self.store.folder}/_staged/{base + 1:010d}-{abs(hash(self)) % 10**9}"
-        judged.write.mode("overwrite").parquet(staged)
+        staged = f"{self.store.folder}/_staged/{base + 1:010d}-{uuid.uuid4().hex}"
+        judged.write.parquet(staged)
         judged = self.store.spark.read.schema(judged.schema).parquet(staged)
         got = judged.where("status = 'RECEIVED'")
         self.store.commit(
@@ -197,7 +219,7 @@ class Ledger:
         text = lambda c: c.cast("string")
         return rows.select(
             F.lit(base + 1).cast("long").alias("seq"), "candidate_id", F.lit(kind).alias("kind"), text(from_state).alias("from_state"), text(to_state).alias("to_state"), text(reason).alias("reason"), text(actor).alias("actor"),
-            F.lit(self.clock()).cast("timestamp").alias("at"), F.lit(retry).alias("retry_delta"), F.lit(quarantine).cast("string").alias("quarantine_reason"), "payload_hash", text(detail if detail is not None else F.lit(None)).alias("detail"),
+            F.lit(self.clock()).cast("timestamp").alias("at"), F.lit(retry).alias("retry_delta"), F.lit(quarantine).cast("string").alias("quarantine_reason"), "payload_hash", text(detail if detail is not None else F.lit(None)).alias("detail"), (F.col("step") if "step" in rows.columns else F.lit(0)).cast("int").alias("step"),
         )
 
     def transition(self, candidate_id: str, to_state: str, actor: str, reason: str | None = None, increment_retry: bool = False, quarantine_reason: str | None = None) -> None:
@@ -210,15 +232,25 @@ class Ledger:
         self._append_event(base, candidate_id, "transition", row["state"], to_state, reason, actor, int(increment_retry), quarantine_reason)
 
     def transitions(self, asked: DataFrame, actor: str) -> DataFrame:
-        """Many at once: (candidate_id, to_state, reason). Legal ones are committed; all come back with applied and why not."""
+        """Many at once: (candidate_id, to_state, reason). Legal ones are committed; all come back with applied and why not.
+
+        An id may be asked for several times if a column ord says in which order:
+        each is judged by the state that those before it led to. Without ord an id
+        may come once.
+        """
         base = self.store.version()
+        if "ord" not in asked.columns:
+            again = asked.groupBy("candidate_id").count().where("count > 1").first()
+            if again:
+                raise ValueError(f"{again[0]} is asked for more than once, and nothing says in which order")
+            asked = asked.withColumn("ord", F.lit(0))
         rows = self.rows(base).select("candidate_id", "state", "revoked", "erased", "payload_hash")
-        judged = asked.join(rows, "candidate_id", "left")
-        why = F.when(F.col("state").isNull() | F.col("revoked") | F.col("erased"), "no live ledger entry").when(~legal(F.col("state"), F.col("to_state")), F.concat(F.col("state"), F.lit(" can't go to "), F.col("to_state")))
-        judged = judged.withColumn("why_not", why)
+        target = scratch(self.store.spark, "transitions")
+        folded(asked, rows).write.parquet(target)
+        judged = self.store.spark.read.parquet(target)
         ok = judged.where("why_not is null")
         self.store.commit(append={"events": self._events(ok, base, "transition", F.col("state"), F.col("to_state"), F.col("reason"), F.lit(actor))}, base=base, note="transitions")
-        return judged.select("candidate_id", "to_state", F.col("why_not").isNull().alias("applied"), "why_not")
+        return judged.select("candidate_id", "to_state", F.col("why_not").isNull().alias("applied"), "why_not", "ord")
 
     def _append_event(self, base: int, candidate_id: str, kind: str, from_state, to_state, reason, actor, retry: int = 0, quarantine: str | None = None) -> None:
         rows = self.store.read("entries", base).where(F.col("candidate_id") == candidate_id)
@@ -232,8 +264,8 @@ class Ledger:
             raise KeyError(f"no live ledger entry for {candidate_id}")
         self._append_event(base, candidate_id, "revoke", row["state"], row["state"], f"revoked: {reason}", actor)
 
-    def erased(self, candidate_id: str, reason: str, actor: str, base: int) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-        """(append, replace) that take a payload out and record it."""
+    def erased(self, candidate_id: str, reason: str, actor: str, base: int) -> tuple[dict[str, DataFrame], dict[str, tuple[DataFrame, list[int]]]]:
+        """(append, parts to replace) that take a payload out of its bucket and record it."""
         if not self.profile.erasure:
             raise PermissionError("erasure is not enabled for this profile")
         row = self._one(candidate_id, base)
@@ -241,16 +273,11 @@ class Ledger:
             raise KeyError(f"no ledger entry for {candidate_id}")
         own = self.store.read("entries", base).where(F.col("candidate_id") == candidate_id)
         events = self._events(own, base, "erase", F.lit(row["state"]), F.lit(row["state"]), F.lit(f"erased: {reason}"), F.lit(actor))
-        return {"events": events}, {"payloads": self.store.read("payloads", base).where(F.col("candidate_id") != candidate_id)}
+        home = self.store.spark.range(1).select(bucket(F.lit(candidate_id))).first()[0]
+        return {"events": events}, {"payloads": (self.store.read("payloads", base, [home]).where(F.col("candidate_id") != candidate_id), [home])}
 
     def erase(self, candidate_id: str, reason: str, actor: str) -> None:
         """Only the ledger's half; erasure.erase also sees to the evidence."""
         base = self.store.version()
-        append, replace = self.erased(candidate_id, reason, actor, base)
-        self.store.commit(append, replace, base, "erase")
-
-
-def latest_by_window(events: DataFrame) -> DataFrame:
-    """The last event of each candidate, whole rows."""
-    last = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.col("seq").desc()))
-    return events.withColumn("__n", last).where("__n = 1").drop("__n")
+        append, parts = self.erased(candidate_id, reason, actor, base)
+        self.store.commit(append, None, base, "erase", parts)

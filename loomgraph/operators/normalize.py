@@ -87,6 +87,7 @@ def _shown(raw: Column, kind: str) -> Column:
     if kind == "variant":
         own = F.try_variant_get(raw, "$", "string")
         return F.when(text.variant_kind(raw) == "string", text.quoted(own)).otherwise(F.to_json(raw))
+    raw, kind = text.widened(raw, kind)
     return text.float_text(raw) if kind == "double" else raw.cast("string")
 
 

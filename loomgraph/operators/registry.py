@@ -31,17 +31,13 @@ PROFILE = (
 AUTHORITY, TENANCY, MINORS, LIFECYCLE, RETENTION, COMPUTED, VOCABULARY, BACKEND = (
     "identity_authority", "tenancy_class", "contains_minors_data", "lifecycle_class", "retention_class", "is_computed_output", "attribute_types", "backend.open_id",
 )
-#: The factors that are scored, in their order, and those that people judge.
+#: The factors that are scored, in their order, and number and id of those that people judge.
 FACTORS = ("identity_value", "ontology_compatibility", "tenancy", "lifecycle", "computational_coupling")
 CHECKLIST = (
-    (3, "assertion_evidence_semantics", "Is an assertion, and what backs it, the same thing on both sides?"),
-    (4, "temporal_model_compatibility", "Do both sides keep time in a compatible way?"),
-    (7, "workload_backend_compatibility", "Do workload and storage fit together?"),
-    (8, "governance_stewardship", "Does one steward answer for it, or would two collide?"),
-    (9, "failure_blast_radius", "How far would a failure reach after joining?"),
-    (10, "cross_domain_traversal_value", "Are there real questions across both domains?"),
-    (12, "rebuild_deletion_boundaries", "Can each side be rebuilt and deleted on its own?"),
-)
+    (3, "assertion_evidence_semantics"), (4, "temporal_model_compatibility"), (7, "workload_backend_compatibility"), (8, "governance_stewardship"), (9, "failure_blast_radius"),
+    (10, "cross_domain_traversal_value"), (12, "rebuild_deletion_boundaries"),
+)
+#: The outcomes.
 EXTEND, SHARED, IDENTITY, ISOLATED, UNKNOWN = "EXTEND_SAME_PHYSICAL", "SHARED_LOGICAL_SEPARATE_PHYSICAL", "SEPARATE_SHARED_IDENTITY", "FULLY_ISOLATED", "INSUFFICIENT_INFORMATION"
 
 
@@ -108,7 +104,7 @@ def score(profiles: DataFrame, graphs: DataFrame) -> DataFrame:
     """A row for each profile and graph: graph_name, factor scores, scored (how many), aggregate (their mean, NULL if none)."""
     p = profiles.select(*(F.col(c).alias(f"p_{c}") for c in profiles.columns))
     g = graphs.select(F.col("name").alias("graph_name"), F.col("node_types").alias("g_node_types"), F.col("edge_types").alias("g_edge_types"), F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("g_attributes"))
-    made = p.join(F.broadcast(g)).withColumns(factors())  # every profile meets every registered graph: that is the question
+    made = p.join(g).withColumns(factors())  # every profile meets every registered graph: that is the question; Spark broadcasts the smaller side if it is small
     have = F.array_compact(F.array(*FACTORS))
     missing = F.array_compact(F.array(*(F.when(F.col(f).isNull(), f) for f in FACTORS)))
     return made.withColumns({"scored": F.size(have), "aggregate": F.try_divide(F.aggregate(have, F.lit(0.0), lambda s, x: s + x), F.size(have).cast("double")), "unscored": missing}).select(F.col("p_profile_id").alias("profile_id"), "graph_name", *FACTORS, "scored", "aggregate", "unscored")

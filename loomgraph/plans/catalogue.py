@@ -102,8 +102,7 @@ def composite_disposition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = normalize(frame, [Field("l_partkey", "int"), Field("l_suppkey", "int"), Field("l_discount", "float")])
     made = candidates.construction(values, Compose(PART, SUPPLIER, Relation("SUPPLIED_BY", PART, SUPPLIER)))
     rows = made.select("rec_idx", F.col("values.l_discount").alias("discount"), F.posexplode_outer("made").alias("pos", "c")).where("c is not null").select("rec_idx", "pos", "discount", "c.kind", "c.semantic_key")
-    judged = admission.disposition(rows, F.col("discount") <= 0.05)
-    return judged.groupBy("kind", "disposition").agg(F.count("*").alias("n"))
+    return admission.disposition_counts(rows, F.col("discount") <= 0.05)
 
 
 @query("""select 'entity' as kind, (select count(*) from customer) + (select count(distinct o_custkey) from orders where o_custkey not in (select c_custkey from customer)) as n
@@ -114,8 +113,7 @@ def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = records(table(spark, sf_dir, "orders"), F.col("o_orderkey") + (1 << 40), "o_custkey", "o_orderkey")
     fields = [Field("o_custkey", "int"), Field("o_orderkey", "int")]
     every = built(customers, fields, BUYER).unionByName(built(orders, fields, Compose(BUYER, Relation("PLACED", BUYER, ORDER))))
-    judged = admission.disposition(every, F.lit(True))
-    return judged.where("disposition = 'admitted'").groupBy("kind").agg(F.count("*").alias("n"))
+    return admission.disposition_counts(every, F.lit(True)).where("disposition = 'admitted'").select("kind", "n")
 
 
 @query("""with e as (select event_id, event_type as t, value as v, json_extract_string(props, '$.k') as k from events),
@@ -315,16 +313,15 @@ def whole_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.whole(_documents(spark, sf_dir)).groupBy("end").agg(F.count("*").alias("n"))
 
 
-@query("""select doc_id, item_id, instr(d.text, b.text) - 1 as place from documents d join benchmark b on contains(d.text, b.text)""")
+@query("""with q as (select item_id, text from benchmark union all select -item_id - 1, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] from benchmark where item_id < 20)
+  select doc_id, item_id, instr(d.text, q.text) - 1 as place from documents d join q on contains(d.text, q.text)""")
 def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of the benchmark that stand word for word in a document. Documents meet items by two of an item's words, never all with all."""
-    # the first word of a quote may end another word of the text, so they meet on the quote's second and third
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(F.split("text", r"\s+"), 2, 2), " ").alias("key"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = texts.select("doc_id", F.split("text", r"\s+").alias("w")).withColumn("n", F.greatest(F.size("w") - 1, F.lit(0)))
-    pairs = words.select("doc_id", F.explode(F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.col("n")), F.slice("w", F.lit(2), F.col("n")), lambda a, b: F.concat_ws(" ", a, b)))).alias("key"))
-    met = pairs.join(quotes.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return completions.verified(met.join(texts, "doc_id").join(quotes.select("item_id", "quote"), "item_id")).select("doc_id", "item_id", F.col("place").cast("long").alias("place"))
+    """Items of the benchmark, and the first two words of some, that stand word for word in a document."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    words = F.split("quote", " ")
+    short = items.where("item_id < 20").select((-F.col("item_id") - 1).alias("item_id"), F.concat_ws(" ", words[0], words[1]).alias("quote"))
+    found = completions.quoted(table(spark, sf_dir, "documents").select("doc_id", "text"), items.unionByName(short))
+    return found.select("doc_id", "item_id", F.col("place").cast("long").alias("place"))
 
 
 @query("""with r as (select conv_id, turn, text, length(text) as n from conversations)
@@ -509,16 +506,20 @@ def grounding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with chunk as (select doc_id, unnest(range(0, case when length(text) <= 500 then 1 else ceil((length(text) - 500) / 450.0)::int + 1 end)) as i, length(text) as len from documents where text <> ''),
   hit as (select doc_id, item_id, instr(d.text, b.text) - 1 as s, instr(d.text, b.text) - 1 + length(b.text) as e from documents d join benchmark b on contains(d.text, b.text)),
-  j as (select hit.*, i, i * 450 as cs, least(i * 450 + 500, len) as ce from hit join chunk on chunk.doc_id = hit.doc_id)
-  select 'a' as arm_id, count(*) as checked, count(*) filter (e <= 500) as covered, count(*) as with_offsets, count(*) filter (cs < e and s < ce) as overlapping from j where i = 0""")
+  j as (select hit.doc_id, hit.item_id, bool_or(s >= i * 450 and e <= least(i * 450 + 500, len) or contains(substring(d.text, i * 450 + 1, 500), b.text)) as covered, bool_or(i * 450 < e and s < least(i * 450 + 500, len)) as meets from hit join chunk on chunk.doc_id = hit.doc_id join documents d on d.doc_id = hit.doc_id join benchmark b on b.item_id = hit.item_id group by 1, 2)
+  select 'a' as arm_id, count(*) as checked, count(*) filter (covered) as covered, count(*) as with_offsets, count(*) filter (meets) as overlapping from j""")
 def span_overlap_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold spans are where items stand in documents; each candidate cites its document's first chunk."""
-    hits = quote_verification(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
+    """Gold spans are where items stand in documents; each candidate cites all of its document's chunks."""
+    bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    hits = completions.quoted(table(spark, sf_dir, "documents").select("doc_id", "text"), bench).join(bench, "item_id")
     key = F.concat_ws(":", "doc_id", "item_id")
     gold = hits.select(F.lit("entity").alias("category"), key.alias("match_key"), key.alias("gold_idx"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("source_locator"), "quote", F.col("place").cast("int").alias("start"), (F.col("place") + F.length("quote")).cast("int").alias("end"))
-    chunks = chunking.fixed_windows(_documents(spark, sf_dir), 500, 50).where("index = 0")
-    rows = chunks.select(F.lit("a").alias("arm_id"), F.concat(F.lit("ev_"), F.col("doc_id")).alias("evidence_id"), F.lit("PRESENT").alias("availability"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("source_locator"), F.col("text").alias("content"), F.struct("start", "end").alias("span"))
-    made = hits.select(F.lit("a").alias("arm_id"), F.lit("entity").alias("category"), key.alias("match_key"), (F.col("doc_id") * 100000 + F.col("item_id")).alias("ord"), F.array(F.struct(F.concat(F.lit("ev_"), F.col("doc_id")).alias("evidence_id"), F.lit("DERIVED_FROM").alias("relationship"))).alias("evidence_refs"))
+    ids = hits.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    chunks = chunking.fixed_windows(_documents(spark, sf_dir).join(ids, "doc_id", "left_semi"), 500, 50)
+    chunk_id = F.concat(F.lit("ev_"), F.col("doc_id"), F.lit("_"), F.col("index"))
+    rows = chunks.select(F.lit("a").alias("arm_id"), chunk_id.alias("evidence_id"), F.lit("PRESENT").alias("availability"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("source_locator"), F.col("text").alias("content"), F.struct("start", "end").alias("span"))
+    refs = chunks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct(chunk_id.alias("evidence_id"), F.lit("DERIVED_FROM").alias("relationship"))).alias("refs"))
+    made = hits.join(refs, "doc_id").select(F.lit("a").alias("arm_id"), F.lit("entity").alias("category"), key.alias("match_key"), (F.col("doc_id") * 100000 + F.col("item_id")).alias("ord"), F.col("refs").alias("evidence_refs"))
     return evaluation.span_checks(evaluation.matched(made, gold), gold, evaluation.cited(made, rows))
 
 
@@ -547,9 +548,13 @@ def reference_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad).select("segment", identity.parse(F.col("s")).alias("p")).select("segment", "p.ref.entity_type", "p.ref.namespace", "p.ref.key", "p.error")
 
 
-@query(r"""select doc_id, trim(regexp_replace(regexp_replace(text[1:200], '^\s+', ''), '\s+$', '')) as bare from documents""")
+@query("""select doc_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || ' ' || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)) as bare
+  from (select doc_id, case doc_id % 3 when 0 then text when 1 then chr(9) || ' ' || text || chr(12288) || chr(10) else chr(160) || chr(8195) || text || chr(28) end as text from documents)""")
 def strip_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.strip(F.substring("text", 1, 200)).alias("bare"))
+    """Whole documents with white space of many kinds around them, stripped."""
+    third = F.col("doc_id") % 3
+    padded = F.when(third == 0, F.col("text")).when(third == 1, F.concat(F.lit("\t "), F.col("text"), F.lit("\u3000\n"))).otherwise(F.concat(F.lit("\xa0\u2003"), F.col("text"), F.lit("\x1c")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip(padded).alias("bare"))
 
 
 @query("""select case when o_orderpriority = '5-LOW' then 'without a winner a conflict is unresolved' when o_custkey % 2 = 0 and o_orderstatus <> 'F' then 'the winner is one of the assertions' end as violation, count(*) as n from orders group by 1""")
@@ -591,7 +596,7 @@ def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item of the benchmark read by a fixed model that names its first word: the first document of a word is its source."""
     from loomgraph.plans.extraction import DocumentPipeline, Extractor
 
-    docs = chunking.documents(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text").orderBy("item_id").coalesce(1))
+    docs = chunking.documents(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text").orderBy("item_id"))
     extractor = Extractor("words", "First word of {text}", [Field("name")], Entity("x", "name", "Word"), candidates.Scoring(0.9))
 
     def answer(asked: DataFrame) -> DataFrame:
@@ -603,23 +608,4 @@ def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("semantic_key", F.col("chunk.doc_id").cast("long").alias("first_item"), F.col("chunk.item.confidence").alias("confidence"))
 
 
-@query()
-def ablation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is naming all English documents better than naming long ones? Drawn with a seed over labelled rows."""
-    made, gold, arms = _arms(spark, sf_dir)
-    hits = evaluation.gold_hits(evaluation.matched(made, gold), gold, arms)
-    diffs = evaluation.paired(hits, "long", "english")
-    config = evaluation.Bootstrap(seed=11, resamples=50)
-    bounds = evaluation.bootstrap_exact(diffs, config, ["category"], "gold_idx", "diff")
-    verdict = evaluation.verdict("entity.recall", F.lit(0.0), F.lit(0.0), F.col("lower"), F.col("upper"), F.col("n_items"), config, F.array().cast("array<string>"))
-    return bounds.withColumn("verdict", verdict)
-
-
-@query(f"""with {_ARMS_SQL}, n as (select arm, count(*) filter (cat = 'entity') as n, count(distinct case when cat = 'entity' and k in (select k from g where cat = 'entity') then k end) as tp from c group by 1)
-  select arm as arm_id, 'entity.precision' as metric, round(tp / n::double, 9) as value from n union all select arm, 'entity.recall', round(tp / (select count(*) from g where cat = 'entity')::double, 9) from n""")
-def flat_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision and recall of both arms in long form, by provider."""
-    made, gold, arms = _arms(spark, sf_dir)
-    parts = evaluation.prf(evaluation.matched(made, gold), gold, arms).where("category = 'entity'")
-    pairs = F.array(*(F.struct(F.concat(F.lit("entity."), F.lit(m)).alias("metric"), F.round(m, 9).alias("value")) for m in ("precision", "recall")))
-    return parts.select("arm_id", F.explode(pairs).alias("x")).select("arm_id", "x.metric", "x.value")
+from loomgraph.plans import stateful  # noqa: E402, F401  it registers more queries here

@@ -30,6 +30,8 @@ from loomgraph.sources.records import issues_of, sequential
 
 #: Characters of a chunk that a candidate carries as its passage.
 PASSAGE = 2000
+#: Failures that a report quotes. It counts all, and DocumentPipeline.failed is the frame of all.
+FAILURES_SHOWN = 1000
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,10 @@ class DocumentPipeline:
     clock: Callable[[], datetime] = lambda: datetime.now(UTC)
     #: Where answers are kept: by default in spark.checkpoint.dir; without either they are only persisted.
     folder: str | None = None
+    #: (doc_id, fragment, extractor, message) of whatever failed in the last plan or run.
+    failed: DataFrame | None = field(default=None, repr=False)
     _docs: DataFrame | None = field(default=None, repr=False)
+    _held: list = field(default_factory=list, repr=False)
 
     def __post_init__(self) -> None:
         if not self.extractors:
@@ -85,8 +90,11 @@ class DocumentPipeline:
         return self._docs
 
     def chunks(self) -> DataFrame:
-        """Chunks with the document's place in the stream."""
-        return self.chunker(self.docs().drop("doc_ord")).join(self.docs().select("doc_id", "doc_ord"), "doc_id")
+        """Chunks with the document's place in the stream, doc_ord, which the chunkers pass on: texts don't move, and ids may be missing or shared."""
+        chunks = self.chunker(self.docs())
+        if "doc_ord" not in chunks.columns:
+            raise ConfigurationError("a chunker passes doc_ord on")
+        return chunks
 
     def parsed(self) -> DataFrame:
         """A row a (chunk, extractor): error, or items."""
@@ -104,7 +112,8 @@ class DocumentPipeline:
         spark = answered.sparkSession
         base = self.folder or spark.conf.get("spark.checkpoint.dir", None)
         if self.deterministic or not base:
-            return answered.persist()
+            self._held.append(answered.persist())
+            return answered
         target = f"{base.rstrip('/')}/answers-{identity.random_suffix()}"
         answered.write.parquet(target)
         return spark.read.schema(answered.schema).parquet(target)
@@ -122,12 +131,12 @@ class DocumentPipeline:
             judged = candidates.construction(validate.verdicts(values, [validate.by_issues, validate.required_values(e.builder.required)]), e.builder)
             why = F.coalesce(F.get("reasons", F.lit(0)), F.col("construction"))
             judged = judged.withColumn("why", why)
-            bad = judged.where("why is not null").groupBy(F.col("chunk.doc_id").alias("doc_id"), F.col("chunk.fragment").alias("fragment"), F.col("chunk.ext_ord").alias("ext_ord")).agg(F.min_by("why", F.col("chunk.item_ord")).alias("why"))
-            ok = judged.withColumns({"doc_id": F.col("chunk.doc_id"), "fragment": F.col("chunk.fragment")}).join(bad.select("doc_id", "fragment"), ["doc_id", "fragment"], "left_anti")
+            bad = judged.where("why is not null").groupBy(F.col("chunk.doc_ord").alias("doc_ord"), F.col("chunk.fragment").alias("fragment")).agg(F.first("chunk.doc_id").alias("doc_id"), F.min_by("why", F.col("chunk.item_ord")).alias("why"))
+            ok = judged.withColumns({"doc_ord": F.col("chunk.doc_ord"), "fragment": F.col("chunk.fragment")}).join(bad.select("doc_ord", "fragment"), ["doc_ord", "fragment"], "left_anti")
             made = ok.select("chunk", "coord", F.posexplode_outer("made").alias("pos", "c")).where("c is not null").select("chunk", "coord", "pos", "c.*", F.lit(place).alias("ext_ord"))
             lost = own.where("error is not null").select("doc_id", "fragment", "extractor", F.col("error").alias("why")).unionByName(bad.select("doc_id", "fragment", F.lit(e.extractor_id).alias("extractor"), "why"))
             rows, failures = (made, lost) if rows is None else (rows.unionByName(made), failures.unionByName(lost))
-        message = F.concat(F.lit("extractor="), F.col("extractor"), F.lit(" doc="), F.col("doc_id"), F.lit(" chunk="), F.col("fragment"), F.lit(": "), F.col("why"))
+        message = F.concat(F.lit("extractor="), F.col("extractor"), F.lit(" doc="), F.coalesce("doc_id", F.lit("NULL")), F.lit(" chunk="), F.col("fragment"), F.lit(": "), F.col("why"))
         return rows, failures.select("doc_id", "fragment", "extractor", message.alias("message"))
 
     def admitted(self, built: DataFrame) -> DataFrame:
@@ -141,7 +150,7 @@ class DocumentPipeline:
 
     def _artifacts(self) -> DataFrame:
         """A source_document for each document that has a chunk."""
-        docs = self.docs().join(self.chunks().select("doc_id").distinct(), "doc_id", "left_semi")
+        docs = self.docs().join(self.chunks().select("doc_ord").distinct(), "doc_ord", "left_semi")
         digest = identity.content_hash(F.col("text"))
         made = candidates.body(
             kind=F.lit("artifact"), semantic_key=F.concat(F.lit("artifact/source_document/"), F.col("doc_id")), artifact_type=F.lit("source_document"), artifact_hash=digest, source_uri=F.col("locator"), media_type=F.lit("text/plain")
@@ -207,6 +216,11 @@ class DocumentPipeline:
 
     # ------------------------------------------------------------ run
 
+    def release(self) -> None:
+        """Give back what the last plan or run keeps in memory; its frames can still be read, and are then worked out again."""
+        while self._held:
+            self._held.pop().unpersist()
+
     def plan(self, ledger: Ledger | None = None) -> tuple[DataFrame, Report, DataFrame]:
         """(candidates that run would submit, report, warnings)."""
         return self._execute(None, None, ledger)
@@ -219,14 +233,21 @@ class DocumentPipeline:
         began, at = time.monotonic(), self.clock()
         run_id = self.run_id or f"run_{identity.random_suffix()}"
         report = Report(self.graph_id, f"job_{identity.random_suffix()}", run_id, "execute" if sink else "dry_run", "document", "documents")
+        self.release()
         parsed = self.parsed().persist()
+        self._held.append(parsed)
         built, failures = self.built(parsed)
         judged = self.admitted(built).persist()
+        self._held.append(judged)
         stamped = self.stamped(judged, run_id, at)
+        if sink:  # evidence and candidates are made of the same ids
+            self._held.append(stamped.persist())
         planned = stamped.select(*(F.col(name).cast(kind) for name, kind in COLUMNS.items()))
-        report.records_read = parsed.select("doc_id", "fragment").distinct().count()
-        report.failures = [r["message"] for r in failures.orderBy("doc_id", "fragment", "extractor").limit(1000).collect()]
-        report.incomplete = bool(report.failures)
+        report.records_read = parsed.select("doc_ord", "fragment").distinct().count()
+        self.failed = failures
+        report.failure_count = failures.count()
+        report.failures = [r["message"] for r in failures.orderBy("doc_id", "fragment", "extractor").limit(FAILURES_SHOWN).collect()]
+        report.incomplete = report.failure_count > 0
         warnings = parsed.where("error is null").select("fragment", F.explode(F.flatten(F.transform("items", lambda i: i["warnings"]))).alias("message")).select(F.lit("quote_not_verified").alias("code"), "message", F.col("fragment").alias("locator"))
         if not sink and not self.deterministic:
             said = parsed.sparkSession.createDataFrame([("nondeterministic_plan", "a later run may extract something else", None)], "code string, message string, locator string")
@@ -239,7 +260,8 @@ class DocumentPipeline:
         report.kind_counts = dict(sorted((r[0], r[1]) for r in judged.where("disposition = 'admitted'").groupBy("kind").count().collect()))
         outcome = planned
         if sink:
-            registry.put(*self.evidence(stamped, at))
+            rows, refs = self.evidence(stamped, at)
+            registry.put(rows.withColumn("ord", F.lit(0)), refs, order="ord")  # ids are unique already
             outcome = sink.submit(planned)
             for status, n in outcome.groupBy("status").count().collect():
                 setattr(report, {"RECEIVED": "received", "DUPLICATE": "duplicates", "INVALID": "invalid"}[status], n)

@@ -50,6 +50,7 @@ class Report:
     coverage_ratio: float | None = None
     incomplete: bool = False
     failures: list[str] = field(default_factory=list)
+    failure_count: int = 0
     warnings: int = 0
     elapsed: float = 0.0
 
@@ -59,7 +60,7 @@ class Report:
 
     def fingerprint(self) -> dict:
         """Everything but times and ids: equal for replays of equal data."""
-        return {k: v for k, v in vars(self).items() if k not in ("elapsed", "job_id", "run_id", "coverage", "source_type", "locator", "warnings", "coverage_ratio", "ledger_duplicates")}
+        return {k: v for k, v in vars(self).items() if k not in ("elapsed", "job_id", "run_id", "coverage", "source_type", "locator", "warnings", "coverage_ratio", "ledger_duplicates", "failure_count")}
 
     def summary(self) -> str:
         parts = [self.mode, *(f"{n}={getattr(self, a)}" for n, a in (("read", "records_read"), ("valid", "records_valid"), ("invalid", "records_invalid"), ("built", "candidates_built")))]
@@ -89,6 +90,12 @@ class Pipeline:
     job_id: str | None = None
     clock: Callable[[], datetime] = lambda: datetime.now(UTC)
     random_ids: bool = False
+    _held: list = field(default_factory=list, repr=False)
+
+    def release(self) -> None:
+        """Give back what the last plan keeps in memory; its candidates can still be read, and are then worked out again."""
+        while self._held:
+            self._held.pop().unpersist()
 
     def records(self) -> Records:
         return self.source() if callable(self.source) else self.source
@@ -148,8 +155,10 @@ class Pipeline:
             spark = sink.store.spark if sink else ledger.store.spark if ledger else None
             return (spark.createDataFrame([], CANDIDATE) if spark else None), report
         report = Report(self.graph_id, job_id, run_id, mode, records.source_type, records.locator)
+        self.release()
         judged = self.judged(records.frame).persist()
         built = self.built(judged).persist()
+        self._held += [judged, built]
         try:
             planned = self.stamped(built, run_id, at)
             if sink:
@@ -163,9 +172,8 @@ class Pipeline:
                     report.ledger_duplicates = duplicates(planned, ledger.store.read("entries"), ledger.live().where(F.col("graph_id") == self.graph_id)).count()
             self._count(report, judged, built)
         finally:
-            judged.unpersist()
             if sink:  # outcomes are read from what the ledger staged
-                built.unpersist()
+                self.release()
             report.elapsed = time.monotonic() - began
         return outcome, report
 

@@ -13,19 +13,21 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from loomgraph.errors import ConfigurationError, SourceError
 from loomgraph.functions import text
+from loomgraph.sources.store import scratch
 
 ISSUE = "struct<code:string,message:string,severity:string,field:string>"
 ISSUES = f"array<{ISSUE}>"
@@ -64,7 +66,15 @@ def coordinates(source_type: str, locator: str, fragment: Column, version: str |
 
 
 def sequential(frame: DataFrame, name: str = "rec_idx") -> DataFrame:
-    """Number the rows 0, 1, 2 in reading order: one narrow pass counts partitions, and nothing is shuffled."""
+    """Number the rows 0, 1, 2 in reading order.
+
+    Files that are read straight are split alike in every job: one narrow pass
+    counts partitions, and nothing is shuffled. Whatever is dealt anew on the way
+    may be split otherwise next time, so that is written first (numbered).
+    """
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"\b(Sort|Join|Aggregate|Repartition\w*|Rebalance\w*|Distinct|Window|GlobalLimit|Except|Intersect|InMemoryRelation|LogicalRDD)\b", plan):
+        return numbered(frame, name)
     counts = frame.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()  # a row a partition
     starts = dict(zip((r["p"] for r in counts), accumulate((r["count"] for r in counts), initial=0), strict=False))
     offsets = F.map_from_arrays(F.array(*(F.lit(p) for p in starts)), F.array(*(F.lit(n).cast("long") for n in starts.values()))) if starts else None
@@ -72,6 +82,25 @@ def sequential(frame: DataFrame, name: str = "rec_idx") -> DataFrame:
     return frame.withColumn(name, (F.element_at(offsets, F.spark_partition_id()) + within) if starts else within)
 
 
+def numbered(frame: DataFrame, name: str = "rec_idx", folder: str | None = None) -> DataFrame:
+    """The rows numbered 0, 1, 2 in their order: they are written, and what is read again is numbered by file and place in it, however it is split then."""
+    spark = frame.sparkSession
+    folder = folder or scratch(spark, "numbered")
+    frame.write.mode("overwrite").parquet(folder)
+    place, within = free_name(frame, "file"), free_name(frame, "within")
+    read = spark.read.schema(frame.schema).parquet(folder).select("*", F.col("_metadata.file_name").alias(place), F.col("_metadata.row_index").alias(within))
+    counts = read.groupBy(place).agg(F.count("*").alias("n"))  # a row a file; names begin with the partition's number
+    before = F.sum("n").over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(place, F.coalesce(before, F.lit(0)).alias("n"))
+    return read.join(starts, place).select(*frame.columns, (F.col("n") + F.col(within)).alias(name))
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    while name in (c.lower() for c in frame.columns):
+        name = f"_{name}"
+    return name
+
+
 def from_rows(spark: SparkSession, rows: Sequence[dict], schema: str, source_type: str = "memory", locator: str = "memory") -> Records:
     """Rows that the driver holds."""
     names = StructType.fromDDL(schema).fieldNames()
@@ -167,7 +196,7 @@ def snapshot_version(frame: DataFrame) -> str:
 
 @dataclass(frozen=True)
 class TableSnapshot:
-    """A table as a repeatable source: pinned by its files or, if folder is given, by a copy there."""
+    """A table as a repeatable source: a copy in key order, in a folder of the caller or in the shared one, whose rows are numbered as they lie there."""
 
     table: DataFrame
     keys: Sequence[str]
@@ -177,14 +206,13 @@ class TableSnapshot:
     folder: str | None = None
 
     def open(self) -> Records:
-        spark = self.table.sparkSession
-        pinned = self.table
-        if self.folder:
-            pinned.write.mode("overwrite").parquet(self.folder)
-            pinned = spark.read.schema(self.table.schema).parquet(self.folder)
-        version = self.version or snapshot_version(pinned)
-        ordered = pinned.orderBy(*self.keys) if self.keys else pinned
-        frame = sequential(ordered.select(F.struct(*(F.col(f"`{c}`") for c in ordered.columns)).alias("data")))
+        columns = self.table.columns
+        # rows that share a key go by their other columns, as far as these have an order
+        rest = [f.name for f in self.table.schema.fields if f.name not in self.keys and not re.match("map|variant", f.dataType.simpleString())]
+        ordered = self.table.orderBy(*(F.col(f"`{c}`") for c in (*self.keys, *rest))) if self.keys else self.table
+        frame = numbered(ordered, free_name(ordered, "rec_idx"), self.folder)
+        version = self.version or snapshot_version(frame.select(*(F.col(f"`{c}`") for c in columns)))
+        frame = frame.select(F.col(frame.columns[-1]).alias("rec_idx"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("data"))
         fragment = key_fragment(self.keys) if self.keys else F.concat(F.lit("row="), F.col("rec_idx").cast("string"))
         locator = f"{self.locator}@snapshot={version}"
         place = coordinates(self.source_type, locator, fragment, version)
@@ -241,11 +269,37 @@ def sqlite_table(spark: SparkSession, path: str, table: str, columns: Sequence[s
     return spark.read.format("loomgraph_sqlite").options(path=path, table=table, columns=",".join(columns), where=where, keys=",".join(keys)).load()
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, columns: Sequence[str], where: str | None = None, properties: dict | None = None) -> DataFrame:
-    """A projection and filter that the database evaluates."""
-    quoted = ", ".join('"' + c.replace('"', '""') + '"' for c in columns)
-    query = f"SELECT {quoted} FROM {table}" + (f" WHERE {where}" if where else "")
-    return spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load()
+def jdbc_table(spark: SparkSession, url: str, table: str, columns: Sequence[str], where: dict[str, object] | None = None, keys: Sequence[str] = (), split: tuple[str, int, int, int] | None = None, properties: dict | None = None) -> DataFrame:
+    """A projection and equality filters that the database evaluates, ordered by keys if there are any.
+
+    Values of where are written as SQL literals, never pasted. split, (column,
+    least, most, parts), reads in so many connections at once.
+    """
+    names = list(dict.fromkeys([*columns, *(where or {}), *keys, *(split[:1] if split else ())]))
+    query = f"SELECT {', '.join(map(quote_identifier, names))} FROM {'.'.join(map(quote_identifier, table.split('.')))}"
+    if where:
+        query += " WHERE " + " AND ".join(f"{quote_identifier(c)} " + ("IS NULL" if v is None else f"= {sql_literal(v)}") for c, v in where.items())
+    options = {"url": url, "dbtable": f"({query}) t", **(properties or {})}
+    if split:
+        column, least, most, parts = split
+        options |= {"partitionColumn": column, "lowerBound": str(least), "upperBound": str(most), "numPartitions": str(parts)}
+    frame = spark.read.format("jdbc").options(**options).load()
+    return (frame.orderBy(*keys) if keys else frame).select(*columns)
+
+
+def quote_identifier(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def sql_literal(value: object) -> str:
+    """A number, truth value or text as SQL writes it; anything else is refused."""
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float)) and value == value and abs(value) != float("inf"):
+        return repr(value)
+    if isinstance(value, str) and "\0" not in value:
+        return "'" + value.replace("'", "''") + "'"
+    raise ConfigurationError(f"no SQL literal for {value!r}")
 
 
 def collect_rows(records: Records) -> list[Row]:

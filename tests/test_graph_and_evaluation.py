@@ -193,6 +193,23 @@ def test_chunkers_keep_offsets(spark):
         chunking.fixed_windows(docs, 5, 5)
 
 
+def test_documents_without_ids_and_with_one_id(spark):
+    docs = chunking.documents(spark.createDataFrame([("a", "one"), ("a", "two"), (None, "three"), ("b", "four")], "doc_id string, text string"))
+    own = DocumentPipeline("g", docs, chunking.whole, [Extractor("e", "{text}", [Field("name")], Entity("x", "name", "Word"), Scoring(0.7))], lambda a: completions.fixed(a, "[]"), deterministic=True)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in own.chunks().collect()) == [("None", "three"), ("a", "one"), ("a", "two"), ("b", "four")]
+    failing = DocumentPipeline("g", docs, chunking.whole, own.extractors, lambda a: completions.fixed(a, "nonsense"), deterministic=True)
+    report = failing.plan()[1]
+    assert report.failure_count == failing.failed.count() == len(report.failures) == 4 and any("doc=NULL" in f for f in report.failures)
+    failing.release()
+
+
+def test_quotes_in_texts(spark):
+    texts = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "concatenate"), (3, None), (4, "")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "cat"), (2, "cat sat"), (3, "e cat sat on the m"), (4, "dog"), (5, None), (6, "")], "item_id long, quote string")
+    want = {(1, 1, 4), (2, 1, 3), (1, 2, 4), (1, 3, 2)}
+    assert {tuple(r) for r in completions.quoted(texts, quotes).collect()} == want
+
+
 def test_parsing(spark):
     cases = [
         ('[{"a":1}]', None, 1), ('{"items":[{"a":1},{"b":2}]}', None, 2), ('{"items":[]}', None, 0), ("nope", "valid JSON", None), ("5", "array or an object", None), ('{"x":1}', "carry items", None), ('{"items":5}', "must be an array", None),

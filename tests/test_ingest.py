@@ -85,8 +85,12 @@ def test_disposition_is_the_sequential_rule(spark):
         if want[i] == "admitted":
             seen.add(k)
     frame = spark.createDataFrame(rows, "rec_idx long, pos int, semantic_key string, ok boolean")
-    for judge in (admission.disposition, admission.disposition_by_window):
-        assert {r["rec_idx"]: r["disposition"] for r in judge(frame, F.col("ok")).collect()} == want
+    assert {r["rec_idx"]: r["disposition"] for r in admission.disposition(frame, F.col("ok")).collect()} == want
+    counts = admission.disposition_counts(frame.withColumn("kind", F.col("semantic_key")), F.col("ok"))
+    tally = {}
+    for i, _, k, _ in rows:
+        tally[k, want[i]] = tally.get((k, want[i]), 0) + 1
+    assert {(r["kind"], r["disposition"]): r["n"] for r in counts.collect()} == tally
 
 
 def test_unreadable_source_is_incomplete(spark, tmp_path):
@@ -154,6 +158,29 @@ def test_lifecycle(spark, tmp_path):
     assert [r["kind"] for r in ledger.audit().where(F.col("candidate_id") == two).collect()] == ["submit", "revoke", "revoke"]
 
 
+def test_requests_for_one_id_are_judged_in_turn(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    pipeline(spark).run(ledger)
+    one = ledger.entries().first()["candidate_id"]
+    rows = [(one, "VALIDATED", 1), (one, "INVALID", 2), (one, "ACCEPTED", 3), ("cand_none", "VALIDATED", 4)]
+    asked = spark.createDataFrame([(i, s, "x", n) for i, s, n in rows], "candidate_id string, to_state string, reason string, ord int")
+    assert {r["ord"]: r["applied"] for r in ledger.transitions(asked, "me").collect()} == {1: True, 2: False, 3: True, 4: False}
+    assert ledger.rows().where(F.col("candidate_id") == one).first()["state"] == "ACCEPTED"
+    with pytest.raises(ValueError):
+        ledger.transitions(asked.drop("ord"), "me")
+
+
+def test_the_last_row_of_an_id_is_kept(spark, tmp_path):
+    evidence = EvidenceStore(spark, str(tmp_path / "e"))
+    for n, order in enumerate((("a", "b"), ("b", "a"))):
+        rows = spark.createDataFrame([(f"ev{n}", v, i) for i, v in enumerate(order)], "e string, h string, ord long")
+        rows = rows.select(*row("PRESENT", evidence_id=F.col("e"), payload_hash=F.col("h")), "ord")
+        with pytest.raises(ValueError):
+            evidence.put(rows.drop("ord"))
+        evidence.put(rows, order="ord")
+    assert {r["evidence_id"]: r["payload_hash"] for r in evidence.rows().collect()} == {"ev0": "b", "ev1": "a"}
+
+
 def test_erasure_needs_the_profile(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "l"))
     pipeline(spark).run(ledger)

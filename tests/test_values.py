@@ -132,3 +132,14 @@ def test_policy_thresholds_are_ordered():
         policy.Policy(auto_extraction=0.5)
     with pytest.raises(ConfigurationError):
         policy.Policy(human_risk=1.5)
+
+
+def test_narrow_and_decimal_numbers(spark):
+    frame = spark.sql("select cast(1.5 as float) f, cast(3 as smallint) s, cast(4 as tinyint) t, cast(7 as decimal(10,0)) d, cast(2.50 as decimal(10,2)) e, cast(9 as decimal(30,2)) g, cast(1 as tinyint) b")
+    for column, want in (("f", (None, 1.5, "1.5")), ("s", (3, 3.0, "3")), ("t", (4, 4.0, "4")), ("d", (7, 7.0, "7")), ("e", (None, 2.5, "2.50")), ("g", (9, 9.0, "9.00")), ("b", (1, 1.0, "1"))):
+        kind = frame.schema[column].dataType.simpleString()
+        got = frame.select(*(cast(F.col(column), kind)[0] for cast in (text.to_integer, text.to_float, text.to_text))).first()
+        assert tuple(got) == want, column
+        why = frame.select(text.to_integer(F.col(column), kind)[1]).first()[0]
+        assert (why is None) == (want[0] is not None)
+    assert frame.select(text.to_boolean(F.col("b"), "tinyint")[0]).first()[0] is True
