@@ -26,6 +26,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text as text_functions
 from loomgraph.llm import common
 
 #: Alternatives that a Boolean query may have before it gives up on more.
@@ -54,9 +55,6 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 BASE = 3
-#: Entries of an array that are folded at once.
-PART = 256
-
 
 # ---------------------------------------------------------------- Boolean queries
 
@@ -201,38 +199,19 @@ def candidate(rule: Rule, rules: tuple[Rule, ...] = RULES, bits: str = "bits") -
 _SPANS = "array<struct<start:int,rule:int,end:int>>"
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _running(values: Column, add) -> Column:
-    """An array of numbers folded up to each place by add, which is associative and leaves a number as it is with 0. A part at a time, so that a long array isn't copied once an entry."""
-
-    def fold(part: Column) -> Column:
-        return F.aggregate(part, F.array(F.lit(0)), lambda out, x: F.array_append(out, add(F.element_at(out, -1), x)))
-
-    def joined(own: Column) -> Column:
-        last = F.floor(F.greatest(F.size(own) - 1, F.lit(0)) / PART).cast("int")
-        within = F.transform(F.sequence(F.lit(0), last), lambda i: fold(F.slice(own, i * PART + 1, PART)))
-        return _let(within, lambda parts: F.flatten(F.zip_with(parts, F.slice(fold(F.transform(parts, lambda x: F.element_at(x, -1))), 1, F.size(parts)), lambda x, base: F.transform(F.slice(x, 2, PART), lambda y: add(y, base)))))
-
-    return _let(values, joined)
-
-
 def _matches(rule: Rule, number: int, text: str) -> Column:
     """Spans of a rule's matches in a column."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     between = F.split(text, rule.pattern, -1)
 
     def spans_of(paired: Column) -> Column:
-        made = F.zip_with(paired, _running(F.transform(paired, lambda x: x["gap"] + F.length(x["m"])), lambda a, b: a + b), lambda x, end: F.struct(x["m"].alias("m"), F.struct((end - F.length(x["m"])).alias("start"), F.lit(number).alias("rule"), end.alias("end")).alias("span")))
+        made = F.zip_with(paired, text_functions.running(F.transform(paired, lambda x: x["gap"] + F.length(x["m"])), lambda a, b: a + b), lambda x, end: F.struct(x["m"].alias("m"), F.struct((end - F.length(x["m"])).alias("start"), F.lit(number).alias("rule"), end.alias("end")).alias("span")))
         if rule.least:
             made = F.filter(made, lambda x: F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least)
         return F.transform(made, lambda x: x["span"])
 
     paired = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    return _let(paired, spans_of).cast(_SPANS)
+    return text_functions.let(paired, spans_of).cast(_SPANS)
 
 
 def spans(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "spans") -> DataFrame:
@@ -259,7 +238,7 @@ def masked(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     marked = spans(documents, rules, text, tuple(documents.columns), found)
     covered = F.col(found)
     # what ends before a span begins: the furthest end so far, so that a span within another leaves no gap
-    furthest = _running(F.transform(covered, lambda x: x["end"]), F.greatest)
+    furthest = text_functions.running(F.transform(covered, lambda x: x["end"]), F.greatest)
     before = F.slice(F.concat(F.array(F.lit(0)), furthest), 1, F.size(covered))
     apart = F.filter(F.zip_with(covered, before, lambda x, at: F.struct(x["start"].alias("start"), at.alias("at"))), lambda x: x["start"] >= x["at"])
     pieces = F.transform(apart, lambda x: F.substring(F.col(text), x["at"] + 1, x["start"] - x["at"]))
