@@ -9,7 +9,9 @@ a logistic calibration fitted on labelled rows kept out of the dictionaries.
 
 Defined results: a null or empty text, or a dictionary that can't be built for
 want of labelled text, scores the share of label 1 among the rows fitted on;
-a null id is not held out; extra columns are ignored; repeated rows score alike.
+a null id is not held out; an id that is labelled both ways isn't learned from,
+and of rows that share a labelled id one is; extra columns are ignored; repeated
+rows score alike.
 """
 
 from __future__ import annotations

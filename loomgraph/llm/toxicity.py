@@ -10,8 +10,10 @@ compared: over the whole document, and over its most telling words. A logistic
 fit on labelled rows that the models didn't see turns these into a score.
 
 Defined results: a null or empty text, or one without words, scores the fit's
-value for no evidence (below 0.5); a null id is not held out; extra columns are
-ignored; repeated rows score alike. Texts are read whole, however long.
+value for no evidence (below 0.5); a null id is not held out; an id that is
+labelled both ways isn't learned from, and of rows that share a labelled id one
+is; extra columns are ignored; repeated rows score alike. Texts are read whole,
+however long.
 """
 
 from __future__ import annotations
@@ -105,11 +107,16 @@ class Model:
         """Log-likelihood difference of each word, its end included."""
         eight, inside, word = _keys(data, starts, ends)
         gram, n = _gram(eight, inside, HISTORY)
-        value = _look(self.contexts, self.context_difference, _context_key(gram, n))
-        known = np.flatnonzero(value) if len(self.grams) else np.zeros(0, np.int64)  # other histories tell nothing
+        if not len(self.grams):
+            return np.zeros(len(starts))
+        history = _context_key(gram, n)
+        at = np.minimum(np.searchsorted(self.contexts, history), len(self.contexts) - 1)
+        met = self.contexts[at] == history  # a history that neither class knows tells nothing
+        value = np.where(met, self.context_difference[at], 0.0)
+        known = np.flatnonzero(met)
         key = _key(gram[known], n[known])
-        at = np.minimum(np.searchsorted(self.grams, key), max(len(self.grams) - 1, 0))
-        hit = self.grams[at] == key if len(self.grams) else np.zeros(0, bool)
+        at = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
+        hit = self.grams[at] == key
         value[known[hit]] = self.gram_difference[at[hit]]
         return np.bincount(word, weights=value, minlength=len(starts))
 

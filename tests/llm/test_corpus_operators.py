@@ -183,6 +183,88 @@ def test_toxicity(spark):
     assert again == got
 
 
+def byte_models(texts_, labels):
+    """Word to log-likelihood difference, by dictionaries of bytes."""
+    import math
+
+    words_ = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(LOWER))
+    grams = lambda w: [(b" " + w)[max(0, i + 2 - 8) : i + 2] for i in range(len(w))]
+    own = [Counter(g for t, y in zip(texts_, labels, strict=True) if y == label for w in set(words_(t)) for g in grams(w)) for label in (1, 0)]
+    full = set(own[0]) | set(own[1])
+    levels, upper = {}, full
+    for history in range(6, -1, -1):
+        levels[history] = Counter(g[-(history + 1) :] for g in upper)
+        upper = set(levels[history])
+
+    def shared(g):
+        p = 1 / 256
+        for history in range(7):
+            counts = levels[history]
+            once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+            d = once / (once + 2 * twice) if once and twice else 0.75
+            x = g[-(history + 1) :]
+            after = [c for k, c in counts.items() if k[:-1] == x[:-1]]
+            if after:
+                p = (max(counts[x] - d, 0) + d * len(after) * p) / sum(after)
+        return p
+
+    def logs(g):
+        out = []
+        for c in own:
+            after = [n for k, n in c.items() if k[:-1] == g[:-1]]
+            total, kinds = sum(after), sum(min(n, 1) for n in after)
+            spare = kinds / total if total else 1.0
+            out.append((math.log((max(c[g] - 1, 0) / total if total else 0) + spare * shared(g)) if g in full else math.log(spare)))
+        return out[0] - out[1]
+
+    return lambda w: sum(logs(g) for g in grams(w) if any(k[:-1] == g[:-1] for k in full))
+
+
+def test_toxicity_is_its_dictionaries():
+    draw = random.Random(30)
+    word = lambda: "".join(draw.choice("abé") for _ in range(draw.randint(1, 11)))
+    stock = [word() for _ in range(40)]
+    said = [" ".join(draw.choice(stock[:30] if i % 2 else stock[10:]) for _ in range(12)) for i in range(24)]
+    labels = [i % 2 for i in range(24)]
+    model = toxicity._models(*(pa.array([t for t, y in zip(said, labels, strict=True) if y == label], pa.large_string()) for label in (1, 0)))
+    truth = byte_models(said, labels)
+    asked = [w.encode() for w in [*stock, *(word() for _ in range(30)), "zzz", "abzab"]]
+    data, offsets = common.text_buffers(pa.array([w.decode() for w in asked]))
+    got = model.words(np.concatenate([np.frombuffer(b" " + w, np.uint8) for w in asked]), np.cumsum([len(w) + 1 for w in asked]) - [len(w) for w in asked], np.cumsum([len(w) + 1 for w in asked]))
+    assert got == pytest.approx([truth(w) for w in asked], abs=1e-9)
+    x = model.features(*common.text_buffers(pa.array(["", "zzz", f"{stock[0]} {stock[35]}"])))
+    two = [truth(stock[i].encode()) for i in (0, 35)]
+    assert x[0].tolist() == [0, 0, 0, 0] and x[2, 0] == pytest.approx(sum(two) / sum(len(stock[i].encode()) for i in (0, 35))) and x[2, 1] == pytest.approx(max(two))
+
+
+def test_quality_is_its_compressed_sizes():
+    import zstandard
+
+    draw = random.Random(31)
+    y = [i % 2 for i in range(120)]
+    said = [" ".join(draw.choice(["measured", "careful", "window", "argument", "river"] if good else ["click", "buy", "cheap", "now", "!!!"]) + str(draw.randint(0, 99)) for _ in range(draw.randint(20, 300))) for good in y]
+    model = quality.fit(said, y, [i // 2 % 2 for i in range(len(y))])
+    asked = [*said[:20], "", "x", "lorem " * 900]
+    got = model.score(model.sizes(*common.text_buffers(pa.array(asked)), model.compressors()))
+    for t, score in zip(asked, got, strict=True):
+        raw = t.encode()
+        if not raw:
+            assert score == model.share
+            continue
+        n = len(raw)
+        g, b = (sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=3).compress(raw[a : a + 1024])) for a in range(0, n, 1024)) for d in (model.good, model.bad))
+        x, own = 10 * (b - g) / n, g / n
+        z = sum(w * v for w, v in zip(model.weights, (1, x, own, x * x, own * own, x * own, math.log1p(n) / 10), strict=True))
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+
+
+def test_ids_labelled_both_ways_and_long_texts(spark):
+    docs = rows_of(spark, [(1, "a"), (1, "b"), (2, "c"), (3, "d" * 50), (4, "e"), (5, "f"), (6, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 1), (4, 0), (5, 1), (6, 1), (None, 1)], "doc_id long, toxic int")
+    got = common.labelled(docs, labels, "toxic", F.lit(True), 2, 40, 3).collect()
+    assert sorted((r["doc_id"], r["text"], r["label"]) for r in got) == [(1, "a", 1), (4, "e", 0), (5, "f", 1)]
+
+
 def test_toxicity_of_the_table(spark):
     sf = "/root/testdata/sf0.1"
     rows = {r["doc_id"]: r for r in queries.op2_toxicity(spark, sf).collect()}
