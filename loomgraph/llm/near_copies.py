@@ -52,7 +52,7 @@ GROUP = 4096
 #: Bits in a set's bitmap.
 SIGNATURE = 1024
 #: How often pairs that would connect a group are asked for before all that are left are.
-TURNS = 4
+TURNS = 2
 #: Entries that a task gathers before it sends them to their buckets.
 FLUSH = 400_000
 _OFTEN = ("<u8", "<u4")
@@ -176,9 +176,17 @@ def _joined(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", *(f"{c}_{n}" for n in ("b", "a") for c in columns))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, names: tuple[str, ...], shingle: int, least: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b), those that link: fingerprints first, and the sets of those that these leave."""
-    spark = pairs.sparkSession
+def _close(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b), those whose fingerprints and sizes allow a link."""
+    a, b = least
+    low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    close = (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR) & (b * low >= a * high)
+    return _joined(pairs, nodes, ["size", "fp"]).where(close).select("a", "b")
+
+
+def _verified(left: DataFrame, nodes: DataFrame, source: DataFrame, names: tuple[str, ...], shingle: int, least: tuple[int, int]) -> DataFrame:
+    """Of close pairs (a, b), which were cut, those that link: their sets are compared."""
+    spark = left.sparkSession
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.texts(batches):
@@ -195,16 +203,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, names: tupl
                 keep.append(bool(alike(int((both[1:] == both[:-1]).sum()), len(x), len(y), least)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = least
-    low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    close = (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR) & (b * low >= a * high)
-    left = common.cut(spark, _joined(pairs, nodes, ["size", "fp"]).where(close).select("a", "b"), "pairs")
     ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = common.cut(spark, ends.join(nodes, "node").select("node", *(F.col(f"row.{n}").alias(n) for n in names)), "wanted")
+    wanted = ends.join(nodes, "node").select("node", *(F.col(f"row.{n}").alias(n) for n in names))
     texts = source.join(wanted, list(names)).dropDuplicates(["node"]).select("node", "text")
     sets = common.cut(spark, texts.mapInArrow(common.released(bodies), "node long, body binary"), "sets")
     links = common.cut(spark, _joined(left, sets, ["body"]).mapInArrow(common.released(compare), "a long, b long"), "links")
-    common.discard(left, wanted, sets)
+    common.discard(left, sets)
     return links
 
 
@@ -391,7 +395,8 @@ def representatives(documents: DataFrame, text: str = "text", shingle: int = SHI
             yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32())], names=["list", "node", "size"])
 
     first = groups.where("a is not null").select("a", "b").mapInArrow(common.released(paired), "a long, b long")
-    edges = _verified(first.unionByName(_probed(nodes, reach)).distinct(), nodes, source, names, shingle, least)
+    pairs = common.cut(spark, _close(first.unionByName(_probed(nodes, reach)).distinct(), nodes, least), "pairs")
+    edges = _verified(pairs, nodes, source, names, shingle, least)
     found = common.cut(spark, simhash.components(spark, edges), "near")
     lists = groups.where("nodes is not null").withColumn("list", F.xxhash64("nodes")).dropDuplicates(["list"])
     listed = lists.select("nodes", "sizes", "list").mapInArrow(common.released(members), "list long, node long, size int")
@@ -410,7 +415,6 @@ def representatives(documents: DataFrame, text: str = "text", shingle: int = SHI
         if asked.isEmpty():
             break
         more = _verified(asked, nodes, source, names, shingle, least)
-        common.discard(asked)
         edges = edges.unionByName(more)
         found = common.cut(spark, simhash.components(spark, edges), "near")
     named = nodes.select("node", "row").join(found, "node", "left").select("row", F.coalesce("root", "node").alias("root"))

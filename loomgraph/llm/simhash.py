@@ -42,6 +42,8 @@ REACH = 3
 SAMPLE = 2048
 #: Fingerprints under one key that are compared pair by pair; more are divided first.
 PAIRWISE = 1024
+#: Edges that one task solves.
+LOCAL_EDGES = 500_000
 #: Fingerprints under one key that are gathered in one task; more are dealt by further bits before that.
 GATHERED = 20_000
 
@@ -275,9 +277,23 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def _solved(table: pa.Table) -> pa.Table:
+    """(node, root) of a graph of LOCAL_EDGES edges at most."""
+    a, b = (table[c].to_numpy().astype(np.int64) for c in ("a", "b"))
+    nodes, which = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _roots(len(nodes), which[: len(a)], which[len(a) :])
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(nodes[root], pa.int64())})
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes with edges, root the smallest of the component: large-star and small-star in turn."""
+    """(node, root) of all nodes with edges, root the smallest of the component.
+
+    Up to LOCAL_EDGES edges are solved in one executor task, which spares many
+    small jobs; beyond that large-star and small-star go in turn.
+    """
     now = common.cut(spark, edges.select("a", "b"), "edges")
+    if now.count() <= LOCAL_EDGES:
+        return now.groupBy().applyInArrow(_solved, "node long, root long")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -677,10 +677,12 @@ def test_every_plan_finds_every_component(spark, total, monkeypatch):
     assert groups(by_root) == groups(by_want)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("local", [0, 500_000])
+def test_components_of_a_long_chain(spark, monkeypatch, local):
+    monkeypatch.setattr(simhash, "LOCAL_EDGES", local)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(spark, edges).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100} and simhash.components(spark, edges.where("false")).count() == 0
 
 
 # ---------------------------------------------------------------- 8
@@ -821,6 +823,21 @@ def test_near_copies_of_the_pipeline(spark, awkward):
     assert sorted(kept) == sorted({i for i, _ in rows} - gone)
 
 
+def test_dealt_nodes_meet(monkeypatch):
+    """Every two nodes of a shingle that many hold share a group, and groups stay small."""
+    from loomgraph.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "GROUP", 40)
+    node = np.random.default_rng(2).integers(-(2**62), 2**62, 300)
+    key, weight = np.where(np.arange(300) < 290, np.uint64(7), np.uint64(9)), np.where(np.arange(300) < 290, 290 // near_copies.SHARE, 0)
+    entry, dealt = near_copies._dealt(key, node, weight)
+    groups = defaultdict(set)
+    for e, k in zip(entry.tolist(), dealt.tolist(), strict=True):
+        groups[k].add(e)
+    assert all(any({i, j} <= g for g in groups.values()) for i in range(0, 290, 7) for j in range(290)) and groups[9] == set(range(290, 300))
+    assert max(len(g) for g in groups.values()) <= 3 * 40
+
+
 def test_near_copies_are_components(spark, awkward):
     """Against all pairs, with a chain whose ends are less alike than its neighbours."""
     import corpus_pipeline
