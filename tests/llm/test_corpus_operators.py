@@ -631,6 +631,18 @@ def test_simhash(spark, awkward):
     assert simhash.groups(rows_of(spark, awkward).where("false")).count() == 0
 
 
+def test_crowded_keys_lose_no_component(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GATHERED", 1)
+    draw = random.Random(40)
+    base = [draw.getrandbits(64) for _ in range(6)]
+    values = sorted({b ^ sum(1 << x for x in draw.sample(range(64), draw.randint(0, 5))) for b in base for _ in range(25)})
+    frame = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    root = {r["node"]: r["root"] for r in simhash.components(spark, simhash.links(frame)).collect()}
+    want = components(values)
+    got = [root.get(simhash._signed(v), simhash._signed(v)) for v in values]
+    assert {frozenset(i for i in range(len(values)) if want[i] == g) for g in want} == {frozenset(i for i in range(len(values)) if got[i] == g) for g in got}
+
+
 def test_simhash_of_spark_is_xxhash(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] == np.array([xxhash.xxh64_intdigest(b"a b c", 42)], np.uint64).astype(np.int64)[0]
 
