@@ -107,6 +107,20 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype="<u8")
 
 
+def pack_planes(values: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_planes(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def pack(values: np.ndarray) -> bytes:
     import zstandard
 

@@ -738,52 +738,72 @@ def test_audio_features_do_what_they_say(monkeypatch):
 # ---------------------------------------------------------------- 9
 
 
-def lm(items, held):
+def lm(items, held, order=2):
     """The whole model in dictionaries: (tokens, known, base, score) a text."""
     split = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOWER)), 0]
-    uni, pairs = Counter(), Counter()
+    grams = lambda w: [tuple([*[1] * (order - 1), *w][i : i + order]) for i in range(len(w))]
+    uni, counts = Counter(), {order: Counter()}
     for i, t in items:
         if not held(i):
             w = split(t)
             uni.update(w)
-            pairs.update(zip([1, *w[:-1]], w, strict=True))
-    kinds, total, after = Counter(v for _, v in pairs), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (u, _), c in pairs.items():
-        total[u] += c
-        after[u][min(c, 3) - 1] += 1
-    of = lambda c: language_model._discounts(*(sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)))
-    d, e, n, v = (0, *of(pairs)), (0, *of(kinds)), sum(uni.values()), len(uni)
-    spare = sum(e[min(c, 3)] for c in kinds.values()) / len(pairs) if pairs else 1.0
-
-    def single(x):
-        return (max(kinds[x] - e[min(kinds[x], 3)], 0) / len(pairs) if kinds[x] else 0) + spare / (v + 1)
-
-    def p(u, x):
-        if not total[u]:
-            return single(x)
-        c = pairs[u, x]
-        return (c - d[min(c, 3)]) / total[u] + sum(a * b for a, b in zip(after[u], d[1:], strict=True)) / total[u] * single(x)
+            counts[order].update(grams(w))
+    for k in range(order, 1, -1):
+        counts[k - 1] = Counter(g[1:] for g in counts[k])
+    total, after = Counter(), defaultdict(lambda: [0, 0, 0])
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            total[g[:-1]] += c
+            after[g[:-1]][min(c, 3) - 1] += 1
+    off = {k: (0, *language_model._discounts(*(sum(1 for x in c.values() if x == j) for j in (1, 2, 3, 4)))) for k, c in counts.items()}
+    n, v, pairs = sum(uni.values()), len(uni), len(counts[2])
+    spare = sum(off[1][min(c, 3)] for c in counts[1].values()) / pairs if pairs else 1.0
+
+    def p(*g):
+        k, c = len(g), counts[len(g)][g]
+        if k == 1:
+            return (max(c - off[1][min(c, 3)], 0) / pairs if c else 0) + spare / (v + 1)
+        if not total[g[:-1]]:
+            return p(*g[1:])
+        return (c - off[k][min(c, 3)] + sum(a * b for a, b in zip(after[g[:-1]], off[k][1:], strict=True)) * p(*g[1:])) / total[g[:-1]]
 
     out = {}
     for i, t in items:
         w = split(t)
-        out[i, t] = (len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(a, b)) for a, b in zip([1, *w[:-1]], w, strict=True)))
-    return out, (uni, p)
+        out[i, t] = (len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(*g)) for g in grams(w)))
+    return out, (uni, counts, p)
 
 
-def test_language_model(spark, awkward):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, awkward, order, monkeypatch):
+    monkeypatch.setattr(language_model, "FLUSH_TOKENS", 50)
+    items = [*awkward, *((9000 + i, t) for i, t in enumerate(["a b c d a b c e", "b c d", "z b c e e", "a b c d a b x"] * 3))]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    want, (uni, p) = lm(awkward, held)
-    docs = rows_of(spark, awkward).withColumn("held", F.coalesce(common.crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)))
-    model = language_model.train(docs.where("not held"))
+    want, (uni, counts, p) = lm(items, held, order)
+    docs = rows_of(spark, items).withColumn("held", F.coalesce(common.crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)))
+    model = language_model.train(docs.where("not held"), order=order)
     got = language_model.score(docs, model, keep=("doc_id", "text")).collect()
-    assert len(got) == len(awkward)
+    assert len(got) == len(items)
     for r in got:
         n, known, total, base, score = want[r["doc_id"], r["text"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
-    words_ = [w for w, _ in uni.most_common(3)]
-    assert all(sum(p(u, x) for x in uni) + p(u, "unknown") == pytest.approx(1) for u in [*words_, 1, "never"])
+    contexts = [*[g[:-1] for g, _ in counts[order].most_common(3)], (1,) * (order - 1), ("never",) * (order - 1)]
+    assert all(sum(p(*g, x) for x in uni) + p(*g, "unknown") == pytest.approx(1) for g in contexts)
+
+
+def test_order_of_the_language_model(spark):
+    with pytest.raises(ValueError):
+        language_model.train(rows_of(spark, [(1, "a")]), order=1)
+
+
+def test_longer_histories_tell_more(spark, documents):
+    docs = documents.withColumn("held", common.crc_mod(F.col("doc_id"), 7) == 2)
+    sums = []
+    for order in (2, 3):
+        model = language_model.train(docs.where("not held"), order=order)
+        sums.append(language_model.score(docs.where("held"), model).agg(F.sum("score")).first()[0])
+    assert sums[1] > sums[0]
 
 
 def test_language_model_without_texts(spark, awkward):
