@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,6 +143,54 @@ class Profile:
     erasure: bool = False
 
 
+class Sink(Protocol):
+    """What an ingestion hands its candidates to."""
+
+    spark: SparkSession
+
+    def submit(self, candidates: DataFrame) -> DataFrame:
+        """Outcomes: candidate_id, status, reason, trace_id."""
+
+
+class MemorySink:
+    """A sink that lives as long as this object, for trials and tests: its rows are intermediate tables, and nothing is committed.
+
+    The first candidate of a key is received and stays as it was; ids and keys
+    are taken as in a ledger. Rows are read in the order in which they came.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self._batches: list[DataFrame] = []
+
+    def received(self) -> DataFrame | None:
+        """Received candidates of all batches with state and received_at, None before the first batch."""
+        out = None
+        for place, batch in enumerate(self._batches):
+            rows = batch.where("status = 'RECEIVED'").drop("status", "reason").withColumns({"state": F.lit("RECEIVED"), "received_at": F.col("created_at"), "batch": F.lit(place)})
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
+
+    def entries(self, graph_id: str | None = None, in_states: Sequence[str] | None = None) -> DataFrame | None:
+        frame = self.received()
+        if frame is None:
+            return None
+        if graph_id is not None:
+            frame = frame.where(F.col("graph_id") == graph_id)
+        if in_states is not None:
+            frame = frame.where(F.col("state").isin(*in_states))
+        return frame.orderBy("batch", "rec_idx", "pos").drop("batch")
+
+    def submit(self, candidates: DataFrame) -> DataFrame:
+        known = self.received()
+        taken = candidates.limit(0) if known is None else known
+        folder = scratch(self.spark, "memory-sink")
+        judged = admit(candidates, taken, taken)
+        judged.write.parquet(folder)
+        self._batches.append(self.spark.read.schema(judged.schema).parquet(folder))
+        return self._batches[-1].select("candidate_id", "status", "reason", "trace_id")
+
+
 class Ledger:
     """A ledger in a folder, or in a Store that it shares with evidence."""
 
@@ -149,7 +198,7 @@ class Ledger:
         self.store = store or Store(spark, folder, SCHEMAS)
         self.store.schemas |= SCHEMAS
         self.store.parted |= {"payloads": "bucket"}
-        self.profile, self.clock = profile, clock
+        self.spark, self.profile, self.clock = self.store.spark, profile, clock
 
     # reads
 

@@ -18,7 +18,7 @@ from loomgraph.errors import SourceError
 from loomgraph.functions import identity
 from loomgraph.operators import admission, candidates, validate
 from loomgraph.operators.candidates import Scoring
-from loomgraph.operators.ledger import CANDIDATE, COLUMNS, Ledger, duplicates
+from loomgraph.operators.ledger import CANDIDATE, COLUMNS, Ledger, Sink, duplicates
 from loomgraph.operators.normalize import Field, normalize, passthrough
 from loomgraph.operators.validate import Ontology
 from loomgraph.sources.records import Records
@@ -140,11 +140,11 @@ class Pipeline:
         """The candidates that run() would submit, and the report. Nothing is written."""
         return self._execute(None, ledger)
 
-    def run(self, sink: Ledger) -> tuple[DataFrame, Report]:
+    def run(self, sink: Sink) -> tuple[DataFrame, Report]:
         """Submit: outcomes and the report."""
         return self._execute(sink, None)
 
-    def _execute(self, sink: Ledger | None, ledger: Ledger | None) -> tuple[DataFrame, Report]:
+    def _execute(self, sink: Sink | None, ledger: Ledger | None) -> tuple[DataFrame, Report]:
         began, at = time.monotonic(), self.clock()
         run_id, job_id = self.run_id or f"run_{identity.random_suffix()}", self.job_id or f"job_{identity.random_suffix()}"
         mode = "execute" if sink else "dry_run"
@@ -152,7 +152,7 @@ class Pipeline:
             records = self.records()
         except SourceError as bad:
             report = Report(self.graph_id, job_id, run_id, mode, "unknown", "unknown", incomplete=True, failures=[f"source read failed: {bad}"])
-            spark = sink.store.spark if sink else ledger.store.spark if ledger else None
+            spark = (sink or ledger).spark if sink or ledger else None
             return (spark.createDataFrame([], CANDIDATE) if spark else None), report
         report = Report(self.graph_id, job_id, run_id, mode, records.source_type, records.locator)
         self.release()

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import identity, policy
-from loomgraph.operators import chunking, completions, evaluation, evidence, registry
+from loomgraph.operators import chunking, completions, curation, evaluation, evidence, registry
 from loomgraph.operators.candidates import Attributes, Compose, Entity, Scoring
 from loomgraph.operators.evidence import EvidenceStore
 from loomgraph.operators.graph import Graph, Operation, ReadOptions
-from loomgraph.operators.ledger import LEGAL, Ledger, Profile
+from loomgraph.operators.ledger import LEGAL, Ledger, MemorySink, Profile
 from loomgraph.operators.normalize import Field, normalize, passthrough
 from loomgraph.operators.validate import Ontology
 from loomgraph.plans.catalogue import _ARMS_SQL, _LEGAL_SQL, _arms, query, records, table
@@ -430,3 +430,39 @@ def gold_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.struct(F.lit("geo").alias("gold_set_id"), F.transform("x", lambda i: i["e"]).alias("entities"), F.transform("x", lambda i: i["f"]).alias("attributes"))
     listed.select(F.to_json(whole).alias("value")).write.text(folder)
     return evaluation.gold_from_json(spark, folder).select("category", "gold_idx", "match_key")
+
+
+# ---------------------------------------------------------------- sinks and plans
+
+
+@query("""select 'cand_' || o_orderkey as candidate_id, case when row_number() over (partition by o_custkey order by o_orderdate >= timestamp '1996-01-01', o_orderkey) = 1 then 'RECEIVED' else 'DUPLICATE' end as status from orders""")
+def memory_sink_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of old orders, then of new ones, submitted to a sink that isn't a ledger."""
+    key = F.concat(F.lit("customer/crm/"), F.col("o_custkey"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("cand_"), F.col("o_orderkey")).alias("candidate_id"), F.lit("crm").alias("graph_id"), key.alias("semantic_key"), F.col("o_orderkey").alias("rec_idx"),
+        F.lit(0).alias("pos"), F.lit("t").alias("trace_id"), F.col("o_orderdate").alias("created_at"),
+    )
+    sink = MemorySink(spark)
+    old = sink.submit(orders.where("created_at < timestamp_ntz '1996-01-01'"))
+    return old.unionByName(sink.submit(orders.where("created_at >= timestamp_ntz '1996-01-01'"))).select("candidate_id", "status")
+
+
+@query("""select 'plan_' || c_custkey as plan_id, 'c' || c_custkey as first_candidate, to_json({'name': c_name, 'segment': c_mktsegment})::varchar as payload, c_nationkey::varchar as expected,
+  case when c_acctbal < 0 then 'a plan is for one candidate at least' end as why_not from customer where c_acctbal >= 0
+  union all select 'plan_' || c_custkey, null, null, null, 'a plan is for one candidate at least' from customer where c_acctbal < 0""")
+def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan a customer, written as a line of JSON and read back; those without candidates aren't carried."""
+    own = F.when(F.col("c_acctbal") >= 0, F.array(F.concat(F.lit("c"), F.col("c_custkey")))).otherwise(F.array().cast("array<string>"))
+    payload = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))
+    plans = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("plan_"), F.col("c_custkey")).alias("plan_id"), own.alias("candidate_ids"), F.lit("7").alias("snapshot_version"),
+        F.array(F.struct(F.lit("CREATE_IDENTITY").alias("type"), payload.alias("payload"))).alias("operations"),
+        F.array(F.struct(F.lit("cluster_version").alias("kind"), F.lit("i").alias("subject"), F.col("c_nationkey").cast("string").alias("expected"))).alias("preconditions"),
+        F.array().cast("array<string>").alias("evidence_ids"), F.lit("1").alias("policy_version"),
+    )
+    lines = curation.to_lines(plans)
+    back = curation.from_lines(lines.where("line is not null"))
+    shown = back.select("plan_id", F.col("candidate_ids")[0].alias("first_candidate"), F.col("operations")[0]["payload"].alias("payload"), F.col("preconditions")[0]["expected"].alias("expected"), "why_not")
+    empty = F.lit(None).cast("string")
+    return shown.unionByName(lines.where("line is null").select("plan_id", empty.alias("first_candidate"), empty.alias("payload"), empty.alias("expected"), "why_not"))

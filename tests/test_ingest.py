@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.errors import ConfigurationError, IllegalTransition, SourceError
-from loomgraph.operators import admission, validate
+from loomgraph.operators import admission, curation, validate
 from loomgraph.operators.candidates import Attributes, Compose, Entity, Relation, Scoring
 from loomgraph.operators.evidence import EvidenceStore, erase, link, row, row_evidence
-from loomgraph.operators.ledger import LEGAL, Ledger, Profile, legal
+from loomgraph.operators.ledger import LEGAL, Ledger, MemorySink, Profile, legal
 from loomgraph.operators.normalize import Field
 from loomgraph.operators.validate import Ontology
 from loomgraph.plans.ingest import Pipeline, TableSync
@@ -241,3 +241,39 @@ def test_row_evidence_links(spark):
     made = row_evidence(rows.frame, "snap_1", "table", "db", AT)
     planned, _ = pipeline(spark).plan()
     assert link(planned, made).count() == 9 and made.select("evidence_id").distinct().count() == 3
+
+
+def test_pipeline_into_a_sink_in_memory(spark):
+    sink = MemorySink(spark)
+    assert sink.entries() is None
+    first, report = pipeline(spark).run(sink)
+    again, second = pipeline(spark).run(sink)
+    assert (report.received, report.duplicates, second.received, second.duplicates) == (9, 0, 0, 9) and {r["status"] for r in again.collect()} == {"DUPLICATE"}
+    kept = sink.entries("sports", ["RECEIVED"]).collect()
+    assert [(r["rec_idx"], r["pos"]) for r in kept] == sorted((r["rec_idx"], r["pos"]) for r in kept) and len(kept) == 9
+    assert all(r["received_at"] == r["created_at"] for r in kept) and sink.entries("other").count() == 0 and sink.entries(in_states=["ACCEPTED"]).count() == 0
+    assert {r["status"] for r in first.collect()} == {"RECEIVED"}
+
+
+def test_batches_change_no_outcome(spark):
+    """What a sink receives doesn't depend on how the candidates are dealt to batches."""
+    rows = [(f"c{i}", "g", f"k{i % 4}", i, 0, "t", AT) for i in range(12)]
+    frame = spark.createDataFrame(rows, "candidate_id string, graph_id string, semantic_key string, rec_idx long, pos int, trace_id string, created_at timestamp")
+    seen = set()
+    for size in (5, 12):
+        sink = MemorySink(spark)
+        for low in range(0, 12, size):
+            sink.submit(frame.where((F.col("rec_idx") >= low) & (F.col("rec_idx") < low + size)))
+        seen.add(tuple(r["candidate_id"] for r in sink.entries().collect()))
+    assert seen == {("c0", "c1", "c2", "c3")}
+
+
+def test_plans_come_back_from_lines(spark):
+    odd = 'a "b" \n\u00e9\u2028'
+    rows = [("p1", ["c", odd], "7", [("ATTACH_ASSERTION", '{"v": 1.0, "n": null}'), (None, odd)], [("cluster_version", "i", "17")], [], "1"), ("p2", ["c", None], "", [], [], ["e"], "")]
+    plans = spark.createDataFrame(rows, curation.PLAN)
+    assert sorted(map(str, curation.from_lines(curation.to_lines(plans)).drop("why_not").collect())) == sorted(map(str, plans.collect()))
+    none = spark.createDataFrame([("p3", [], "7", [], [], [], "1"), (None, ["c"], "7", [], [], [], "1")], curation.PLAN)
+    assert [(r["line"], r["why_not"] is None) for r in curation.to_lines(none).collect()] == [(None, False)] * 2
+    lines = spark.createDataFrame([("{",), ("[1]",), ('{"plan_id": "x"}',), (None,)], "line string")
+    assert all(r["why_not"] for r in curation.from_lines(lines).collect())
