@@ -19,10 +19,12 @@ is found exactly:
    GROUP nodes is dealt to several groups, every two nodes together in one.
 4. Candidates of 2 and every group's first node with the others are compared,
    by fingerprint and then set by set. In groups whose nodes aren't all connected
-   by that, bitmaps of the sets bound from above what two of them share. Of the
-   pairs of different components that may still link, a few turns compare as many
-   as would connect them, and the last turn compares all that are left. So n
-   copies need about n comparisons, and no link between components is missed.
+   by that, bitmaps of the sets bound from above what two of them share. Nodes of
+   different components that may still link make families, of which a group sends
+   a spanning forest. A family's sets meet in one task (LOAD shingles or so; larger
+   families are dealt, every two nodes together once), which compares every pair
+   that isn't connected yet and sends the links that connect something. So rows
+   grow with nodes, not with pairs, and no link between components is missed.
 
 Defined results: null, empty or wordless texts are one group; repeated rows are
 one; extra columns are kept, whatever their names; a null id counts as largest;
@@ -51,8 +53,8 @@ SHARE = 8
 GROUP = 4096
 #: Bits in a set's bitmap.
 SIGNATURE = 1024
-#: How often pairs that would connect a group are asked for before all that are left are.
-TURNS = 2
+#: Shingles of sets that are compared in one task, a bitmap's bytes a set added; a larger family of sets is dealt.
+LOAD = 1 << 21
 #: Entries that a task gathers before it sends them to their buckets.
 FLUSH = 400_000
 _OFTEN = ("<u8", "<u4")
@@ -184,9 +186,8 @@ def _close(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> DataFr
     return _joined(pairs, nodes, ["size", "fp"]).where(close).select("a", "b")
 
 
-def _verified(left: DataFrame, nodes: DataFrame, source: DataFrame, names: tuple[str, ...], shingle: int, least: tuple[int, int]) -> DataFrame:
-    """Of close pairs (a, b), which were cut, those that link: their sets are compared."""
-    spark = left.sparkSession
+def _sets(ends: DataFrame, nodes: DataFrame, source: DataFrame, names: tuple[str, ...], shingle: int) -> DataFrame:
+    """(node, body) of nodes, which are given once each: their sets, ascending. Cut."""
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.texts(batches):
@@ -194,6 +195,14 @@ def _verified(left: DataFrame, nodes: DataFrame, source: DataFrame, names: tuple
             edges = np.searchsorted(own, np.arange(rows.num_rows + 1))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([value[a:b].astype("<u8").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["node", "body"])
 
+    wanted = ends.join(nodes, "node").select("node", *(F.col(f"row.{n}").alias(n) for n in names))
+    texts = source.join(wanted, list(names)).dropDuplicates(["node"]).select("node", "text")
+    return common.cut(source.sparkSession, texts.mapInArrow(common.released(bodies), "node long, body binary"), "sets")
+
+
+def _verified(left: DataFrame, nodes: DataFrame, source: DataFrame, names: tuple[str, ...], shingle: int, least: tuple[int, int]) -> DataFrame:
+    """Of close pairs (a, b), which were cut, those that link: their sets are compared."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -203,11 +212,8 @@ def _verified(left: DataFrame, nodes: DataFrame, source: DataFrame, names: tuple
                 keep.append(bool(alike(int((both[1:] == both[:-1]).sum()), len(x), len(y), least)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(nodes, "node").select("node", *(F.col(f"row.{n}").alias(n) for n in names))
-    texts = source.join(wanted, list(names)).dropDuplicates(["node"]).select("node", "text")
-    sets = common.cut(spark, texts.mapInArrow(common.released(bodies), "node long, body binary"), "sets")
-    links = common.cut(spark, _joined(left, sets, ["body"]).mapInArrow(common.released(compare), "a long, b long"), "links")
+    sets = _sets(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, names, shingle)
+    links = common.cut(left.sparkSession, _joined(left, sets, ["body"]).mapInArrow(common.released(compare), "a long, b long"), "links")
     common.discard(left, sets)
     return links
 
@@ -237,44 +243,77 @@ def _open(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["list", "node"])
 
 
-def _asked(batches: Iterator[pa.RecordBatch], least: tuple[int, int], turn: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list that are of different components and can link, as bitmaps bound it: enough of them to connect all that could be, other ones each turn; without a turn all of them."""
+def _may(p: int, other: np.ndarray, size: np.ndarray, fp: np.ndarray, bits: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Of other nodes, those that p can link to, as fingerprints and bitmaps bound it."""
+    other = other[np.bitwise_count(fp[other] ^ fp[p]) <= FAR]
+    only, lost = np.bitwise_count(bits[p] & ~bits[other]).sum(1, dtype=np.int64), np.bitwise_count(bits[other] & ~bits[p]).sum(1, dtype=np.int64)
+    return other[alike(np.minimum(size[p] - only, size[other] - lost), size[p], size[other], least)]
+
+
+def _families(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(a, b) that connect the nodes of a list as all pairs of different components do that may link: fewer than nodes."""
     for batch in batches:
         out = [np.zeros((2, 0), np.int64)]
-        for number, (node, size, fp, root, bits) in _lists(batch, ("node", "size", "fp", "root", "bits")):
-            fp = fp.view(np.uint64)
-            _, root = np.unique(root, return_inverse=True)
-            order = np.argsort(common.mix(node.view(np.uint64) + np.uint64((turn or 0) * 0x9E3779B97F4A7C15 & (2**64 - 1)))) if turn is not None else np.arange(len(node))
-            seen, expanded = np.zeros(int(root.max()) + 1, bool), np.zeros(len(node), bool)
-            waiting: list[int] = []
-            at = 0
-            while turn is None or not seen.all():
-                if not waiting:  # what can't be reached from the nodes so far begins anew
-                    while at < len(order) and expanded[order[at]]:
-                        at += 1
-                    if at == len(order):
-                        break
-                    waiting.append(int(order[at]))
-                    seen[root[order[at]]] = True
-                p = waiting.pop()
-                if expanded[p]:
-                    continue
-                expanded[p] = True
-                other = np.flatnonzero((root != root[p]) & (node > node[p])) if turn is None else np.flatnonzero(~seen[root])
-                other = other[np.bitwise_count(fp[other] ^ fp[p]) <= FAR]
-                only, lost = np.bitwise_count(bits[p] & ~bits[other]).sum(1, dtype=np.int64), np.bitwise_count(bits[other] & ~bits[p]).sum(1, dtype=np.int64)
-                other = other[alike(np.minimum(size[p] - only, size[other] - lost), size[p], size[other], least)]
-                if turn is not None:
-                    other = other[np.unique(root[other], return_index=True)[1]]
-                    seen[root[other]] = True
-                    waiting += np.flatnonzero(np.isin(root, root[other]) & ~expanded).tolist()
-                    waiting += np.flatnonzero((root == root[p]) & ~expanded).tolist()
-                if len(other):
+        for _, (node, size, fp, root, bits) in _lists(batch, ("node", "size", "fp", "root", "bits")):
+            fp, left = fp.view(np.uint64), np.ones(len(node), bool)
+            for first in range(len(node)):
+                waiting = [first] if left[first] else []
+                left[first] = False
+                while waiting:
+                    p = waiting.pop()
+                    other = _may(p, np.flatnonzero(left & (root != root[p])), size, fp, bits, least)
+                    left[other] = False
+                    waiting += other.tolist()
                     out.append(np.stack([np.minimum(node[p], node[other]), np.maximum(node[p], node[other])]))
         x, y = np.unique(np.concatenate(out, axis=1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
 
+def _forest(node: np.ndarray, size: np.ndarray, fp: np.ndarray, root: np.ndarray, bodies: list[bytes], least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that connect components as all links between the nodes do, fewer than nodes. Every pair that isn't connected by then is compared."""
+    value, ends = np.frombuffer(b"".join(bodies), "<u8"), np.cumsum(size)
+    bits = np.frombuffer(b"".join(_signatures(np.repeat(np.arange(len(node)), size), value, len(node))), "<u8").reshape(len(node), -1)
+    distinct, which = np.unique(value, return_inverse=True)
+    mark, label = np.zeros(len(distinct), np.uint8), np.unique(root, return_inverse=True)[1]
+    out = []
+    for p in range(len(node) - 1):
+        other = _may(p, np.flatnonzero(label[p + 1 :] != label[p]) + p + 1, size, fp, bits, least)
+        if not len(other):
+            continue
+        count = size[other]
+        edge = np.cumsum(count) - count
+        mark[which[ends[p] - size[p] : ends[p]]] = 1
+        shared = np.add.reduceat(mark[which[np.arange(int(count.sum())) + np.repeat(ends[other] - count - edge, count)]], edge, dtype=np.int64)
+        mark[which[ends[p] - size[p] : ends[p]]] = 0
+        for q in other[alike(shared, size[p], count, least)].tolist():
+            if label[q] != label[p]:
+                out.append((min(int(node[p]), int(node[q])), max(int(node[p]), int(node[q]))))
+                label[label == label[q]] = label[p]
+    return out
+
+
+def _connected(families: DataFrame, nodes: DataFrame, found: DataFrame, source: DataFrame, names: tuple[str, ...], shingle: int, least: tuple[int, int], buckets: int) -> DataFrame:
+    """Links (a, b) that connect components as all links inside families (node, root) do. Cut."""
+    members = families.withColumnRenamed("root", "list").join(nodes.select("node", "size", "fp"), "node").join(found, "node", "left").select("list", "node", "size", "fp", F.coalesce("root", "node").alias("root"))
+    loads = families.join(nodes.select("node", "size"), "node").groupBy(F.col("root").alias("list")).agg(F.sum(F.col("size") + SIGNATURE // 8).alias("load"))
+    parts = loads.select("list", F.when(F.col("load") > LOAD, F.ceil(2 * F.col("load") / LOAD)).otherwise(1).cast("long").alias("parts"))
+    dealt = members.join(parts, "list").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.withColumn("list", F.when(F.col("parts") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other"))))
+    sets = _sets(families.select("node"), nodes, source, names, shingle)
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("list", "ascending"), ("node", "ascending")]).combine_chunks()
+        number, node, size, fp, root = (table[c].to_numpy().astype(np.int64) for c in ("list", "node", "size", "fp", "root"))
+        edges = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]]))
+        out = [e for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for e in _forest(node[a:b], size[a:b], fp[a:b].view(np.uint64), root[a:b], table["body"].slice(a, b - a).to_pylist(), least)]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    rows = dealt.select("list", "node", "size", "fp", "root").join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
+    links = common.cut(source.sparkSession, rows.groupBy("bucket").applyInArrow(link, "a long, b long"), "links")
+    common.discard(sets)
+    return links
+
+
 def _sampled(source: DataFrame, shingle: int, buckets: int) -> str:
     """A folder with the sample's shingles that two documents or more hold, and in how many, as sorted arrays a bucket."""
     spark = source.sparkSession
@@ -409,14 +448,10 @@ def representatives(documents: DataFrame, text: str = "text", shingle: int = SHI
     prints = listed.join(nodes.select("node", "fp"), "node")
     opened = gathered(prints, "size", "fp").mapInArrow(common.released(lambda x: _open(x, least)), "list long, node long")
     left = common.cut(spark, opened.join(nodes.select("node", "size", "fp", "bits"), "node"), "open")
-    for turn in [*range(TURNS), None]:
-        asked = gathered(left, "size", "fp", "bits").mapInArrow(common.released(lambda x, turn=turn: _asked(x, least, turn)), "a long, b long").distinct()
-        asked = common.cut(spark, asked, "asked")
-        if asked.isEmpty():
-            break
-        more = _verified(asked, nodes, source, names, shingle, least)
-        edges = edges.unionByName(more)
-        found = common.cut(spark, simhash.components(spark, edges), "near")
+    may = gathered(left, "size", "fp", "bits").mapInArrow(common.released(lambda x: _families(x, least)), "a long, b long").distinct()
+    families = common.cut(spark, simhash.components(spark, may), "families")
+    edges = edges.unionByName(_connected(families, nodes, found, source, names, shingle, least, buckets))
+    found = common.cut(spark, simhash.components(spark, edges), "near")
     named = nodes.select("node", "row").join(found, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
     chosen = common.cut(spark, named.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.one").alias(one), F.col("row.two").alias(two)), "chosen")
     # wholly equal rows are one; the join has dealt and sorted them already

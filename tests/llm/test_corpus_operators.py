@@ -894,6 +894,39 @@ def test_near_copies_are_components(spark, awkward):
     assert corpus_pipeline.drop_near_copies(spark, rows_of(spark, rows).where("false"), SMALL).count() == 0
 
 
+def test_near_copies_send_no_pairs_of_a_group(spark, monkeypatch):
+    """Texts just less alike than asked, and some that link: right with families dealt to many tasks, and rows that grow with texts."""
+    import corpus_pipeline
+    from loomgraph.llm import near_copies
+
+    draw = random.Random(18)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base, rows = [word() for _ in range(300)], []
+    for n in range(90):
+        own = list(base)
+        for at in draw.sample(range(0, 300, 6), 3 if n % 9 == 0 else 5):
+            own[at + draw.randrange(6)] = word()
+        rows.append((3000 + n, " ".join(own)))
+    split, label = [t.split() for _, t in rows], list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if _similarity(split[i], split[j]) >= 0.8:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    pairs, cut = [], common.cut
+
+    def counted(session, frame, purpose):
+        out = cut(session, frame, purpose)
+        pairs.append((purpose, out.count())) if frame.columns == ["a", "b"] else None
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    for load in (near_copies.LOAD, 2000):
+        monkeypatch.setattr(near_copies, "LOAD", load)
+        kept = corpus_pipeline.drop_near_copies(spark, rows_of(spark, rows), SMALL).collect()
+        assert sorted(r["doc_id"] for r in kept) == sorted(3000 + i for i in set(label))
+    assert 20 < len(set(label)) < 85 and max(n for _, n in pairs) < 5 * len(rows)
+
+
 def test_pipeline_is_its_stages(spark, tmp_path):
     """Each stage's decision against the operators' own brute force, on the table as it comes to that stage."""
     import corpus_pipeline
