@@ -11,12 +11,13 @@ is found exactly:
 
 1. Equal sets are one node: a 64-bit digest with its fingerprint.
 2. Fingerprints within reach, by the generalised pigeonhole, are candidates.
-3. All sets are sorted alike, what many documents of a sample hold last (a fixed
-   share of all documents; their counts are sorted arrays in the shared folder
-   that workers map). Two sets of similarity LEAST share one of their first
-   n - ceil(LEAST * n) + 1 shingles; these go to buckets, packed, and shingles
-   of several nodes make groups. A shingle that the sample says is in more than
-   GROUP nodes is dealt to several groups, every two nodes together in one.
+3. All sets are sorted alike, what many documents hold last (counted over all
+   documents, of which copies that are read together are one; the counts are
+   sorted arrays in the shared folder that workers map). Two sets of similarity
+   LEAST share one of their first n - ceil(LEAST * n) + 1 shingles; these go to
+   buckets, packed, and shingles of several nodes make groups. A shingle that is
+   counted more than GROUP times is dealt to several groups, every two nodes
+   together in one.
 4. Candidates of 2 and every group's first node with the others are compared,
    by fingerprint and then set by set. In groups whose nodes aren't all connected
    by that, bitmaps of the sets bound from above what two of them share. Nodes of
@@ -47,8 +48,8 @@ SHINGLE = 5
 LEAST = (4, 5)
 #: Bits in which fingerprints of linked sets may differ.
 FAR = 24
-#: One document in so many counts shingles. The counts order the sets; no result depends on them.
-SHARE = 8
+#: Documents that one count of a shingle stands for: all are counted.
+SHARE = 1
 #: Nodes that a group is expected to hold at most.
 GROUP = 4096
 #: Bits in a set's bitmap.
@@ -102,7 +103,7 @@ def _signatures(own: np.ndarray, value: np.ndarray, rows: int) -> list[bytes]:
 
 
 def _weights(value: np.ndarray, folder: str, buckets: int) -> np.ndarray:
-    """How many of the sample's documents hold each shingle, 0 for those that fewer than two do."""
+    """How many documents hold each shingle, 0 for those that fewer than two do."""
     wanted, which = np.unique(value, return_inverse=True)
     out = np.zeros(len(wanted), np.int64)
     home = wanted % np.uint64(buckets)
@@ -314,11 +315,10 @@ def _connected(families: DataFrame, nodes: DataFrame, found: DataFrame, source:
     return links
 
 
-def _sampled(source: DataFrame, shingle: int, buckets: int) -> str:
-    """A folder with the sample's shingles that two documents or more hold, and in how many, as sorted arrays a bucket."""
+def _counted(source: DataFrame, shingle: int, buckets: int) -> str:
+    """A folder with the shingles that two documents or more hold, and how many do, as sorted arrays a bucket. Copies in one batch are one."""
     spark = source.sparkSession
     folder = common.shared_folder(spark, "often")
-    drawn = source.where(F.pmod(F.xxhash64(F.lit("often"), "text"), F.lit(SHARE)) == 0).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -353,7 +353,8 @@ def _sampled(source: DataFrame, shingle: int, buckets: int) -> str:
         shards.write(folder, f"often-{table['bucket'][0].as_py()}", [keys[total > 1], total[total > 1]])
         return pa.table({"n": pa.array([int((total > 1).sum())], pa.int64())})
 
-    drawn.mapInArrow(common.released(count), "bucket int, key binary, n binary").groupBy("bucket").applyInArrow(add, "n long").agg(F.sum("n")).collect()
+    counts = source.select("text").mapInArrow(common.released(count), "bucket int, key binary, n binary")
+    common.discard(common.cut(spark, counts.groupBy("bucket").applyInArrow(add, "n long"), "counted"))  # written for its shuffle files to go
     return folder
 
 
@@ -377,7 +378,7 @@ def representatives(documents: DataFrame, text: str = "text", shingle: int = SHI
     source = marked.select("doc_id", F.col(one).alias("one"), F.col(two).alias("two"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = ("one", "two")
     buckets = common.bucket_count(documents)
-    folder = _sampled(source, shingle, buckets)
+    folder = _counted(source, shingle, buckets)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.texts(batches):

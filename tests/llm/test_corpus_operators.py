@@ -927,6 +927,27 @@ def test_near_copies_send_no_pairs_of_a_group(spark, monkeypatch):
     assert 20 < len(set(label)) < 85 and max(n for _, n in pairs) < 5 * len(rows)
 
 
+def test_shingles_of_all_documents_are_counted(spark, monkeypatch):
+    """The counts that order the sets, against brute force over every document."""
+    from loomgraph.llm import near_copies, shards
+
+    draw = random.Random(19)
+    rows = [(4000 + n, " ".join([*(f"a{n}x{draw.random()}" for _ in range(20)), *(f"c{n % 7}x{i}" for i in range(12))])) for n in range(60)]
+    folders, folder = [], common.shared_folder
+
+    def made(session, purpose):
+        folders.append(folder(session, purpose)) if purpose == "often" else None
+        return folders[-1] if purpose == "often" else folder(session, purpose)
+
+    monkeypatch.setattr(common, "shared_folder", made)
+    near_copies.representatives(rows_of(spark, rows)).collect()
+    found = [shards.read(folders[0], f"often-{b}", near_copies._OFTEN) for b in range(256)]
+    got = {int(k): int(n) for keys, counts in found for k, n in zip(keys, counts, strict=True)}
+    data, offsets = common.text_buffers(pa.array([t for _, t in rows]))
+    keys, counts = np.unique(near_copies.shingles(data, offsets)[1], return_counts=True)
+    assert got == {int(k): int(n) for k, n in zip(keys, counts, strict=True) if n > 1} and set(got.values()) == {8, 9}
+
+
 def test_pipeline_is_its_stages(spark, tmp_path):
     """Each stage's decision against the operators' own brute force, on the table as it comes to that stage."""
     import corpus_pipeline
