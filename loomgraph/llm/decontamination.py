@@ -4,8 +4,10 @@ Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case.
 Document frequencies are counted over all documents, by the words' hashes. A
 passage's vector has sqrt(tf) * idf for each term, which are the words of the
 benchmark; words outside it lengthen the vector by their own weight. A
-distributed randomised SVD (two passes over the benchmark's passages and a
-bounded sample of the documents' passages) gives the latent space.
+distributed randomised SVD of the passages of the benchmark and of all documents
+gives the latent space: the pass that counts frequencies also adds up a sketch of
+which terms stand together in a document's passage (WINDOW words, one after the
+other), from which, with the benchmark's passages themselves, the factors follow.
 
 Every document is cut into windows of WINDOW words, half a window apart. For
 each term the most that any passage gives it, over the cosine that this passage
@@ -43,9 +45,9 @@ from loomgraph.llm import common, shards
 WINDOW = 32
 RANK = 256
 OVERSAMPLING = 16
-#: Documents whose passages help to fit the latent space, at most about so many.
-FIT_DOCUMENTS = 2000
-#: How much the benchmark's passages weigh in the fit, against all of the sample's.
+#: Cells of the sketch that a task adds up, where that leaves as many columns as the space needs; twice as many as it has dimensions at most.
+SKETCH_CELLS = 1 << 24
+#: How much the benchmark's passages weigh in the fit, against all of the documents'.
 BENCHMARK_WEIGHT = 4.0
 #: Of the cosine that an item has with a window inside a copy of itself, what a window must reach.
 COSINE_SHARE = 0.5
@@ -53,8 +55,8 @@ COSINE_SHARE = 0.5
 SEED = 4
 LEAST_COMMON = 0.6
 LEAST_ANSWER = 0.5
-#: Passages that are projected at once, while fitting and while searching.
-FIT_BLOCK, SEARCH_BLOCK = 512, 1024
+#: Pairs of terms that are added up at once while fitting, and passages that are projected at once while searching.
+FIT_PAIRS, SEARCH_BLOCK = 1 << 20, 1024
 #: Hash buckets in which document frequencies are counted; words that share one count as one.
 BUCKETS = 1 << 20
 #: Items of the benchmark that are held at once, and characters of theirs; more are searched block by block. The latter bounds the terms, and with them the basis. One longer item is a block of its own.
@@ -166,19 +168,65 @@ def _vectors(group: np.ndarray, term: np.ndarray, idf: np.ndarray, space: np.nda
 
 def frequencies(documents: DataFrame) -> np.ndarray:
     """Inverse document frequencies of all words, over all documents, by the words' hashes: as many numbers as BUCKETS, however many words there are."""
+    return _counted(documents)[0]
+
+
+def _columns(terms: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each term's column of the sketch, and its sign there."""
+    drawn = common.mix(terms + np.uint64(20))
+    return (drawn % np.uint64(width)).astype(np.int64), 1.0 - 2.0 * (drawn >> np.uint64(63)).astype(float)
+
+
+def _together(hashes: np.ndarray, rows: np.ndarray, block: Items, total: np.ndarray) -> None:
+    """Add to total (terms x columns, and how often each term stands) what passages of WINDOW words hold together, sqrt(tf) a term."""
+    width = total.shape[1] - 1
+    column, sign = _columns(block.terms, width)
+    if not len(hashes):
+        return
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    passage, term = np.cumsum(place % WINDOW == 0) - 1, block.term(hashes)
+    cell, tf = np.unique(passage[term >= 0] * len(block.terms) + term[term >= 0], return_counts=True)
+    g, t = cell // len(block.terms), cell % len(block.terms)
+    weight = np.sqrt(tf)
+    np.add.at(total[:, width], t, tf)
+    lead = np.flatnonzero(np.diff(g, prepend=-1))
+    count = np.diff(np.append(lead, len(g)))
+    many, start = np.repeat(count, count), np.repeat(lead, count)
+    edges = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + FIT_PAIRS, FIT_PAIRS), side="right") if len(g) else np.zeros(1, int)
+    flat = total.reshape(-1)
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = many[low:high]
+        left = np.repeat(np.arange(low, high), own)
+        right = np.repeat(start[low:high] - (np.cumsum(own) - own), own) + np.arange(len(left))
+        np.add.at(flat, t[left] * (width + 1) + column[t[right]], weight[left] * weight[right] * sign[t[right]])
+
+
+def _counted(documents: DataFrame, block: Items | None = None, words_too: bool = True) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Inverse document frequencies, and for a block the sketch of which of its terms stand together: one pass over all documents."""
+    terms = 0 if block is None else len(block.terms)
+    height, width = 512, min(terms, max(min(2 * RANK, SKETCH_CELLS // max(terms, 1)), RANK + OVERSAMPLING)) + 1
+    plain = None if block is None else Items([], [], block.terms, None, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows_read = np.zeros(BUCKETS, np.int32), 0
+        sketch = None if plain is None else np.zeros((terms, width))
         for rows, data, offsets in common.texts(batches):
             hashes, row, _, _ = words(data, offsets)
-            seen = np.unique(row * BUCKETS + _bucket(hashes)) % BUCKETS
-            total += np.bincount(seen, minlength=BUCKETS).astype(np.int32)
-            rows_read += rows.num_rows
-        parts = [total[low : low + BUCKETS // 64] for low in range(0, BUCKETS, BUCKETS // 64)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(65), pa.int32()), pa.array([*(shards.pack(p.astype("<i8")) for p in parts), shards.pack(np.array([rows_read], "<i8"))], pa.binary())], names=["part", "counts"])
+            if words_too:
+                seen = np.unique(row * BUCKETS + _bucket(hashes)) % BUCKETS
+                total += np.bincount(seen, minlength=BUCKETS).astype(np.int32)
+                rows_read += rows.num_rows
+            if sketch is not None:
+                _together(hashes, row, plain, sketch)
+        if words_too:
+            parts = [total[low : low + BUCKETS // 64] for low in range(0, BUCKETS, BUCKETS // 64)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(65), pa.int32()), pa.array([*(shards.pack(p.astype("<i8")) for p in parts), shards.pack(np.array([rows_read], "<i8"))], pa.binary())], names=["part", "counts"])
+        for low in range(0, terms, height):
+            yield pa.RecordBatch.from_arrays([pa.array([65 + low // height], pa.int32()), pa.array([shards.pack(sketch[low : low + height])], pa.binary())], names=["part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(shards.unpack(x, "<i8") for x in table["counts"].to_pylist())
+        total = sum(shards.unpack(x, "<i8" if table["part"][0].as_py() < 65 else "<f8") for x in table["counts"].to_pylist())
         return pa.table({"part": table["part"].slice(0, 1), "counts": pa.array([shards.pack(total)], pa.binary())})
 
     tasks = documents.rdd.getNumPartitions()
@@ -186,103 +234,72 @@ def frequencies(documents: DataFrame) -> np.ndarray:
     while tasks > FAN_IN:  # in levels, so that no task adds up what all others send
         tasks = -(-tasks // FAN_IN)
         partial = partial.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInArrow(lambda t: add(t).append_column("task", t["task"].slice(0, 1)), "part int, counts binary, task int")
-    found = partial.select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").toArrow()
-    counts = {p: shards.unpack(c, "<i8") for p, c in zip(found["part"].to_pylist(), found["counts"].to_pylist(), strict=True)}
-    total = np.concatenate([counts.get(p, np.zeros(BUCKETS // 64, np.int64)) for p in range(64)])
-    rows = int(counts[64][0]) if 64 in counts else 0
-    return (np.log((1.0 + rows) / (1.0 + np.minimum(total, rows))) + 1e-3).astype(np.float32)
+    found = partial.select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").toArrow()  # the sketch is as large as the basis
+    counts = {p: shards.unpack(c, "<i8" if p < 65 else "<f8") for p, c in zip(found["part"].to_pylist(), found["counts"].to_pylist(), strict=True)}
+    weights = sketch = None
+    if words_too:
+        total = np.concatenate([counts.get(p, np.zeros(BUCKETS // 64, np.int64)) for p in range(64)])
+        rows = int(counts[64][0]) if 64 in counts else 0
+        weights = (np.log((1.0 + rows) / (1.0 + np.minimum(total, rows))) + 1e-3).astype(np.float32)
+    if block is not None:
+        sketch = np.concatenate([counts.get(65 + low // height, np.zeros(min(height, terms - low) * width)) for low in range(0, terms, height)]).reshape(terms, width)
+    return weights, sketch
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _fit(spark: SparkSession, documents: DataFrame, block: Items) -> np.ndarray:
-    """Right singular vectors of the passages' matrix (terms x rank), by two distributed passes of a randomised range finder."""
-    idf, terms = block.idf, len(block.terms)
+def _fit(block: Items, sketch: np.ndarray) -> np.ndarray:
+    """Right singular vectors of the passages' matrix (terms x rank): the documents' by their sketch (Nystroem's form), the benchmark's as they are."""
+    terms, width = len(block.terms), sketch.shape[1] - 1
+    column, sign = _columns(block.terms, width)
     rank = min(RANK, terms)
-    width = min(rank + OVERSAMPLING, terms)
-    share = min(1.0, FIT_DOCUMENTS / max(documents.count(), 1))
-    drawn = documents.select("doc_id", "text").where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in common.texts(batches):
-            hashes, row, _, _ = words(data, offsets)
-            own, low, high = _windows(row, len(offsets) - 1)
-            term = block.term(hashes)
-            take = np.arange(int((high - low).sum())) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
-            group = np.repeat(np.arange(len(own)), high - low)
-            inside = term[take] >= 0
-            cell, tf = np.unique(group[inside] * terms + term[take][inside], return_counts=True)
-            edges = np.flatnonzero(np.diff(cell // terms, prepend=-1)) if len(cell) else np.zeros(0, np.int64)
-            for a in range(0, len(edges), FIT_BLOCK):
-                low_, high_ = edges[a], edges[a + FIT_BLOCK] if a + FIT_BLOCK < len(edges) else len(cell)
-                yield pa.RecordBatch.from_arrays([pa.array([cell[low_:high_].astype("<i8").tobytes()], pa.binary()), pa.array([tf[low_:high_].astype("<i4").tobytes()], pa.binary()), pa.array([min(FIT_BLOCK, len(edges) - a)], pa.int64())], names=["cells", "tfs", "passages"])
-
-    sample = common.cut(spark, drawn.mapInArrow(common.released(rows), "cells binary, tfs binary, passages long"), "passages")
-    own_cells = np.concatenate([np.unique(p) + i * terms for i, p in enumerate(block.passages)])
-    own_tfs = np.concatenate([np.unique(p, return_counts=True)[1] for p in block.passages])
-    own = spark.createDataFrame([(own_cells.astype("<i8").tobytes(), own_tfs.astype("<i4").tobytes(), 0)], "cells binary, tfs binary, passages long")
-    # the space is to tell the benchmark's passages apart, so they outweigh the sample's
-    drawn_passages = sample.agg(F.sum("passages")).first()[0] or 0
-    weight_own = float(np.sqrt(max(1.0, BENCHMARK_WEIGHT * drawn_passages / len(block.passages))))
-    passages = sample.withColumn("weight", F.lit(1.0)).unionByName(own.withColumn("weight", F.lit(weight_own))).select("cells", "tfs", "weight").repartition(max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-
-    def entries(cells: bytes, tfs: bytes):
-        cell, tf = np.frombuffer(cells, "<i8"), np.frombuffer(tfs, "<i4")
-        g, t = cell // terms, cell % terms
-        g = np.cumsum(np.diff(g, prepend=g[0]) != 0) if len(g) else g
-        weight = np.sqrt(tf) * idf[t]
-        norm = np.sqrt(np.bincount(g, weights=weight**2))
-        return g, t, weight / np.maximum(norm, 1e-12)[g]
-
-    def product(basis: np.ndarray, project_only: bool) -> np.ndarray:
-        """Sum over passages of A' (A basis), or of (A basis)' (A basis)."""
-        shared = spark.sparkContext.broadcast(basis)  # terms of the benchmark x rank
-        height = basis.shape[1] if project_only else terms
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, any_ = np.zeros((height, basis_width)), False
-            for batch in batches:
-                for cells, tfs, scale in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    g, t, w = entries(cells, tfs)
-                    w = w * scale
-                    if not len(g):
-                        continue
-                    any_ = True
-                    first = np.flatnonzero(np.diff(g, prepend=-1))
-                    y = np.add.reduceat(shared.value[t] * w[:, None], first, axis=0)
-                    if project_only:
-                        total += y.T @ y
-                    else:
-                        order = np.argsort(t, kind="stable")
-                        lead = np.flatnonzero(np.diff(t[order], prepend=-1))
-                        total[t[order][lead]] += np.add.reduceat(y[g[order]] * w[order][:, None], lead, axis=0)
-            if any_:
-                for low in range(0, height, 512):
-                    yield pa.RecordBatch.from_arrays([pa.array([low], pa.int32()), pa.array([total[low : low + 512].tobytes()], pa.binary())], names=["low", "part"])
-
-        basis_width = basis.shape[1]
-        add = lambda table: pa.table({"low": table["low"].slice(0, 1), "part": pa.array([np.sum([np.frombuffer(x) for x in table["part"].to_pylist()], axis=0).tobytes()], pa.binary())})
-        found = passages.mapInArrow(common.released(run), "low int, part binary").groupBy("low").applyInArrow(add, "low int, part binary").toArrow()  # as large as the basis
-        out = np.zeros((height, basis_width))
-        for low, part in zip(found["low"].to_pylist(), found["part"].to_pylist(), strict=True):
-            own_part = np.frombuffer(part).reshape(-1, basis_width)
-            out[low : low + len(own_part)] = own_part
+    group = np.repeat(np.arange(len(block.passages)), [len(p) for p in block.passages])
+    cell, tf = np.unique(group * terms + np.concatenate(block.passages), return_counts=True)
+    g, t = cell // terms, cell % terms
+    weight = np.sqrt(tf) * block.idf[t]
+    weight /= np.maximum(np.sqrt(np.bincount(g, weights=weight**2)), 1e-12)[g]
+    # the space is to tell the benchmark's passages apart, so they outweigh the documents'
+    spread = float((sketch[:, width] * block.idf**2).sum())
+    weight *= np.sqrt(BENCHMARK_WEIGHT * spread / len(block.passages)) if spread > 0 else 1.0
+    lead = np.flatnonzero(np.diff(g, prepend=-1))
+
+    def project(basis: np.ndarray) -> np.ndarray:
+        out = np.empty((len(lead), basis.shape[1]))
+        ends = np.append(lead, len(g))
+        for low in range(0, len(lead), SEARCH_BLOCK):
+            high = min(low + SEARCH_BLOCK, len(lead))
+            part = slice(ends[low], ends[high])
+            out[low:high] = np.add.reduceat(basis[t[part]] * weight[part, None], lead[low:high] - ends[low], axis=0)
         return out
 
-    start = np.random.default_rng(20).standard_normal((terms, width))
-    basis, _ = np.linalg.qr(product(start, False))
-    small = product(basis, True)
-    _, turn = np.linalg.eigh(small)
+    start = project(np.random.default_rng(20).standard_normal((terms, min(rank + OVERSAMPLING, terms))))
+    order = np.argsort(t, kind="stable")
+    own, met = np.zeros_like(start, shape=(terms, start.shape[1])), np.flatnonzero(np.diff(t[order], prepend=-1))
+    ends = np.append(met, len(t))
+    for low in range(0, len(met), SEARCH_BLOCK):
+        high = min(low + SEARCH_BLOCK, len(met))
+        part = order[ends[low] : ends[high]]
+        own[t[order][met[low:high]]] = np.add.reduceat(start[g[part]] * weight[part, None], met[low:high] - ends[low], axis=0)
+    seen = sketch[:, :width] * block.idf[:, None]
+    basis, _ = np.linalg.qr(np.concatenate([seen / max(np.linalg.norm(seen), 1e-300), own / max(np.linalg.norm(own), 1e-300)], axis=1))
+    # what the sketch's columns say of one another; it is divided out
+    core = np.zeros((width, width))
+    np.add.at(core, column, sketch[:, :width] * sign[:, None])
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    kept = value > 1e-10 * max(value.max(), 1e-300)
+    half = (basis.T @ seen) @ (vector[:, kept] / np.sqrt(value[kept]))
+    mine = project(basis)
+    _, turn = np.linalg.eigh(half @ half.T + mine.T @ mine)
     return np.ascontiguousarray((basis @ turn[:, ::-1][:, :rank])).astype(np.float32)
 
 
-def prepare_items(spark: SparkSession, documents: DataFrame, block: Items, weights: np.ndarray) -> Items:
-    """Weights, latent space, queries and least cosines of a block."""
+def prepare_items(spark: SparkSession, documents: DataFrame, block: Items, weights: np.ndarray, sketch: np.ndarray | None = None) -> Items:
+    """Weights, latent space, queries and least cosines of a block, whose sketch is counted unless it is given."""
     block.weights = weights
     block.idf = weights[_bucket(block.terms)].astype(float)
-    block.space = _fit(spark, documents, block)
+    block.space = _fit(block, _counted(documents, block, False)[1] if sketch is None else sketch)
     group = np.repeat(np.arange(len(block.passages)), [len(p) for p in block.passages])
     term = np.concatenate(block.passages)
     latent = _vectors(group, term, block.idf, block.space, len(block.passages))
@@ -430,8 +447,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep
     out = weights = None
     corpus = source.select("doc_id" if "doc_id" in documents.columns else F.xxhash64("text").alias("doc_id"), "text")
     for block in _blocks(rows):
-        weights = frequencies(corpus) if weights is None else weights
-        block = prepare_items(spark, corpus, block, weights)
+        counted, sketch = _counted(corpus, block, weights is None)
+        weights = counted if weights is None else weights
+        block = prepare_items(spark, corpus, block, weights, sketch)
         found = frame.mapInArrow(common.released(_matcher(spark, block, schema)), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)

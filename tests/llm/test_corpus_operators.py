@@ -522,6 +522,27 @@ def test_retrieval_recalls_what_brute_force_finds(spark, monkeypatch):
     assert len(want) > 50 and len(want & got) / len(want) >= 0.9
 
 
+def test_every_document_is_in_the_fit(spark):
+    """With as many columns as terms the sketch says how often each term stands, and with which others, in passages of all documents."""
+    items, docs, _ = _benchmark_case(4)
+    docs = [(d, " ".join([t] * 3)) for d, t in docs] * 30
+    block = next(iter(decontamination._blocks(spark.createDataFrame(items[:8], "item_id long, text string").where("text <> ''"))))
+    _, sketch = decontamination._counted(rows_of(spark, docs), block)
+    terms, width = len(block.terms), sketch.shape[1] - 1
+    column, sign = decontamination._columns(block.terms, width)
+    want = np.zeros((terms, terms))
+    for _, text in docs[: len(docs) // 30]:
+        data, offsets = common.text_buffers(pa.array([text]))
+        term = block.term(decontamination.words(data, offsets)[0])
+        for a in range(0, len(term), 32):
+            own = np.sqrt(np.bincount(term[a : a + 32][term[a : a + 32] >= 0], minlength=terms))
+            want += 30 * np.outer(own, own)
+    into = np.zeros((terms, width))
+    into[np.arange(terms), column] = sign
+    assert len(docs) > 2000 and want.sum() > 10_000
+    assert np.allclose(sketch[:, :width], want @ into) and np.allclose(sketch[:, width], np.diag(want))
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     items, docs, truth = _benchmark_case()
     monkeypatch.setattr(decontamination, "ITEM_BLOCK", 11)
