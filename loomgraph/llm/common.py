@@ -212,6 +212,17 @@ def released(run):
     return wrapped
 
 
+def trimmed(run):
+    """A function of a group that gives free memory back to the system when it ends."""
+
+    def wrapped(table):
+        out = run(table)
+        _release()
+        return out
+
+    return wrapped
+
+
 def _release() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -302,6 +302,7 @@ def _connected(families: DataFrame, nodes: DataFrame, found: DataFrame, source:
     dealt = dealt.withColumn("list", F.when(F.col("parts") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other"))))
     sets = _sets(families.select("node"), nodes, source, names, shingle)
 
+    @common.trimmed
     def link(table: pa.Table) -> pa.Table:
         table = table.sort_by([("list", "ascending"), ("node", "ascending")]).combine_chunks()
         number, node, size, fp, root = (table[c].to_numpy().astype(np.int64) for c in ("list", "node", "size", "fp", "root"))
@@ -345,6 +346,7 @@ def _counted(source: DataFrame, shingle: int, buckets: int) -> str:
         if total:
             yield from flush()
 
+    @common.trimmed
     def add(table: pa.Table) -> pa.Table:
         keys = np.concatenate([shards.unpack_sorted(x) for x in table["key"].to_pylist()])
         counts = np.concatenate([shards.unpack(x, "<u4") for x in table["n"].to_pylist()]).astype(np.int64)
@@ -417,12 +419,13 @@ def representatives(documents: DataFrame, text: str = "text", shingle: int = SHI
                 held, count = [], 0
         if held:
             yield from flush()
+        shards.unmap()
 
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *names)
     schema = source.drop("text").schema.add("node", "long", False).add("size", "integer", False).add("fp", "long", False).add("bits", "binary", False)
     nodes = common.cut(spark, source.mapInArrow(common.released(digest), schema).groupBy("node").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "nodes")
     sent = source.select("text").mapInArrow(common.released(send), "bucket int, key binary, node binary, size binary, place binary")
-    groups = common.cut(spark, sent.groupBy("bucket").applyInArrow(lambda table: _groups(table, least), "nodes binary, sizes binary, a binary, b binary"), "groups")
+    groups = common.cut(spark, sent.groupBy("bucket").applyInArrow(common.trimmed(lambda table: _groups(table, least)), "nodes binary, sizes binary, a binary, b binary"), "groups")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,6 +53,11 @@ def _mapped(path: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
     return _arrays(np.memmap(path, np.uint8, "r"), kinds)
 
 
+def unmap() -> None:
+    """Let go of the files that this worker has mapped: what it has read of them counts as its memory."""
+    _mapped.cache_clear()
+
+
 def _arrays(raw: np.ndarray, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
     sizes = raw[8 : 8 + 8 * len(kinds)].view("<i8")
     at, out = 8 + 8 * len(kinds), []
