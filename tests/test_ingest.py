@@ -48,6 +48,24 @@ def test_plan_run_and_replay(spark, tmp_path):
     assert heights == {"player/league/p1/height_cm": "170", "player/league/p2/height_cm": "175", "player/league/p3/height_cm": "180"}
 
 
+def test_records_of_one_partition_are_dealt_out(spark, monkeypatch):
+    rows = [ROWS[0] | {"id": f"p{i % 9000}", "height_cm": "tall" if i % 7 == 0 else "170"} for i in range(10_000)]
+
+    def ran(most):
+        monkeypatch.setattr(R, "RECORDS_A_TASK", most, raising=False)
+        own = pipeline(spark, rows)
+        own.source = R.Records(own.source.frame.coalesce(1), "memory", "memory")
+        planned, report = own.plan()
+        held = own._held[0].groupBy(F.spark_partition_id()).count().collect()
+        out = sorted(map(str, planned.collect())), report.fingerprint(), [r["count"] for r in held]
+        own.release()
+        return out
+
+    whole, parts = ran(10_000), ran(1000)
+    assert whole[:2] == parts[:2] and whole[2] == [10_000]
+    assert sum(parts[2]) == 10_000 and max(parts[2]) < 5000
+
+
 def test_bad_rows_give_nothing(spark):
     bad = [{"id": "", "name": "x", "team": "t", "height_cm": "1"}, {"id": "z", "name": "x", "team": "t", "height_cm": "tall"}, {"id": "y", "name": "x", "team": None, "height_cm": "1"}]
     own = pipeline(spark, [*bad, ROWS[0]])
