@@ -66,6 +66,26 @@ def test_records_of_one_partition_are_dealt_out(spark, monkeypatch):
     assert sum(parts[2]) == 10_000 and max(parts[2]) < 5000
 
 
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_records_of_a_file_are_dealt_out(spark, tmp_path, monkeypatch, kind):
+    path = tmp_path / f"rows.{kind}"
+    lines = [f"p{i % 900},Ann,t{i % 5},170" for i in range(1000)] if kind == "csv" else [f'{{"id": "p{i % 900}", "name": "Ann", "team": "t{i % 5}", "height_cm": 170, "more": [{i}]}}' for i in range(1000)]
+    path.write_text("\n".join(["id,name,team,height_cm"] * (kind == "csv") + lines))
+
+    def ran(most):
+        monkeypatch.setattr(R, "RECORDS_A_TASK", most, raising=False)
+        own = pipeline(spark)
+        own.source = lambda: R.from_csv(spark, str(path)) if kind == "csv" else R.from_json(spark, str(path))
+        planned, report = own.plan()
+        parts = own._held[0].select(F.spark_partition_id()).distinct().count()
+        out = sorted(map(str, planned.collect())), report.fingerprint(), parts
+        own.release()
+        return out
+
+    whole, parts = ran(1000), ran(100)
+    assert whole[:2] == parts[:2] and whole[1]["records_read"] == 1000 and parts[2] > whole[2] == 1
+
+
 def test_bad_rows_give_nothing(spark):
     bad = [{"id": "", "name": "x", "team": "t", "height_cm": "1"}, {"id": "z", "name": "x", "team": "t", "height_cm": "tall"}, {"id": "y", "name": "x", "team": None, "height_cm": "1"}]
     own = pipeline(spark, [*bad, ROWS[0]])
